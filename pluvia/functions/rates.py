@@ -11,6 +11,13 @@ def ratio(num: Column, den: Column) -> Column:
     return num / F.nullif(den.cast("double"), F.lit(0.0))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over rows with both values; NULL when one side is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a).cast("double"), F.when(both, b).cast("double")
+    return ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def f1(precision: Column, recall: Column) -> Column:
     return F.coalesce(ratio(2 * precision * recall, precision + recall), F.lit(0.0))
 

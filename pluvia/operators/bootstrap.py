@@ -43,19 +43,27 @@ def paired_difference(df: DataFrame, label: str, base: str, other: str, unit: st
     """
     weights = group_weights(df, unit, draws, seed)
 
-    def scored(column: str, name: str) -> DataFrame:
-        counts = df.groupBy(unit, F.col(column).alias("_score"), F.col(label).alias("_y")).agg(
-            F.count("*").alias("_c")
-        )
-        rows = counts.join(weights, unit).withColumn("_w", F.col("_c") * F.col("peso"))
-        return (
-            average_precision(rows, "_y", "_score", ["rep"], "_w", name)
-            .where(F.col("eventos") > 0)
-            .select("rep", name)
+    sides = F.array(
+        F.struct(F.lit("base").alias("_side"), F.col(base).cast("double").alias("_score")),
+        F.struct(F.lit("other").alias("_side"), F.col(other).cast("double").alias("_score")),
+    )
+    counts = (
+        df.select(unit, F.col(label).alias("_y"), F.inline(sides))
+        .where(F.col("_score").isNotNull())
+        .groupBy(unit, "_side", "_score", "_y")
+        .agg(F.count("*").alias("_c"))
+    )
+    rows = counts.join(weights, unit).withColumn("_w", F.col("_c") * F.col("peso"))
+    scores = average_precision(rows, "_y", "_score", ["rep", "_side"], "_w", "_ap")
+    return (
+        scores.where(F.col("eventos") > 0)
+        .groupBy("rep")
+        .agg(
+            F.max(F.when(F.col("_side") == "base", F.col("_ap"))).alias("_base"),
+            F.max(F.when(F.col("_side") == "other", F.col("_ap"))).alias("_other"),
         )
-
-    return scored(base, "_base").join(scored(other, "_other"), "rep").select(
-        "rep", (F.col("_other") - F.col("_base")).alias("diferenca")
+        .select("rep", (F.col("_other") - F.col("_base")).alias("diferenca"))
+        .where(F.col("diferenca").isNotNull())
     )
 
 

@@ -131,20 +131,17 @@ def cut_for_recall(df: DataFrame, label: str, score: str, targets: Sequence[floa
     )
     ranked = running_totals(axis, [], "_s", ["_n", "_tp"], descending=True, with_total=True)
     recall = ratio(F.col("cum__tp"), F.col("total__tp"))
-    reached = (
-        ranked.where((F.col("_c") == 1) & (F.col("cum__n") > 0))
-        .withColumn("recall", recall)
-        .select(
-            F.explode(F.array(*[F.lit(float(t)) for t in targets])).alias("alvo"),
-            F.struct(
-                F.col("_s").alias("corte"),
-                F.col("cum__n").alias("alertas"),
-                ratio(F.col("cum__tp"), F.col("cum__n")).alias("precisao"),
-                F.col("recall").alias("recall"),
-            ).alias("_pick"),
-        )
-        .where(F.col("_pick.recall") >= F.col("alvo"))
+    points = ranked.where((F.col("_c") == 1) & (F.col("cum__n") > 0)).select(
+        F.struct(
+            F.col("_s").alias("corte"),
+            F.col("cum__n").alias("alertas"),
+            ratio(F.col("cum__tp"), F.col("cum__n")).alias("precisao"),
+            recall.alias("recall"),
+        ).alias("_pick")
     )
+    reached = points.withColumn(
+        "alvo", F.explode(F.array(*[F.lit(float(t)) for t in targets]))
+    ).where(F.col("_pick.recall") >= F.col("alvo"))
     return reached.groupBy("alvo").agg(F.max("_pick").alias("_pick")).select("alvo", "_pick.*")
 
 
@@ -162,11 +159,12 @@ def best_threshold(df: DataFrame, label: str, score: str, group: Sequence[str] =
                    grid: Sequence[float] = config.THRESHOLD_GRID) -> DataFrame:
     """Lowest threshold of the grid with the best F1; 0.5 when F1 is 0 everywhere."""
     curve = operating_curve(df, label, score, grid, group, strict=True)
-    best = curve.groupBy(*group).agg(F.max(F.struct(F.col("f1"), -F.col("corte"))).alias("_b"))
+    ranked = F.struct(F.col("f1").alias("f1"), (-F.col("corte")).alias("menos_corte"))
+    best = curve.groupBy(*group).agg(F.max(ranked).alias("_b"))
     return best.select(
         *group,
-        F.when(F.col("_b")[0] > 0, -F.col("_b")[1]).otherwise(F.lit(0.5)).alias("threshold"),
-        F.col("_b")[0].alias("f1"),
+        F.when(F.col("_b.f1") > 0, -F.col("_b.menos_corte")).otherwise(F.lit(0.5)).alias("threshold"),
+        F.col("_b.f1").alias("f1"),
     )
 
 

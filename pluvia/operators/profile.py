@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.functions.rates import ratio
+from pluvia.functions.rates import correlation, ratio
 from pluvia.operators.prefix import exact_quantiles
 from pluvia.operators.tiling import with_run_id
 
@@ -69,9 +69,9 @@ def episode_summary(df: DataFrame, label: str = "evento_extremo", *, key="statio
 
 def correlations(df: DataFrame, columns: Sequence[str], target: str, top: int = 15) -> DataFrame:
     """Columns most correlated with the target, from one aggregation; undefined ones are left out."""
-    row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in columns])
+    row = df.agg(*[correlation(F.col(c), F.col(target)).alias(c) for c in columns])
     long = row.unpivot([], [F.col(c) for c in columns], "coluna", "r")
-    return long.where(F.col("r").isNotNull() & ~F.isnan("r")).orderBy(F.desc("r"), "coluna").limit(top)
+    return long.where(F.col("r").isNotNull()).orderBy(F.desc("r"), "coluna").limit(top)
 
 
 def remarks(summary: DataFrame, episode: DataFrame, strongest: DataFrame,

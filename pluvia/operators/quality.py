@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.functions.rates import ratio
+from pluvia.functions.rates import correlation, ratio
 from pluvia.operators.tiling import with_previous
 
 
@@ -98,7 +98,7 @@ def compare_series(ours: DataFrame, reference: DataFrame, mine: str, theirs: str
     table = joined.groupBy(key).agg(
         F.count(mine).alias("dias"),
         (100 * ratio(F.count(mine), F.count("*"))).alias("cobertura_pct"),
-        F.corr(a, b).alias("r"),
+        correlation(a, b).alias("r"),
         (100 * F.avg(F.when(both, (F.abs(diff) < 0.2).cast("double")))).alias("iguais_pct"),
         F.avg(diff).alias("vies_mm"),
         F.sum(a).alias("total_nosso"),

@@ -20,9 +20,10 @@ def polygon_parts(polygons: DataFrame, geometry: str) -> DataFrame:
     Rows whose geometry is missing or unreadable vanish: they cover nothing.
     """
     outline = F.col("_rings")[0]
+    # The outer form of explode keeps Spark from inferring a filter that would parse twice.
     return (
         polygons.withColumn("_parts", parse_geometry(F.col(geometry)))
-        .select("*", F.posexplode("_parts").alias("_part", "_rings"))
+        .select("*", F.posexplode_outer("_parts").alias("_part", "_rings"))
         .where(F.size(outline) > 0)
         .withColumns(
             {
@@ -43,7 +44,7 @@ def polygon_parts(polygons: DataFrame, geometry: str) -> DataFrame:
                             )
                         )
                     )
-                    - 2,
+                    - 1,
                     F.lit(FINEST),
                 ),
                 F.lit(COARSEST),
@@ -57,7 +58,7 @@ def points_in_polygons(polygons: DataFrame, points: DataFrame, *, geometry="poli
     """All (polygon, point) pairs in which the polygon contains the point.
 
     Both sides keep their columns (the geometry text is dropped). A polygon is cut into
-    cells a quarter of its size, a point into its cell on the levels that occur, and the
+    cells half its size or less, a point into its cell on the levels that occur, and the
     exact test runs on equal cells.
     """
     parts = polygon_parts(polygons, geometry).drop(geometry)

@@ -81,18 +81,16 @@ def expanding_folds(df: DataFrame, folds: int, embargo: int = 24, *, hour="h") -
 
 def with_fold_role(df: DataFrame, limits: DataFrame, *, hour="h") -> DataFrame:
     """Every row once per fold it plays a role in, as ``treino`` or ``teste``."""
-    packed = limits.agg(F.collect_list(F.struct("fold", "train_to", "test_from", "test_to"))).scalar()
     h = F.col(hour)
-    roles = F.transform(
-        packed,
-        lambda f: F.struct(
-            f["fold"].alias("fold"),
-            F.when(h <= f["train_to"], "treino")
-            .when(h.between(f["test_from"], f["test_to"]), "teste")
-            .alias("papel"),
-        ),
+    role = F.when(h <= F.col("train_to"), "treino").when(
+        h.between(F.col("test_from"), F.col("test_to")), "teste"
+    )
+    # limits has one row per fold, a number the caller chose
+    return (
+        df.join(F.broadcast(limits), (h <= F.col("train_to")) | h.between(F.col("test_from"), F.col("test_to")))
+        .withColumn("papel", role)
+        .drop("train_to", "test_from", "test_to")
     )
-    return df.select("*", F.inline(roles)).where(F.col("papel").isNotNull())
 
 
 def positive_weight(df: DataFrame, label: str, group: tuple[str, ...] = ()) -> DataFrame:

@@ -128,23 +128,33 @@ def with_run_id(
     width: int = HOURS_PER_TILE,
 ) -> DataFrame:
     """Number the runs of equal ``flag`` values along each series, from 1."""
-    marked = with_previous(df, keys, pos, flag, "_prev", width).withColumn(
-        "_start", (~F.col("_prev").eqNullSafe(F.col(flag))).cast("long")
-    )
-    tiled = marked.withColumn(TILE, tile_of(F.col(pos), width))
+    first_row = F.row_number().over(Window.partitionBy(*keys, TILE).orderBy(pos)) == 1
     inner = Window.partitionBy(*keys, TILE).orderBy(pos)
-    before = Window.partitionBy(*keys).orderBy(TILE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        tiled.groupBy(*keys, TILE)
-        .agg(F.sum("_start").alias("_n"))
-        .select(*keys, TILE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    changed = ~F.lag(flag).over(inner).eqNullSafe(F.col(flag)) & ~first_row
+    local = (
+        df.withColumn(TILE, tile_of(F.col(pos), width))
+        .withColumn("_start", changed.cast("long"))
+        .withColumn(name, F.sum("_start").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    by_tile = Window.partitionBy(*keys).orderBy(TILE)
+    flag_of = F.struct(flag)
+    tiles = local.groupBy(*keys, TILE).agg(
+        F.min_by(flag_of, F.col(pos)).alias("_first"),
+        F.max_by(flag_of, F.col(pos)).alias("_last"),
+        F.sum("_start").alias("_inside"),
+    )
+    edge = (~F.lag("_last").over(by_tile).eqNullSafe(F.col("_first"))).cast("long")
+    before = by_tile.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tiles.withColumn("_edge", edge).select(
+        *keys,
+        TILE,
+        (F.coalesce(F.sum(F.col("_inside") + F.col("_edge")).over(before), F.lit(0)) + F.col("_edge"))
+        .alias("_before"),
     )
-    running = inner.rowsBetween(Window.unboundedPreceding, 0)
     return (
-        tiled.withColumn(name, F.sum("_start").over(running))
-        .join(offsets, [*keys, TILE])
+        local.join(offsets, [*keys, TILE])
         .withColumn(name, F.col(name) + F.col("_before"))
-        .drop(TILE, "_before", "_prev", "_start")
+        .drop(TILE, "_before", "_start")
     )
 
 
@@ -161,39 +171,54 @@ def fill_short_gaps(
     A NULL takes the line between the previous and the next value of its series when one
     of them is within ``limit`` rows; at a series end it takes the nearest value.
     """
-    rn, here = "_rn", F.col
-    numbered = with_row_position(df, keys, pos, rn, width).withColumn(
-        TILE, tile_of(F.col(pos), width)
-    )
+    here = F.col
     inner = Window.partitionBy(*keys, TILE).orderBy(pos)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
     onward = inner.rowsBetween(0, Window.unboundedFollowing)
 
     def point(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.struct(F.col(rn).alias("r"), F.col(c).alias("v")))
-
-    summary = numbered.groupBy(*keys, TILE).agg(
+        return F.when(here(c).isNotNull(), F.struct(here("_rn").alias("r"), here(c).alias("v")))
+
+    local = (
+        df.withColumn(TILE, tile_of(here(pos), width))
+        .withColumn("_rn", F.row_number().over(inner).cast("long"))
+        .withColumns(
+            {f"_p_{c}": F.last(point(c), ignorenulls=True).over(upto) for c in columns}
+            | {f"_n_{c}": F.first(point(c), ignorenulls=True).over(onward) for c in columns}
+        )
+    )
+    tiles = local.groupBy(*keys, TILE).agg(
+        F.max("_rn").alias("_size"),
         *[F.max(point(c)).alias(f"_l_{c}") for c in columns],
         *[F.min(point(c)).alias(f"_f_{c}") for c in columns],
     )
     by_tile = Window.partitionBy(*keys).orderBy(TILE)
     past = by_tile.rowsBetween(Window.unboundedPreceding, -1)
     future = by_tile.rowsBetween(1, Window.unboundedFollowing)
-    carried = summary.select(
-        *keys,
-        TILE,
-        *[F.last(f"_l_{c}", ignorenulls=True).over(past).alias(f"_cp_{c}") for c in columns],
-        *[F.first(f"_f_{c}", ignorenulls=True).over(future).alias(f"_cn_{c}") for c in columns],
-    )
-    local = numbered.withColumns(
-        {f"_p_{c}": F.last(point(c), ignorenulls=True).over(upto) for c in columns}
-        | {f"_n_{c}": F.first(point(c), ignorenulls=True).over(onward) for c in columns}
+
+    def shifted(p: Column) -> Column:
+        """The same point, its row counted from the start of the series."""
+        return F.when(
+            p.isNotNull(), F.struct((p["r"] + here("_before")).alias("r"), p["v"].alias("v"))
+        )
+
+    carried = (
+        tiles.withColumn("_before", F.coalesce(F.sum("_size").over(past), F.lit(0)))
+        .withColumns({f"_{s}_{c}": shifted(here(f"_{s}_{c}")) for c in columns for s in "lf"})
+        .select(
+            *keys,
+            TILE,
+            "_before",
+            *[F.last(f"_l_{c}", ignorenulls=True).over(past).alias(f"_cp_{c}") for c in columns],
+            *[F.first(f"_f_{c}", ignorenulls=True).over(future).alias(f"_cn_{c}") for c in columns],
+        )
     )
 
     def filled(c: str) -> Column:
-        prev = F.coalesce(here(f"_p_{c}"), here(f"_cp_{c}"))
-        nxt = F.coalesce(here(f"_n_{c}"), here(f"_cn_{c}"))
-        since, until = here(rn) - prev["r"], nxt["r"] - here(rn)
+        prev = F.coalesce(shifted(here(f"_p_{c}")), here(f"_cp_{c}"))
+        nxt = F.coalesce(shifted(here(f"_n_{c}")), here(f"_cn_{c}"))
+        row = here("_rn") + here("_before")
+        since, until = row - prev["r"], nxt["r"] - row
         line = prev["v"] + (nxt["v"] - prev["v"]) * since / F.nullif(nxt["r"] - prev["r"], F.lit(0))
         return (
             F.when(here(c).isNotNull(), here(c))

@@ -13,6 +13,7 @@ from pluvia.functions.rates import ratio, wilson
 from pluvia.functions.text import code_count, gust_criterion, rain_criterion
 from pluvia.operators.metrics import operating_curve
 from pluvia.operators.prefix import count_dominating
+from pluvia.operators.storage import materialise
 from pluvia.operators.spatial import points_in_polygons
 
 
@@ -76,7 +77,9 @@ def base_rates(observed: DataFrame, criteria: DataFrame) -> DataFrame:
     to counts of distinct values first; P(rain or gust) is P(rain) + P(gust) - P(both).
     """
     mm, ms = "criterio_mm", "criterio_ms"
-    combos = criteria.select(F.col(mm).cast("double"), F.col(ms).cast("double")).distinct()
+    combos = materialise(
+        criteria.select(F.col(mm).cast("double"), F.col(ms).cast("double")).distinct()
+    )
     low = F.lit(-1e300)
     points = observed.groupBy(
         F.coalesce(F.col("chuva_24h_obs").cast("double"), low).alias("qx"),
@@ -92,7 +95,7 @@ def base_rates(observed: DataFrame, criteria: DataFrame) -> DataFrame:
             F.struct(rain.alias("qx"), gust.alias("qy"), F.lit(-1).alias("sinal")),
         ),
     ).select(mm, ms, F.inline("_parts"))
-    queries = asked.select("qx", "qy").dropna().distinct()
+    queries = materialise(asked.select("qx", "qy").dropna().distinct())
     counted = count_dominating(points, queries, "qx", "qy", "_n")
     total = observed.agg(F.count("*")).scalar()
     return (

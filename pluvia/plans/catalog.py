@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from pluvia.plans import catalog_joins, catalog_series  # noqa: F401
+from pluvia.plans import catalog_joins, catalog_metrics, catalog_series  # noqa: F401
 from pluvia.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -450,8 +450,8 @@ def anchors(spark, d):
 
 
 @query("F13_output_format", (), """
-select event_id, round(greatest(value - 20, 0), 1) as chuva_24h_prevista, round(value / 700, 4) as risco from events""")
+select event_id, round(greatest(value - 20, 0), 2) as chuva_24h_prevista, round(value / 700, 4) as risco from events""")
 def formatted(spark, d):
     return V.table(spark, d, "events").select(
-        "event_id", F.round(F.greatest(F.col("value") - 20, F.lit(0.0)), 1).alias("chuva_24h_prevista"),
+        "event_id", F.round(F.greatest(F.col("value") - 20, F.lit(0.0)), 2).alias("chuva_24h_prevista"),
         F.round(F.col("value") / 700, 4).alias("risco"))
