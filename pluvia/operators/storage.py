@@ -1,20 +1,31 @@
-"""Cutting lineage where a result is read several times."""
+"""Cutting lineage where a result is read several times, and scratch folders."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder of the cluster and read them from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the cluster.
 
-    The folder is the one the session names; only a session without one, as in tests,
-    gets a temporary folder of its own.
+    Only a session that names none, as in tests, gets a temporary folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pluvia-"))
+    return context.getCheckpointDir()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new, unused path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder once and read them from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

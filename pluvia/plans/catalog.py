@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from pluvia.plans import catalog_joins, catalog_metrics, catalog_series  # noqa: F401
+from pluvia.plans import (  # noqa: F401
+    catalog_joins,
+    catalog_metrics,
+    catalog_models,
+    catalog_series,
+    catalog_sources,
+)
 from pluvia.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -86,3 +86,34 @@ def warning_gap_study(observed: DataFrame, pairs: DataFrame, forecast: DataFrame
         "curva": metrics.operating_curve(together, "_y", "ifs_chuva_24h", config.WARNING_CUTS),
         "pontos": warnings.severity_points(together, [6, 7, 8]),
     }
+
+
+def degradation_study(observed_grid: DataFrame, forecast: DataFrame, score, columns: Sequence[str],
+                      start_hour: int, label: str, *, emission: int = 12, key="station", hour="h"):
+    """One model on four versions of its inputs: source and window alignment changed or not.
+
+    ``score(rows)`` adds ``score``. A: as trained; B: forecast instead of reanalysis;
+    C: mean of the next 24 hours instead of the current hour; D: both.
+    """
+    from pluvia.operators.joins import substitute_forecast
+    from pluvia.operators.windows import future_mean
+
+    swapped = substitute_forecast(observed_grid, forecast, columns, start_hour, key=key, hour=hour)
+    versions = {
+        "A referencia": observed_grid,
+        "B origem": swapped,
+        "C janela": future_mean(observed_grid, columns, key=key, hour=hour),
+        "D ambas": future_mean(swapped, columns, key=key, hour=hour),
+    }
+    scored = None
+    for name, rows in versions.items():
+        part = score(rows).select(F.lit(name).alias("variante"), key, hour, label, "score")
+        scored = part if scored is None else scored.unionByName(part)
+    days = metrics.station_day(scored, label, ["score"], group=["variante"], key=key, hour=hour)
+    at_emission = scored.where(F.pmod(F.col(hour), F.lit(24)) == emission)
+    by_day = metrics.average_precision(days, label, "score", ["variante"], name="pr_auc_estacao_dia")
+    by_hour = metrics.average_precision(at_emission, label, "score", ["variante"], name="op_pr_auc")
+    return by_day.select("variante", "pr_auc_estacao_dia").join(
+        by_hour.select("variante", "op_pr_auc", F.col("n").alias("op_n"), F.col("eventos").alias("op_eventos")),
+        "variante",
+    )

@@ -174,19 +174,20 @@ def square(cx: str, cy: str, hw: str) -> str:
     return f"""concat('{{"type":"Polygon","coordinates":[[', {ring}, ']]}}')"""
 
 
-def warnings(spark, d) -> DataFrame:
-    orders, places = table(spark, d, "orders"), stations(spark, d)
-    count = table(spark, d, "supplier").agg(F.count("*")).scalar()
-    joined = orders.withColumn("station", F.col("o_custkey") % count).join(places, "station")
+def shape_warnings(orders: DataFrame, places: DataFrame) -> DataFrame:
+    """Warnings of orders that carry the ``station`` their square is centred on."""
+    joined = orders.join(places, "station")
+    at = "cast(o_orderdate as timestamp) + make_dt_interval(0, cast(o_orderkey % 24{} as int))"
     return joined.withColumns(
         {"cx": F.col("lon"), "cy": F.col("lat"), "hw": F.expr(HALF)}
     ).select(
         F.col("o_orderkey").alias("id"),
+        "station",
         F.expr(SEVERITY).alias("id_severidade"),
         F.expr(SEVERITY_NAME).alias("severidade"),
         F.expr(TYPE_NAME).alias("descricao"),
-        F.expr("cast(o_orderdate as timestamp) + make_dt_interval(0, cast(o_orderkey % 24 as int))").alias("inicio"),
-        F.expr("cast(o_orderdate as timestamp) + make_dt_interval(0, cast(o_orderkey % 24 + 6 + o_orderkey % 40 as int))").alias("fim"),
+        F.expr(at.format("")).alias("inicio"),
+        F.expr(at.format(" + 6 + o_orderkey % 40")).alias("fim"),
         F.expr(RISKS.format(text="string")).alias("riscos"),
         F.expr(square("cx", "cy", "hw")).alias("poligono"),
         "o_orderstatus",
@@ -194,6 +195,12 @@ def warnings(spark, d) -> DataFrame:
     )
 
 
+def warnings(spark, d) -> DataFrame:
+    count = table(spark, d, "supplier").agg(F.count("*")).scalar()
+    orders = table(spark, d, "orders").withColumn("station", F.col("o_custkey") % count)
+    return shape_warnings(orders, stations(spark, d)).drop("station")
+
+
 def panel_pairs(spark, d) -> DataFrame:
     from pluvia.operators.warnings import expand_station_days
 
