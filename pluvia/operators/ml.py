@@ -69,11 +69,18 @@ def rain_regressor(kind: str = "tweedie", target: str = "chuva_futura_24h", **pa
     )
 
 
+def _named_outputs(classifier: GBTClassifier) -> GBTClassifier:
+    return (
+        classifier.setProbabilityCol("probabilidade")
+        .setRawPredictionCol("bruto")
+        .setPredictionCol("classe")
+    )
+
+
 def event_classifier(label: str = "evento_extremo", **params) -> GBTClassifier:
     """Weighted boosted trees; give positives the weight neg/pos in column ``peso``."""
-    return GBTClassifier(
-        labelCol=label, featuresCol="features", weightCol="peso", probabilityCol="probabilidade",
-        rawPredictionCol="bruto", predictionCol="classe", seed=42, **params,
+    return _named_outputs(
+        GBTClassifier(labelCol=label, featuresCol="features", weightCol="peso", seed=42, **params)
     )
 
 
@@ -106,10 +113,11 @@ def interaction_tree(columns: Sequence[str], label: str = "rotulo") -> Pipeline:
     return Pipeline(
         stages=[
             VectorAssembler(inputCols=list(columns), outputCol="features"),
-            GBTClassifier(
-                labelCol=label, featuresCol="features", probabilityCol="probabilidade",
-                rawPredictionCol="bruto", predictionCol="classe", maxIter=20, maxDepth=3,
-                stepSize=0.1, minInstancesPerNode=20, seed=42,
+            _named_outputs(
+                GBTClassifier(
+                    labelCol=label, featuresCol="features", maxIter=20, maxDepth=3, stepSize=0.1,
+                    minInstancesPerNode=20, seed=42,
+                )
             ),
         ]
     )

@@ -25,7 +25,7 @@ from pluvia.plans.catalog_series import EDGES, _last, r6
 from pluvia.plans.registry import query
 
 FEATURE_SQL = f"""feat as (
-  select w.station, w.h, w.precipitacao, w.temperatura, w.umidade, w.pressao, w.vento, s.chuva_24h, s.chuva_futura_24h, s.y as evento_extremo,
+  select w.station, w.h, greatest(w.precipitacao - 75, 0) as precipitacao, w.temperatura, w.umidade, w.pressao, w.vento, s.chuva_24h, s.chuva_futura_24h, s.y as evento_extremo,
     month(make_timestamp(w.h * 3600000000)) as mes, cast(sum(o.mm_c) over (partition by w.station order by w.h range between 47 preceding and current row) as bigint) as chuva_48h
   from weather w join obs o using (station, h) left join scored s using (station, h)),
 f as (select * from feat where chuva_futura_24h is not null)"""
@@ -35,7 +35,9 @@ def features(spark, d):
     from pluvia.functions.clock import day_of_hour
 
     rain = windows.rolling_totals(V.obs(spark, d), "mm_c", [48]).select("station", "h", "chuva_48h")
-    rows = V.weather(spark, d).select("station", "h", "precipitacao", "temperatura", "umidade", "pressao", "vento")
+    rows = V.weather(spark, d).select(
+        "station", "h", F.greatest(F.col("precipitacao") - 75, F.lit(0.0)).alias("precipitacao"),
+        "temperatura", "umidade", "pressao", "vento")
     target = V.scored(spark, d).select("station", "h", "chuva_24h", "chuva_futura_24h", F.col("y").alias("evento_extremo"))
     return rows.join(target, ["station", "h"]).join(rain, ["station", "h"]).withColumn(
         "mes", F.month(day_of_hour(F.col("h"))))

@@ -26,7 +26,7 @@ def hourly_rows(landed: DataFrame, variables: Sequence[str] = config.GRID_VARIAB
     A variable the payload does not have becomes a NULL column.
     """
     fields = ", ".join(f"`{v}`: array<double>" for v in variables)
-    parsed = F.from_json(F.col(payload), f"hourly: struct<time: array<string>, {fields}>")
+    parsed = F.from_json(F.col(payload), f"hourly struct<time: array<string>, {fields}>")
     zipped = F.arrays_zip(
         F.col("_p.hourly.time").alias("time"),
         *[

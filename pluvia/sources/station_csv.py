@@ -65,7 +65,7 @@ def file_metadata(lines: DataFrame) -> DataFrame:
     """
     line = F.col("line")
     key = text.letters_only(F.split(line, ":", 2)[0])
-    value = F.trim(F.ltrim(F.lit(";"), F.trim(F.split(line, ":", 2)[1])))
+    value = F.trim(F.ltrim(F.trim(F.split(line, ":", 2)[1]), F.lit(";")))
     names = F.transform(F.split(line, ";"), text.canonical_header)
     head = lines.withColumn("_kind", _kind(line)).where(F.col("_kind").isin("meta", "names"))
     fields = sorted(set(config.METADATA_KEYS.values()))

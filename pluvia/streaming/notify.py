@@ -70,11 +70,27 @@ def notifications(events: DataFrame) -> DataFrame:
     )
     opened = gaps.withColumn("_mark", F.when(F.col("_open"), F.col("ts_s")))
     stretches = with_stretch(opened, width)
-    return stretches.groupBy("station", "_stretch").applyInPandas(
-        lambda pdf: _sent_rows(pdf, None)[0], SENT_SCHEMA
+    return (
+        stretches.repartition("station", "_stretch")
+        .sortWithinPartitions("station", "_stretch", "ts_s")
+        .mapInPandas(_walk, SENT_SCHEMA)
     )
 
 
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk sorted events; the last one sent is forgotten where a new stretch begins."""
+    stretch, last = None, None
+    for pdf in batches:
+        keep = []
+        for row in zip(pdf["station"], pdf["_stretch"], pdf["ts_s"], pdf["id_severidade"]):
+            if row[:2] != stretch:
+                stretch, last = row[:2], None
+            sent, last = decide([row[2]], [row[3]], last)
+            keep += sent
+        out = pdf[keep].assign(canal=[_channel(v) for v in pdf["id_severidade"][keep]])
+        yield out[["station", "ts_s", "id", "id_severidade", "canal"]]
+
+
 def with_stretch(opened: DataFrame, width: int) -> DataFrame:
     """Start second of the stretch each event belongs to."""
 
