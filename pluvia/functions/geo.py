@@ -32,12 +32,12 @@ def parse_geometry(geojson: Column) -> Column:
 def _ring_contains(x: Column, y: Column, ring: Column) -> Column:
     """Even-odd ray rule: west and south edges belong to the ring, east and north do not."""
     n = F.size(ring)
-    before = F.concat(F.slice(ring, n, F.lit(1)), F.slice(ring, F.lit(1), F.greatest(n - 1, F.lit(0))))
+    before = F.concat(F.slice(ring, F.greatest(n, F.lit(1)), F.lit(1)), F.slice(ring, F.lit(1), F.greatest(n - 1, F.lit(0))))
 
     def crosses(p: Column, q: Column) -> Column:
-        px, py, qx, qy = p[0], p[1], q[0], q[1]
+        px, py, qx, qy = F.get(p, 0), F.get(p, 1), F.get(q, 0), F.get(q, 1)
         reach = (qx - px) * (y - py) / F.nullif(qy - py, F.lit(0.0)) + px
-        return ((py > y) != (qy > y)) & F.coalesce(x < reach, F.lit(False))
+        return F.coalesce(((py > y) != (qy > y)) & (x < reach), F.lit(False))
 
     crossings = F.size(F.filter(F.zip_with(ring, before, crosses), lambda c: c))
     return (n > 0) & (crossings % 2 == 1)
@@ -45,7 +45,7 @@ def _ring_contains(x: Column, y: Column, ring: Column) -> Column:
 
 def polygon_contains(x: Column, y: Column, rings: Column) -> Column:
     """First ring is the outline, the others are holes."""
-    inside = _ring_contains(x, y, rings[0])
+    inside = F.coalesce(_ring_contains(x, y, F.get(rings, 0)), F.lit(False))
     holes = F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
     return (F.size(rings) > 0) & inside & ~F.exists(holes, lambda h: _ring_contains(x, y, h))
 

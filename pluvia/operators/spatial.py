@@ -19,7 +19,7 @@ def polygon_parts(polygons: DataFrame, geometry: str) -> DataFrame:
 
     Rows whose geometry is missing or unreadable vanish: they cover nothing.
     """
-    outline = F.col("_rings")[0]
+    outline = F.get("_rings", 0)
     # The outer form of explode keeps Spark from inferring a filter that would parse twice.
     return (
         polygons.withColumn("_parts", parse_geometry(F.col(geometry)))
@@ -27,10 +27,10 @@ def polygon_parts(polygons: DataFrame, geometry: str) -> DataFrame:
         .where(F.size(outline) > 0)
         .withColumns(
             {
-                "_x0": F.array_min(F.transform(outline, lambda p: p[0])),
-                "_x1": F.array_max(F.transform(outline, lambda p: p[0])),
-                "_y0": F.array_min(F.transform(outline, lambda p: p[1])),
-                "_y1": F.array_max(F.transform(outline, lambda p: p[1])),
+                "_x0": F.array_min(F.transform(outline, lambda p: F.get(p, 0))),
+                "_x1": F.array_max(F.transform(outline, lambda p: F.get(p, 0))),
+                "_y0": F.array_min(F.transform(outline, lambda p: F.get(p, 1))),
+                "_y1": F.array_max(F.transform(outline, lambda p: F.get(p, 1))),
             }
         )
         .withColumn(

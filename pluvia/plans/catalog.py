@@ -6,6 +6,7 @@ from pluvia.plans import (  # noqa: F401
     catalog_models,
     catalog_series,
     catalog_sources,
+    catalog_tables,
 )
 from pluvia.plans.registry import ORACLES, QUERIES
 
