@@ -23,9 +23,8 @@ def parse_geometry(geojson: Column) -> Column:
     A Polygon becomes a list of one. Missing, unreadable or other geometries give NULL.
     """
     kind = F.get_json_object(geojson, "$.type")
-    coords = F.get_json_object(geojson, "$.coordinates")
-    one = F.from_json(coords, "array<array<array<double>>>")
-    many = F.from_json(coords, "array<array<array<array<double>>>>")
+    one = F.from_json(geojson, "coordinates array<array<array<double>>>")["coordinates"]
+    many = F.from_json(geojson, "coordinates array<array<array<array<double>>>>")["coordinates"]
     return F.when(kind == "Polygon", F.array(one)).when(kind == "MultiPolygon", many)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pluvia.operators.joins import attach
 from pluvia.operators.neighbours import nearest
 from pluvia.operators.prefix import exact_quantiles
+from pluvia.operators.storage import materialise
 
 MONTH = "mes"
 
@@ -56,15 +57,21 @@ def inherit(table: DataFrame, stations: DataFrame, columns: list[str], extra: li
     return table.select(key, *extra, *columns).unionByName(inherited)
 
 
-def with_climatology(df: DataFrame, stations: DataFrame, cutoff: int, *, key="station", hour="h",
+def with_climatology(df: DataFrame, stations: DataFrame, cutoff: int,
+                     observations: DataFrame | None = None, *, key="station", hour="h",
                      month=MONTH) -> DataFrame:
-    """Attach both climatologies, inherited where needed, and the relative 24 h total."""
+    """Attach both climatologies, inherited where needed.
+
+    ``observations`` is where they come from, ``df`` itself when not given. The two tables
+    hold a row per station and month at most and are written out once, since inheritance
+    reads them several times.
+    """
+    source = df if observations is None else observations
     yearly = ["clima_chuva_media", "clima_chuva_p99", "clima_umidade_media", "clima_pressao_media"]
-    base = inherit(station_climatology(df, cutoff, key=key, hour=hour), stations, yearly, key=key)
-    by_month = inherit(
-        monthly_climatology(df, cutoff, key=key, hour=hour, month=month),
-        stations, ["clima_chuva_mes"], [month], key=key,
-    )
+    known = materialise(station_climatology(source, cutoff, key=key, hour=hour))
+    base = inherit(known, stations, yearly, key=key)
+    monthly = materialise(monthly_climatology(source, cutoff, key=key, hour=hour, month=month))
+    by_month = inherit(monthly, stations, ["clima_chuva_mes"], [month], key=key)
     joined = attach(df, base, [key], spread_by=hour)
     return attach(joined, by_month, [key, month], spread_by=hour)
 

@@ -132,10 +132,14 @@ def hourly_state(df: DataFrame, *, rain="precipitacao", pressure="pressao", key=
     ).drop("_end")
 
 
-def neighbour_means(df: DataFrame, neighbours: DataFrame, *, rain="precipitacao",
-                    pressure="pressao", key="station", hour="h") -> DataFrame:
-    """Mean state of the neighbours at the same hour, all of them and those to the west."""
-    state = hourly_state(df, rain=rain, pressure=pressure, key=key, hour=hour)
+def neighbour_means(df: DataFrame, neighbours: DataFrame, observations: DataFrame | None = None, *,
+                    rain="precipitacao", pressure="pressao", key="station", hour="h") -> DataFrame:
+    """Mean state of the neighbours at the same hour, all of them and those to the west.
+
+    ``observations`` is where the state comes from, ``df`` itself when not given.
+    """
+    source = df if observations is None else observations
+    state = hourly_state(source, rain=rain, pressure=pressure, key=key, hour=hour)
     reverse = neighbours.select(F.col("station").alias("_for"), F.col("viz").alias(key), "oeste")
     salted = state.withColumn("_salt", F.pmod(F.col(hour), F.lit(16)).cast("int"))
     copies = reverse.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))

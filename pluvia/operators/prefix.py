@@ -14,12 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS_PER_OCTAVE = 1 << 14
+STEPS_PER_OCTAVE = 1 << 12
 BUCKET = "_bucket"
 
 
 def value_bucket(value: Column) -> Column:
-    """Monotone bucket of a number: its binary octave cut into 2**14 equal steps."""
+    """Monotone bucket of a number: its binary octave cut into 2**12 equal steps."""
     x = value.cast("double")
     size = F.abs(x)
     octave = F.floor(F.log2(size))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pluvia.functions.geo import parse_geometry, polygon_contains
 
-COARSEST, FINEST = 10, -13
+COARSEST, FINEST = 5, -8
 
 
 def _cells(lo: Column, hi: Column, side: Column) -> Column:
@@ -58,21 +58,20 @@ def points_in_polygons(polygons: DataFrame, points: DataFrame, *, geometry="poli
     """All (polygon, point) pairs in which the polygon contains the point.
 
     Both sides keep their columns (the geometry text is dropped). A polygon is cut into
-    cells half its size or less, a point into its cell on the levels that occur, and the
-    exact test runs on equal cells.
+    cells about half its size, a point goes into its cell on every level, and the exact test
+    runs on equal cells. Polygons are spread over tasks before they are parsed, since a few
+    input splits may hold most of the vertices.
     """
-    parts = polygon_parts(polygons, geometry).drop(geometry)
+    keys = [c for c in polygons.columns if c != geometry]
+    parts = polygon_parts(polygons.repartition(*keys), geometry).drop(geometry)
     side = F.pow(F.lit(2.0), F.col("_level"))
     covered = (
         parts.withColumn("_cx", F.explode(_cells(F.col("_x0"), F.col("_x1"), side)))
         .withColumn("_cy", F.explode(_cells(F.col("_y0"), F.col("_y1"), side)))
     )
-    # at most COARSEST - FINEST + 1 rows, whatever the data
-    levels = F.broadcast(parts.select("_level").distinct())
     located = (
         points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
         .withColumn("_level", F.explode(F.sequence(F.lit(FINEST), F.lit(COARSEST))))
-        .join(levels, "_level")
         .withColumns({"_cx": F.floor(F.col(lon) / side), "_cy": F.floor(F.col(lat) / side)})
     )
     x, y = F.col(lon), F.col(lat)

@@ -174,7 +174,10 @@ def fill_short_gaps(
     here = F.col
     inner = Window.partitionBy(*keys, TILE).orderBy(pos)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
-    onward = inner.rowsBetween(0, Window.unboundedFollowing)
+    # Looking back along the reversed order costs one pass; an unbounded following frame
+    # would be evaluated anew for every row.
+    backward = Window.partitionBy(*keys, TILE).orderBy(F.desc(pos))
+    onward = backward.rowsBetween(Window.unboundedPreceding, 0)
 
     def point(c: str) -> Column:
         return F.when(here(c).isNotNull(), F.struct(here("_rn").alias("r"), here(c).alias("v")))
@@ -184,7 +187,7 @@ def fill_short_gaps(
         .withColumn("_rn", F.row_number().over(inner).cast("long"))
         .withColumns(
             {f"_p_{c}": F.last(point(c), ignorenulls=True).over(upto) for c in columns}
-            | {f"_n_{c}": F.first(point(c), ignorenulls=True).over(onward) for c in columns}
+            | {f"_n_{c}": F.last(point(c), ignorenulls=True).over(onward) for c in columns}
         )
     )
     tiles = local.groupBy(*keys, TILE).agg(
@@ -194,7 +197,8 @@ def fill_short_gaps(
     )
     by_tile = Window.partitionBy(*keys).orderBy(TILE)
     past = by_tile.rowsBetween(Window.unboundedPreceding, -1)
-    future = by_tile.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys).orderBy(F.desc(TILE))
+    future = later.rowsBetween(Window.unboundedPreceding, -1)
 
     def shifted(p: Column) -> Column:
         """The same point, its row counted from the start of the series."""
@@ -210,7 +214,7 @@ def fill_short_gaps(
             TILE,
             "_before",
             *[F.last(f"_l_{c}", ignorenulls=True).over(past).alias(f"_cp_{c}") for c in columns],
-            *[F.first(f"_f_{c}", ignorenulls=True).over(future).alias(f"_cn_{c}") for c in columns],
+            *[F.last(f"_f_{c}", ignorenulls=True).over(future).alias(f"_cn_{c}") for c in columns],
         )
     )
 

@@ -252,11 +252,26 @@ def reports_in_force(reports: DataFrame, warnings: DataFrame, places: DataFrame)
     that span a whole hour at a place only the severest can win there, so one is kept per
     (place, hour); only warnings that begin or end inside the hour are kept one by one.
     """
-    located = points_in_polygons(warnings, places.select("station", "lat", "lon")).select(
+    first, last = reports.agg(F.min("ts_s")).scalar(), reports.agg(F.max("ts_s")).scalar()
+    current = warnings.where((F.col("fim_s") >= first) & (F.col("inicio_s") <= last))
+    located = points_in_polygons(current, places.select("station", "lat", "lon")).select(
         "station", "id", "id_severidade", "inicio_s", "fim_s"
     )
-    hour_of = F.floor(F.col("inicio_s") / 3600), F.floor(F.col("fim_s") / 3600)
-    hourly = located.withColumn("h", F.explode(F.sequence(*hour_of)))
+
+    def buckets(rows: DataFrame, lo: Column, hi: Column, seconds: int, name: str) -> DataFrame:
+        """Rows per time bucket they touch, where that place has a report at all."""
+        wanted = reports.select("station", F.floor(F.col("ts_s") / seconds).alias(name)).distinct()
+        span = F.sequence(F.floor(lo / seconds), F.floor(hi / seconds))
+        return rows.withColumn(name, F.explode(span)).join(wanted, ["station", name], "left_semi")
+
+    daily = buckets(located, F.col("inicio_s"), F.col("fim_s"), 86400, "_day")
+    hourly = buckets(
+        daily,
+        F.greatest(F.col("inicio_s"), F.col("_day") * 86400),
+        F.least(F.col("fim_s"), F.col("_day") * 86400 + 86399),
+        3600,
+        "h",
+    )
     whole = (F.col("inicio_s") <= F.col("h") * 3600) & (F.col("fim_s") >= F.col("h") * 3600 + 3599)
     rank = F.struct("id_severidade", "inicio_s", F.col("id").alias("id"))
     spanning = (

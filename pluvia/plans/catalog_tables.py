@@ -56,7 +56,8 @@ COLUMNS = ["lag_6h", "chuva_24h", "chuva_72h", "rolling_std_24h", "queda_pressao
 
 
 @query("P_feature_table", ["weather", "stations"], f"""
-with {NEAR_SQL},
+with places as (select * from stations where station in (select station from weather)),
+{NEAR_SQL.replace("from stations a join stations b", "from places a join places b")},
 span as (select station, min(h) as a, max(h) as b from weather group by 1),
 grid as (select g.station, g.h, w.precipitacao, w.pressao from (select station, unnest(generate_series(a, b)) as h from span) g left join weather w using (station, h)),
 st as (select station, h, sum(precipitacao) over (partition by station order by h rows between 2 preceding and current row) as c3,

@@ -85,8 +85,9 @@ def feature_table(observations: DataFrame, stations: DataFrame, cutoff: int,
     """
     rows = window_features(point_features(observations))
     near = neighbours.neighbour_map(stations, cfg.neighbours, cfg.radius_km)
-    rows = neighbours.neighbour_means(rows, near)
-    rows = climatology.with_climatology(rows, stations, cutoff)
+    rows = neighbours.neighbour_means(rows, near, observations)
+    dated = observations.withColumn("mes", F.month(clock.day_of_hour(F.col("h"))))
+    rows = climatology.with_climatology(rows, stations, cutoff, dated)
     rows = cleaning.fill_zero(climatology.relative_total(rows))
     rows = cleaning.complete_rows(rows)
     return cleaning.label_above(rows, "chuva_futura_24h", cfg.extreme_mm)
