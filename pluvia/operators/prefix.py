@@ -130,10 +130,9 @@ def count_dominating(
     that is not counted.
     """
     marks = queries.select(x).distinct()
-    ranked_points = points.where(F.col(y).isNotNull()).join(
-        rank_among(points, x, marks, x, "_r"), x
-    )
-    ranked_queries = queries.join(rank_among(marks, x, marks, x, "_r"), x)
+    ranks = rank_among(points.select(x).unionByName(marks), x, marks, x, "_r")
+    ranked_points = points.where(F.col(y).isNotNull()).join(ranks, x)
+    ranked_queries = queries.join(ranks, x)
     level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level")
     top = F.lit(1).cast("long")
 
