@@ -69,7 +69,7 @@ def paired_difference(df: DataFrame, label: str, base: str, other: str, unit: st
 
 def difference_interval(differences: DataFrame) -> DataFrame:
     """Mean and 95 % percentile interval over the repetitions."""
-    keyed = differences.withColumn("_g", F.lit(0))
-    mean = keyed.groupBy("_g").agg(F.avg("diferenca").alias("media"), F.count("*").alias("reps"))
-    bounds = exact_quantiles(keyed, ["_g"], "diferenca", {"ic_inf": 0.025, "ic_sup": 0.975})
-    return mean.join(bounds, "_g").drop("_g")
+    bounds = exact_quantiles(
+        differences, [], "diferenca", {"ic_inf": 0.025, "ic_sup": 0.975}, count="reps", total="_sum"
+    )
+    return bounds.select((F.col("_sum") / F.col("reps")).alias("media"), "reps", "ic_inf", "ic_sup")

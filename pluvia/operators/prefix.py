@@ -71,11 +71,18 @@ def running_totals(
 
 
 def exact_quantiles(
-    df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float]
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    probs: dict[str, float],
+    *,
+    count: str | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
     Works on counts of distinct values, so a group of any size is spread over tasks.
+    ``count`` and ``total`` name optional columns for the number and sum of the values.
     """
     counts = (
         df.where(F.col(value).isNotNull())
@@ -89,6 +96,11 @@ def exact_quantiles(
         return F.max(F.when((start <= index) & (index < F.col("cum__n")), F.col("_v")))
 
     picks, result = [], []
+    if count:
+        picks.append(F.sum("_n").alias(count))
+    if total:
+        picks.append(F.sum(F.col("_v") * F.col("_n")).alias(total))
+    result += [F.col(c) for c in (count, total) if c]
     for name, p in probs.items():
         exact = F.lit(p) * (F.col("total__n") - 1)
         picks += [

@@ -59,12 +59,10 @@ def episodes(df: DataFrame, label: str = "evento_extremo", *, key="station", hou
 
 def episode_summary(df: DataFrame, label: str = "evento_extremo", *, key="station", hour="h"):
     """Positive rows, independent episodes and median episode length."""
-    found = episodes(df, label, key=key, hour=hour).withColumn("_g", F.lit(0))
-    counts = found.groupBy("_g").agg(
-        F.sum("linhas").alias("n_positivas"), F.count("*").alias("n_episodios")
+    return exact_quantiles(
+        episodes(df, label, key=key, hour=hour), [], "linhas", {"mediana_linhas": 0.5},
+        count="n_episodios", total="n_positivas",
     )
-    median = exact_quantiles(found, ["_g"], "linhas", {"mediana_linhas": 0.5})
-    return counts.join(median, "_g").drop("_g")
 
 
 def correlations(df: DataFrame, columns: Sequence[str], target: str, top: int = 15) -> DataFrame:

@@ -182,7 +182,7 @@ def holes(spark, d):
       '[[', cast(cx - hw + 1e0 as string), ',', cast(cy - hw as string), '],[', cast(cx + hw + 1e0 as string), ',', cast(cy - hw as string),
       '],[', cast(cx + hw + 1e0 as string), ',', cast(cy + hw as string), '],[', cast(cx - hw + 1e0 as string), ',', cast(cy + hw as string), ']]'"""
     orders = V.table(spark, d, "orders")
-    n = V.table(spark, d, "supplier").agg(F.count("*")).scalar()
+    n = F.lit(V.table(spark, d, "supplier").count())
     rows = orders.withColumn("station", F.col("o_custkey") % n).join(V.stations(spark, d), "station")
     rows = rows.selectExpr("o_orderkey as id", "lon as cx", "lat as cy", f"{V.HALF} as hw")
     shaped = rows.selectExpr("id", f"""case id % 3
@@ -261,7 +261,7 @@ def common(spark, d):
 
 
 def flood_reports(spark, d):
-    n = V.table(spark, d, "supplier").agg(F.count("*")).scalar()
+    n = F.lit(V.table(spark, d, "supplier").count())
     return V.table(spark, d, "events").select(
         F.col("event_id").alias("report_id"), (F.col("user_id") % n).alias("station"),
         (F.unix_seconds(F.col("ts").cast("timestamp")) - V.REPORT_SHIFT_HOURS * 3600).alias("ts_s"),

@@ -199,12 +199,12 @@ with {COMPARE_SQL} select count(*) as estacoes, count(*) filter (r > 0.99) as r_
 def comparison_summary(spark, d):
     from pluvia.operators.prefix import exact_quantiles
 
-    ok = comparison(spark, d).where("situacao = 'ok'").withColumn("_g", F.lit(0))
-    counts = ok.groupBy("_g").agg(
+    ok = comparison(spark, d).where("situacao = 'ok'")
+    median = exact_quantiles(ok, [], "cobertura_pct", {"m": 0.5}).scalar()
+    counts = ok.agg(
         F.count("*").alias("estacoes"), F.count_if(F.col("r") > 0.99).alias("r_acima_99"),
         F.min("cobertura_pct").alias("cobertura_min"))
-    median = exact_quantiles(ok, ["_g"], "cobertura_pct", {"cobertura_mediana": 0.5})
-    return r6(counts.join(median, "_g").drop("_g"), "cobertura_min", "cobertura_mediana")
+    return r6(counts.withColumn("cobertura_mediana", median), "cobertura_min", "cobertura_mediana")
 
 
 PO_SQL = """po as (

@@ -256,7 +256,7 @@ def warning_events(rows):
 
 @query("S3_notification_policy")
 def notification_policy(spark, d):
-    n = V.table(spark, d, "supplier").agg(F.count("*")).scalar()
+    n = F.lit(V.table(spark, d, "supplier").count())
     place = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % n).alias("station"))
     return notify.notifications(warning_events(V.warnings(spark, d).join(place, "id")))
 

@@ -266,7 +266,7 @@ select cx, id, severidade from (select *, row_number() over (partition by cx, cy
   case severidade when 'Grande Perigo' then 3 when 'Perigo' then 2 when 'Perigo Potencial' then 1 else 0 end desc, inicio desc, id) as r from warnings) where r = 1""")
 def severest(spark, d):
     rows = V.warnings(spark, d).select("id", "severidade", "inicio", F.get_json_object("poligono", "$.coordinates[0]").alias("place"))
-    n = V.table(spark, d, "supplier").agg(F.count("*")).scalar()
+    n = F.lit(V.table(spark, d, "supplier").count())
     place = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % n).alias("station"))
     located = rows.join(place, "id").join(V.stations(spark, d).select("station", F.col("lon").alias("cx")), "station")
     return warnings.severest(located, ["station"]).select("cx", "id", "severidade")

@@ -64,9 +64,7 @@ WEATHER_SQL = (
 
 def obs(spark, d) -> DataFrame:
     events = table(spark, d, "events")
-    stations = events.agg(
-        F.greatest(F.lit(4), F.floor(F.count("*") / EVENTS_PER_STATION)).cast("long")
-    ).scalar()
+    stations = F.lit(max(4, events.count() // EVENTS_PER_STATION))
     return (
         events.select(
             (F.col("user_id") % stations).alias("station"),
@@ -196,7 +194,7 @@ def shape_warnings(orders: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def warnings(spark, d) -> DataFrame:
-    count = table(spark, d, "supplier").agg(F.count("*")).scalar()
+    count = F.lit(table(spark, d, "supplier").count())
     orders = table(spark, d, "orders").withColumn("station", F.col("o_custkey") % count)
     return shape_warnings(orders, stations(spark, d)).drop("station")
 
