@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the cluster.
+    """The folder that the cluster names in `spark.checkpoint.dir`.
 
-    Only a session that names none, as in tests, gets a temporary folder of its own.
+    A local session that names none, as in tests, gets a temporary folder of its own; on a cluster
+    such a folder would be another one on each machine, so that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pluvia-"))
     return context.getCheckpointDir()
 
@@ -25,7 +28,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder once and read them from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def materialise(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Write the rows to the shared folder once, by column, and read them from there."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
