@@ -26,14 +26,12 @@ from pluvia.llm import texts as T
 from pluvia.llm.components import components
 from pluvia.operators.storage import materialise
 
-LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
-
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     """The SimHash of one UTF-8 text, as a signed 64-bit integer."""
     from xxhash import xxh64_intdigest
 
-    words = (text or b"").translate(LOWER).split()
+    words = (text or b"").translate(T.LOWER).split()
     if not words:
         return 0
     whole = b" ".join(words)
@@ -142,3 +140,37 @@ def near_duplicates(
     return rows.join(found, "fp").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """The rows of `df`, of each component only one: that with the smallest id (null ids last).
+
+    Equal rows count as one; of different texts under the same id that with the smaller fingerprint stays.
+    """
+    fp, number, none = (T.unused(df, name) for name in ("fp", "number", "none"))
+    marked = materialise(with_fingerprint(df, fp, text_col, shingle), "marked")
+    given = F.col(id_col).cast("long")
+    marked = marked.withColumn(number, F.coalesce(given, F.lit(0).cast("long"))).withColumn(none, given.isNull())
+    own = F.min(F.struct(none, number)).alias("own")
+    prints = materialise(marked.groupBy(F.col(fp).alias("fp")).agg(own), "distinct")
+    roots = components(links(prints.select("fp"))).withColumnRenamed("node", "fp")
+    rooted = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    best = rooted.groupBy("root").agg(F.min(F.struct("own", "fp")).alias("best"))
+    chosen = best.select(
+        F.col("best.fp").alias(fp), F.col(f"best.own.{number}").alias(number), F.col(f"best.own.{none}").alias(none)
+    )
+    kept = marked.join(chosen, [fp, number, none], "left_semi")
+    return kept.dropDuplicates([fp, number, none]).select(*df.columns)
+
+
+def with_fingerprint(df: DataFrame, name: str, text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """All columns of the rows and their fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, some in T.slices(batch, text_col):
+                prints = pa.array([fingerprint(x, shingle) for x in some], pa.int64())
+                rows = batch.slice(first, len(some))
+                yield pa.RecordBatch.from_arrays([*rows.columns, prints], [*rows.schema.names, name])
+
+    return df.mapInArrow(run, T.schema_with(df, name, "long"))

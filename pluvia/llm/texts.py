@@ -8,10 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Text is worked on in slices of about so many bytes; a longer document is a slice of its own.
 SLICE_BYTES = 4 << 20
 
+#: Bytes with A-Z as small letters.
+LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
+
 
 def pick(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The id (as long) and the text only, under fixed names, so that no other column can clash."""
@@ -23,6 +27,30 @@ def crc_of_id(name: str = "doc_id") -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def schema_with(df: DataFrame, name: str, kind: str) -> StructType:
+    """The schema of `df` and one more column."""
+    return StructType([*df.schema.fields, StructField(name, StructType.fromDDL(f"x {kind}")["x"].dataType)])
+
+
+def sample_rows(rows: DataFrame, most: int) -> DataFrame:
+    """All rows if there are at most so many, else about so many, chosen by a hash of the id.
+
+    For fitting models only.
+    """
+    n = rows.select("doc_id").count()
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
+
+
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int, list[bytes | None]]]:
     """(first row, UTF-8 texts) of the batch, cut into slices of bounded size."""
     column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
