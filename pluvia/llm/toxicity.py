@@ -1,10 +1,10 @@
 """Operator 10: toxic spans by a linear-chain conditional random field, and document scores from them.
 
 Chains are sentences (at most `CHAIN` words; a longer one goes on as the next chain). A word's features are
-the word, the one before and the one after; two states, clean and toxic, are linked by transition weights.
+the word, its first 4, 5 and 6 bytes, the word before and the word after; two states, clean and toxic, are linked by transition weights.
 With two states the forward and backward passes are recursions of one ratio each, which run over all chains
 of a slice together. Token labels for training come from the document labels: in a document labelled toxic
-those words are toxic whose share of toxic documents is far above that of the others. Marginals become a
+those words are toxic that, or whose first bytes, stand far more often in toxic documents than in others. Marginals become a
 document score by a logistic model of the largest marginal and of their sum; neighbouring words with a
 marginal of one half or more are offending spans.
 
@@ -19,6 +19,7 @@ are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from pluvia.llm import texts as T
 from pluvia.llm.language import held_out
+from pluvia.llm.simhash import fingerprint
 
 CHAIN = 256
 _WORD = np.array([i >= 128 or 48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122 for i in range(256)])
@@ -63,29 +65,39 @@ class Tokens:
         self.opens[at] = True
 
 
+#: A word's own features: the whole word, and its first bytes if it has that many.
+PREFIXES = (None, 4, 5, 6)
+
+
+def features(words: list[bytes], prefix: int | None) -> list[bytes | None]:
+    return words if prefix is None else [w[:prefix] if len(w) >= prefix else None for w in words]
+
+
 class Field:
-    """Weights of the toxic state by word, previous word and next word (0: unknown), and of the transitions."""
+    """Weights of the toxic state by feature (0: unknown), and of the transitions."""
 
-    def __init__(self, vocabulary: list[bytes]):
-        self.numbers = {w: i + 1 for i, w in enumerate(vocabulary)}
-        self.weights = np.zeros((3, len(vocabulary) + 1))
+    def __init__(self, vocabulary: list[list[bytes]]):
+        self.numbers = [{f: i + 1 for i, f in enumerate(v)} for v in vocabulary]
+        self.own = [np.zeros(len(v) + 1) for v in vocabulary]
+        self.beside = np.zeros((2, len(vocabulary[0]) + 1))
         self.bias = -3.0
         self.moves = np.zeros((2, 2))
         self.calibration: np.ndarray | None = None
 
-    def coded(self, tokens: Tokens) -> np.ndarray:
-        get = self.numbers.get
-        return np.array([get(w, 0) for w in tokens.words] or [0], np.int64)[tokens.number]
-
-    def _neighbours(self, tokens: Tokens, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        before, after = np.zeros_like(word), np.zeros_like(word)
-        before[1:] = np.where(tokens.opens[1:], 0, word[:-1])
-        after[:-1] = np.where(tokens.opens[1:], 0, word[1:])
-        return before, after
-
-    def unary(self, tokens: Tokens, word: np.ndarray) -> np.ndarray:
-        before, after = self._neighbours(tokens, word)
-        u = self.weights[0][word] + self.weights[1][before] + self.weights[2][after] + self.bias
+    def coded(self, tokens: Tokens) -> list[np.ndarray]:
+        """The features of each distinct word, by kind."""
+        return [
+            np.array([get(f, 0) for f in features(tokens.words, prefix)], np.int64)
+            for prefix, get in zip(PREFIXES, (n.get for n in self.numbers))
+        ]
+
+    def unary(self, tokens: Tokens, coded: list[np.ndarray]) -> np.ndarray:
+        own = sum(w[c] for w, c in zip(self.own, coded))
+        u = own[tokens.number] + self.bias
+        inner = np.flatnonzero(~tokens.opens)
+        before, after = self.beside[0][coded[0]], self.beside[1][coded[0]]
+        u[inner] += before[tokens.number[inner - 1]]
+        u[inner - 1] += after[tokens.number[inner]]
         return np.exp(np.clip(u, -30, 30))
 
     def passes(self, tokens: Tokens, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,40 +124,50 @@ class Field:
         odds = r * b
         return odds / (1 + odds)
 
-    def fit(self, tokens: Tokens, labels: np.ndarray, rounds: int = 40, rate: float = 0.5, l2: float = 1e-3) -> None:
+    def fit(self, tokens: Tokens, labels: np.ndarray, rounds: int = 40, rate: float = 0.5, l2: float = 0.02) -> None:
         """Maximise the conditional likelihood of the token labels (per-weight step sizes, L2 penalty)."""
-        word = self.coded(tokens)
-        before, after = self._neighbours(tokens, word)
-        y = labels.astype(float)
-        inner = np.flatnonzero(~tokens.opens) if len(word) else np.zeros(0, np.int64)
-        state = labels.astype(np.int64)
+        coded, number, n = self.coded(tokens), tokens.number, len(tokens.words)
+        y, state = labels.astype(float), labels.astype(np.int64)
+        inner = np.flatnonzero(~tokens.opens)
         seen = np.zeros((2, 2))
         np.add.at(seen, (state[inner - 1], state[inner]), 1)
-        squares = [np.full_like(self.weights, 1e-6), 1e-6, np.full((2, 2), 1e-6)]
-        n = len(self.weights[0])
+        weights = [*self.own, *self.beside, np.array([self.bias]), self.moves]
+        squares = [np.full_like(w, 1e-6) for w in weights]
         for _ in range(rounds):
-            e = self.unary(tokens, word)
+            e = self.unary(tokens, coded)
             r, b = self.passes(tokens, e)
             odds = r * b
             error = y - odds / (1 + odds)
-            g = np.stack([np.bincount(x, error, n) for x in (word, before, after)]) - l2 * self.weights
-            g[:, 0] = 0
+            by_word = np.bincount(number, error, n)
+            steps = [np.bincount(c, by_word, len(w)) for c, w in zip(coded, self.own)]
+            for at, of in ((inner, inner - 1), (inner - 1, inner)):
+                steps.append(np.bincount(coded[0], np.bincount(number[of], error[at], n), self.beside.shape[1]))
             m = np.exp(self.moves)
             prior, ahead = r[inner - 1], e[inner] * b[inner]
             pair = np.stack([m[0, 0] + 0 * prior, m[0, 1] * ahead, m[1, 0] * prior, m[1, 1] * prior * ahead])
             pair = (pair / pair.sum(axis=0)).sum(axis=1).reshape(2, 2)
-            steps = [g, error.sum() - l2 * self.bias, seen - pair - l2 * self.moves]
-            for i, s in enumerate(steps):
-                squares[i] = squares[i] + s * s
-                steps[i] = rate * s / np.sqrt(squares[i])
-            self.weights += steps[0]
-            self.bias += steps[1]
-            self.moves += steps[2]
-        # Words that say next to nothing are forgotten.
-        told = np.flatnonzero(np.abs(self.weights).max(axis=0) >= 0.25)
-        words = {i: w for w, i in self.numbers.items()}
-        self.numbers = {words[i]: k + 1 for k, i in enumerate(told.tolist())}
-        self.weights = np.concatenate((np.zeros((3, 1)), self.weights[:, told]), axis=1)
+            steps += [np.array([error.sum()]), seen - pair]
+            for w, g, q in zip(weights, steps, squares):
+                g = g - l2 * w
+                q += g * g
+                w += rate * g / np.sqrt(q)
+            for w in weights[:-2]:
+                w[0] = 0.0
+            self.bias = float(weights[-2][0])
+        self._forget()
+
+    def _forget(self, least: float = 0.25) -> None:
+        """Drop the features that say next to nothing."""
+        for kind, numbers in enumerate(self.numbers):
+            size = np.abs(self.own[kind])
+            if kind == 0:
+                size = np.maximum(size, np.abs(self.beside).max(axis=0))
+            told = np.flatnonzero(size >= least)
+            names = {i: f for f, i in numbers.items()}
+            self.numbers[kind] = {names[i]: k + 1 for k, i in enumerate(told.tolist())}
+            self.own[kind] = np.concatenate(([0.0], self.own[kind][told]))
+            if kind == 0:
+                self.beside = np.concatenate((np.zeros((2, 1)), self.beside[:, told]), axis=1)
 
     def signals(self, tokens: Tokens, p: np.ndarray) -> np.ndarray:
         """For each text: 1, the logit of the largest marginal, and the logarithm of their sum."""
@@ -181,20 +203,37 @@ class Field:
 def token_labels(tokens: Tokens, toxic: np.ndarray, least_share: float = 0.02, least_odds: float = 2.5) -> np.ndarray:
     """Which words are toxic, told from which of the texts are.
 
-    A toxic word stands in at least `least_share` of the toxic texts: rarer ones may be there by chance, or
-    because copies of one text are in the sample.
+    A toxic feature stands in at least `least_share` of the toxic texts: rarer ones may be there by chance.
     """
     text = np.repeat(np.arange(len(toxic)), np.diff(tokens.first))
-    pairs = np.unique(text * np.int64(max(1, len(tokens.words))) + tokens.number)
-    word, of = pairs % max(1, len(tokens.words)), pairs // max(1, len(tokens.words))
-    n1 = int(toxic.sum())
-    bad = np.bincount(word[toxic[of]], minlength=len(tokens.words))
-    good = np.bincount(word[~toxic[of]], minlength=len(tokens.words))
-    odds = np.log((bad + 0.5) / (n1 + 1)) - np.log((good + 0.5) / (len(toxic) - n1 + 1))
-    marked = (bad >= max(3, least_share * n1)) & (odds >= least_odds)
+    n1, marked = int(toxic.sum()), np.zeros(len(tokens.words), bool)
+    for prefix in PREFIXES:
+        names = features(tokens.words, prefix)
+        seen: dict[bytes | None, int] = {}
+        number = np.array([seen.setdefault(f, len(seen)) for f in names], np.int64)
+        n = max(1, len(seen))
+        pairs = np.unique(text * np.int64(n) + number[tokens.number])
+        feature, of = pairs % n, pairs // n
+        bad = np.bincount(feature[toxic[of]], minlength=n)
+        good = np.bincount(feature[~toxic[of]], minlength=n)
+        odds = np.log((bad + 0.5) / (n1 + 1)) - np.log((good + 0.5) / (len(toxic) - n1 + 1))
+        strong = (bad >= max(3, least_share * n1)) & (odds >= least_odds)
+        if None in seen:
+            strong[seen[None]] = False
+        marked |= strong[number]
     return marked[tokens.number] & toxic[text]
 
 
+def _without_copies(texts: list[bytes], near: int = 10) -> list[int]:
+    """One of each group of near copies in the sample, else the chance words of a copied text look toxic."""
+    prints = np.array([fingerprint(t) for t in texts], np.int64).view(np.uint64)
+    kept: list[int] = []
+    for i, own in enumerate(prints):
+        if not kept or (np.bitwise_count(prints[kept] ^ own) > near).all():
+            kept.append(i)
+    return kept
+
+
 def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     most_rows: int = 1_500, longest: int = 20_000, held_of: int = 3, held_rest: int = 1,
@@ -213,16 +252,31 @@ def learn(
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
     sample = T.pick(docs, id_col, text_col).where(F.length("text") <= longest).join(chosen, "doc_id").toPandas()
     sample = sample.sort_values(["doc_id", "text"])
-    if sample.toxic.nunique() < 2:
-        return Field([])
-    toxic = (sample.toxic > 0).to_numpy()
     texts = [t.encode() for t in sample.text]
-    tokens = Tokens(texts)
-    marked = token_labels(tokens, toxic)
-    times = Counter(tokens.number.tolist())
-    field = Field([w for i, w in enumerate(tokens.words) if times[i] >= 3])
+    single = _without_copies(texts)
+    sample, texts = sample.iloc[single], [texts[i] for i in single]
+    toxic = (sample.toxic > 0).to_numpy()
+    # Weights from most of the sample, the document model from the rest.
+    part = sample.doc_id.map(lambda i: zlib.crc32(b"%d" % i) // 7 % 10 < 7).to_numpy(bool)
+    if min(len(set(toxic[part].tolist())), len(set(toxic[~part].tolist()))) < 2:
+        part = np.ones(len(texts), bool)
+    if len(set(toxic.tolist())) < 2:
+        return Field([[]] * len(PREFIXES))
+    tokens = Tokens([t for t, p in zip(texts, part) if p])
+    marked = token_labels(tokens, toxic[part])
+    times = np.bincount(tokens.number, minlength=len(tokens.words))
+    vocabulary = []
+    for prefix in PREFIXES:
+        counts: Counter = Counter()
+        for name, n in zip(features(tokens.words, prefix), times.tolist()):
+            if name is not None:
+                counts[name] += n
+        vocabulary.append([f for f, n in counts.items() if n >= 3])
+    field = Field(vocabulary)
     field.fit(tokens, marked)
-    field.calibrate(field.signals(tokens, field.marginals(tokens)), toxic.astype(float))
+    rest = part if part.all() else ~part
+    tokens = Tokens([t for t, r in zip(texts, rest) if r])
+    field.calibrate(field.signals(tokens, field.marginals(tokens)), toxic[rest].astype(float))
     return field
 
 
