@@ -306,3 +306,17 @@ def contamination(
         schema = SCHEMA if last else f"doc_id long, text string, spans {nothing}, item_ids array<string>"
         rows = rows.mapInArrow(lambda it, b=block, z=last: scan(it, b, z), schema)
     return rows
+
+
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
+    """The rows of `docs` that are not contaminated, in the same columns.
+
+    Rows meet their verdict by a number of their own, given where they are read, so equal ids don't mix.
+    """
+    number = T.unused(docs, "number")
+    numbered = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    judged = contamination(numbered, benchmark, number, text_col, **options).where("contaminated")
+    bad = judged.select(F.col("doc_id").alias(number))
+    return numbered.join(bad, number, "left_anti").select(*docs.columns)

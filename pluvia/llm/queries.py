@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm import credentials, decontam, language, packing, simhash, topk, toxicity, urlfilter
+from pluvia.llm import (
+    credentials,
+    decontam,
+    language,
+    licenses,
+    packing,
+    quality,
+    simhash,
+    topk,
+    toxicity,
+    urlfilter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +32,10 @@ def op1_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = credentials.scan(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -34,6 +49,17 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_matches(_read(spark, sf_dir, "documents"))
+    spans = F.transform("matches", lambda m: F.concat_ws(":", m.license, m.start, m.end))
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_distinct("matches.license"), ",").alias("licenses"),
+        F.array_join(spans, ",").alias("spans"),
+    )
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlfilter.filter_urls(_read(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -57,9 +83,11 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_simhash_near_duplicates,
+        op2_quality_classifier,
         op3_secret_scan,
         op4_exact_top_k,
         op5_harmonic_packing,
+        op6_license_scan,
         op7_url_filter,
         op8_language_id,
         op9_benchmark_decontamination,
