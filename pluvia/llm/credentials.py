@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvia.llm import texts as T
+from pluvia.operators.storage import materialise
 
 #: Fixed patterns, for UTF-8 bytes: kind, pattern, group that must have so many characters, how many.
 KINDS = ("assign", "access", "hex")
@@ -286,7 +287,7 @@ def learn(
                 kinds, values = zip(*seen) if seen else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.binary())], ["kind", "value"])
 
-    found = rows.mapInArrow(tokens, "kind int, value binary").distinct()
+    found = materialise(rows.mapInArrow(tokens, "kind int, value binary").distinct(), "labelled")
     labelled: dict[int, list[bytes]] = {}
     for kind in range(len(KINDS) + 1):
         most = most_values * (4 if kind == len(KINDS) else 1)

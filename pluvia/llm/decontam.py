@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from pluvia.llm import texts as T
 
@@ -31,10 +32,6 @@ from pluvia.llm import texts as T
 WORD_BYTES = bytes(
     i if i >= 128 or 48 <= i <= 57 or 97 <= i <= 122 else i + 32 if 65 <= i <= 90 else 32 for i in range(256)
 )
-SCHEMA = (
-    "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
-    "spans array<struct<start: long, end: long>>, item_ids array<string>"
-)
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -251,72 +248,95 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, window: int, b
         yield Phrases(held, window)
 
 
-def contamination(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    window: int = 13,
-    least_share: float = 1 / 20,
-    block_words: int = 500_000,
-) -> DataFrame:
-    """One row for each document: hit words, items, merged spans of word positions (end exclusive), verdict.
+VERDICT = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
-    A document is contaminated if it has a hit word and the hit words are at least `least_share` of its words.
-    """
-    context = docs.sparkSession.sparkContext
+
+def judge(
+    rows: DataFrame,
+    benchmark: DataFrame,
+    text_col: str,
+    item_col: str,
+    item_text_col: str,
+    window: int,
+    least_share: float,
+    block_words: int,
+) -> tuple[DataFrame, dict[str, str]]:
+    """All columns of `rows` and the verdict on each, and under which names the verdict's columns are."""
+    context = rows.sparkSession.sparkContext
     blocks = [context.broadcast(b) for b in blocks_of(benchmark, item_col, item_text_col, window, block_words)]
     per = round(1 / least_share)
+    own = rows.columns
+    names = {n: T.unused(rows, n) for n in ("spans", "item_ids", *VERDICT)}
 
     def scan(batches: Iterator[pa.RecordBatch], block, last: bool) -> Iterator[pa.RecordBatch]:
         phrases = block.value if block is not None else Phrases([], window)
         for batch in batches:
-            for first, some in T.slices(batch):
-                rows = batch.slice(first, len(some))
+            for first, some in T.slices(batch, text_col):
+                part = batch.slice(first, len(some))
                 shard = [words_of(x) for x in some]
-                spans = [[tuple(s.values()) for s in x or ()] for x in rows.column("spans").to_pylist()]
-                items = [set(x or ()) for x in rows.column("item_ids").to_pylist()]
+                spans = [[tuple(s.values()) for s in x or ()] for x in part.column(len(own)).to_pylist()]
+                items = [set(x or ()) for x in part.column(len(own) + 1).to_pylist()]
                 _hits(phrases, shard, spans, items)
                 spans = [merged(x) for x in spans]
                 found = [sorted(i for i in x if i is not None) for x in items]
-                columns = {"doc_id": rows.column("doc_id"), "spans": pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], SPANS), "item_ids": pa.array(found, pa.list_(pa.string()))}
+                columns = part.columns[: len(own)] + [
+                    pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], SPANS),
+                    pa.array(found, pa.list_(pa.string())),
+                ]
                 if last:
                     n_words, n_hit = [len(w) for w in shard], [sum(b - a for a, b in x) for x in spans]
-                    columns |= {
-                        "n_words": pa.array(n_words, pa.int64()),
-                        "n_hit": pa.array(n_hit, pa.int64()),
-                        "n_items": pa.array([len(x) for x in found], pa.int64()),
-                        "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]),
-                        "contaminated": pa.array([h > 0 and per * h >= n for h, n in zip(n_hit, n_words)], pa.bool_()),
-                    }
-                    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "item_ids"]
-                else:
-                    columns["text"] = rows.column("text")
-                    names = ["doc_id", "text", "spans", "item_ids"]
-                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
-
-    nothing = "array<struct<start: long, end: long>>"
-    rows = T.pick(docs, id_col, text_col).select(
-        "doc_id", "text", F.lit(None).cast(nothing).alias("spans"), F.lit(None).cast("array<string>").alias("item_ids")
-    )
+                    columns += [
+                        pa.array(n_words, pa.int64()),
+                        pa.array(n_hit, pa.int64()),
+                        pa.array([len(x) for x in found], pa.int64()),
+                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in found], pa.string()),
+                        pa.array([h > 0 and per * h >= n for h, n in zip(n_hit, n_words)], pa.bool_()),
+                    ]
+                yield pa.RecordBatch.from_arrays(columns, [*own, *list(names.values())[: len(columns) - len(own)]])
+
+    kinds = ["array<struct<start: long, end: long>>", "array<string>", "long", "long", "long", "string", "boolean"]
+    fields = [StructType.fromDDL(f"x {kind}")["x"].dataType for kind in kinds]
+    fields = [StructField(n, f) for n, f in zip(names.values(), fields)]
+    for name, field in list(zip(names.values(), fields))[:2]:
+        rows = rows.withColumn(name, F.lit(None).cast(field.dataType))
+    start = rows.schema.fields[: len(own)]
     for i, block in enumerate(blocks or [None]):
         last = i >= len(blocks) - 1
-        schema = SCHEMA if last else f"doc_id long, text string, spans {nothing}, item_ids array<string>"
+        schema = StructType([*start, *(fields if last else fields[:2])])
         rows = rows.mapInArrow(lambda it, b=block, z=last: scan(it, b, z), schema)
-    return rows
+    return rows, names
 
 
-def without_contaminated(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+def contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 13,
+    least_share: float = 1 / 20,
+    block_words: int = 500_000,
 ) -> DataFrame:
-    """The rows of `docs` that are not contaminated, in the same columns.
+    """One row for each document: hit words, items, merged spans of word positions (end exclusive), verdict.
 
-    Rows meet their verdict by a number of their own, given where they are read, so equal ids don't mix.
+    A document is contaminated if it has a hit word and the hit words are at least `least_share` of its words.
     """
-    number = T.unused(docs, "number")
-    numbered = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    judged = contamination(numbered, benchmark, number, text_col, **options).where("contaminated")
-    bad = judged.select(F.col("doc_id").alias(number))
-    return numbered.join(bad, number, "left_anti").select(*docs.columns)
+    rows = T.pick(docs, id_col, text_col)
+    found, _ = judge(rows, benchmark, "text", item_col, item_text_col, window, least_share, block_words)
+    return found.drop("text")
+
+
+def without_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 13,
+    least_share: float = 1 / 20,
+    block_words: int = 500_000,
+) -> DataFrame:
+    """The rows of `docs` that are not contaminated, in the same columns."""
+    found, names = judge(docs, benchmark, text_col, item_col, item_text_col, window, least_share, block_words)
+    return found.where(~F.col(names["contaminated"])).select(*docs.columns)

@@ -56,10 +56,7 @@ SITE_RULES = [
 
 #: Globs for pages that no listed rule judges.
 OWN_RULES = [
-    Rule("**.spam-*/**", "block"),
-    Rule("*.spam-*", "block"),
-    Rule("*.*-spam.*/**", "block"),
-    Rule("*.casino*.*/**", "block"),
+    *[Rule(glob, "block") for word in ("spam", "casino", "cheap", "free") for glob in (f"*.{word}-*", f"*.{word}-*/**")],
     Rule("**/wp-login.php**", "block"),
     Rule("**/cgi-bin/**", "block"),
 ]
