@@ -48,11 +48,9 @@ def features(some: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]
     points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     small = _letters()[points]
     space = small == 32
-    keep = np.concatenate(([True], ~(space[1:] & space[:-1])))
-    ends = np.cumsum(sizes)
-    keep[ends - 1] = True  # each text ends with a space of its own
-    kept = np.cumsum(keep)
-    ends = kept[ends - 1]
+    keep = ~space  # no space at the beginning of a text, one behind each run of letters
+    keep[1:] |= ~space[:-1]
+    ends = np.cumsum(keep)[np.cumsum(sizes) - 1]
     small = small[keep].astype(np.uint64)
     two = small[:-1] * np.uint64(0x9E3779B97F4A7C15) + small[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
     three = two[:-1] + small[2:] * np.uint64(0x165667B19E3779F9)

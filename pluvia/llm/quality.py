@@ -121,12 +121,15 @@ class LabelModel:
     def __init__(self, counts: dict[str, int], rounds: int = 200, smooth: float = 1.0):
         self.counts = counts
         patterns = sorted(counts)
+        if not patterns:
+            self.posterior, self.votes, self.prior = {}, np.full((2, len(HEURISTICS), 3), 0.5), np.array([0.5, 0.5])
+            return
         v = np.array([["-0+".index(c) for c in p] for p in patterns]).reshape(len(patterns), -1)
         weight = np.array([counts[p] for p in patterns], float)
         # To begin with, a document is bad if any heuristic says so: each kind of junk is seen by a few of them.
-        good = np.where((v == 0).any(axis=1), 0.1, 0.9) if v.size else np.zeros(len(patterns))
+        good = np.where((v == 0).any(axis=1), 0.1, 0.9)
         for _ in range(rounds):
-            table = np.full((2, v.shape[1] if v.size else 0, 3), smooth)
+            table = np.full((2, v.shape[1], 3), smooth)
             for side, share in enumerate((1 - good, good)):
                 for h in range(table.shape[1]):
                     table[side, h] += np.bincount(v[:, h], weight * share, 3)
@@ -136,7 +139,7 @@ class LabelModel:
             prior = (np.array([(weight * (1 - good)).sum(), (weight * good).sum()]) + smooth) / (weight.sum() + 2 * smooth)
             logs = np.stack([np.log(prior[s]) + sum((np.log(table[s, h][v[:, h]]) for h in range(table.shape[1])), np.zeros(len(v))) for s in (0, 1)])
             new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
-            if len(new) == 0 or np.abs(new - good).max() < 1e-9:
+            if np.abs(new - good).max() < 1e-9:
                 good = new
                 break
             good = new

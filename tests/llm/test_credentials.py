@@ -1,0 +1,67 @@
+import hashlib
+import re
+
+from pluvia.llm import credentials as C
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def by_definition(text):
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+def digest(found):
+    return hashlib.sha256(",".join(f"{C.KINDS[k]}:{a}:{b}" for a, k, b in found).encode()).hexdigest()
+
+
+def rows_equal(rows, texts):
+    for r, text in zip(rows, texts):
+        want = by_definition(text)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in want) for i in range(3))
+        assert r.base_sha256 == digest(want)
+        spans = r.spans.split(",") if r.spans else []
+        assert {f"{C.KINDS[k]}:{a}:{b}" for a, k, b in want} <= set(spans)
+        assert len({(a, b) for s in spans for _, a, b in [s.split(":")]}) <= len(spans)
+
+
+def test_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id")
+    rows = sorted(C.scan(docs).collect(), key=lambda r: r.doc_id)
+    rows_equal(rows, [r.text for r in docs.collect()])
+
+
+def test_patterns(spark):
+    hex32 = "0123456789abcdef" * 2
+    texts = ["é PassWord = 'abcdefgh' x", "token:short", "password=token:abcdefghij", f"xx{hex32}g {hex32[:-1]}", "AKIA" + "A" * 11,
+             "AKIAAKIA" + "B2" * 6, f'API_KEY="{hex32}"', "ſecret=abcdefgh toKen=abcdefgh", "apikey: a.b-c_d/e+f="]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows_equal(sorted(C.scan(docs).collect(), key=lambda r: r.doc_id), texts)
+
+
+def test_automaton_learns_the_format(rng):
+    capital = list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    keys = [("AKIA" + "".join(rng.choice(capital, 16))).encode() for _ in range(200)]
+    words = ["".join(rng.choice(list("etaoinshrdlu"), 18)).encode() for _ in range(400)]
+    scorer = C.Scorer({1: keys}, words)
+    secret = "ZQ" + "".join(rng.choice(capital, 18))
+    text = f"ordinary {words[0].decode()} and {secret}. And {words[1].decode().upper()} END".encode()
+    assert [text[a:b].decode() for a, b, _, _ in C.spans_of(text, scorer)] == [secret]
+    assert len(C.Automaton(keys).next) < 40  # far fewer states than the prefix tree
+
+
+def test_odd_rows(spark, odd):
+    rows = C.scan(odd).collect()
+    assert len(rows) == odd.count() and all(r.spans == "" for r in rows)
+    assert C.scan(odd.limit(0)).count() == 0
+    assert C.redact(odd.limit(0)).count() == 0
+
+
+def test_redact(spark, odd):
+    mixed = spark.createDataFrame([(1, "é password=abcdefgh12 token: AKIAABCDEFGHIJKL0 end", 1), (2, None, 2)], "doc_id long, text string, spans long")
+    kept = sorted(C.redact(mixed).collect())
+    assert [tuple(r) for r in kept] == [(1, "é [secret] [secret] end", 1), (2, None, 2)]
+    assert C.redact(odd).schema == odd.schema
