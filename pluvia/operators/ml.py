@@ -10,13 +10,15 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pluvia.config import StudyConfig
 from pluvia.operators import metrics, splits
 
 CFG = StudyConfig()
+#: Trees of a boosted model unless the caller says otherwise.
+TREES = 200
 
 
 # ------------------------------------------------------------------- feature vectors
@@ -65,7 +67,7 @@ def rain_regressor(kind: str = "tweedie", target: str = "chuva_futura_24h", **pa
             featuresCol="features", predictionCol="previsto", maxIter=25, regParam=1e-3, **params,
         )
     return GBTRegressor(
-        labelCol=target, featuresCol="features", predictionCol="previsto", seed=42, **params
+        labelCol=target, featuresCol="features", predictionCol="previsto", seed=42, **{"maxIter": TREES, **params}
     )
 
 
@@ -80,7 +82,7 @@ def _named_outputs(classifier: GBTClassifier) -> GBTClassifier:
 def event_classifier(label: str = "evento_extremo", **params) -> GBTClassifier:
     """Weighted boosted trees; give positives the weight neg/pos in column ``peso``."""
     return _named_outputs(
-        GBTClassifier(labelCol=label, featuresCol="features", weightCol="peso", seed=42, **params)
+        GBTClassifier(labelCol=label, featuresCol="features", weightCol="peso", seed=42, **{"maxIter": TREES, **params})
     )
 
 
@@ -108,14 +110,14 @@ def combiner(columns: Sequence[str], rows: int, label: str = "rotulo", c: float
     )
 
 
-def interaction_tree(columns: Sequence[str], label: str = "rotulo") -> Pipeline:
+def interaction_tree(columns: Sequence[str], label: str = "rotulo", trees: int = TREES) -> Pipeline:
     """Small boosted trees that can use interactions of the same columns."""
     return Pipeline(
         stages=[
             VectorAssembler(inputCols=list(columns), outputCol="features"),
             _named_outputs(
                 GBTClassifier(
-                    labelCol=label, featuresCol="features", maxIter=20, maxDepth=3, stepSize=0.1,
+                    labelCol=label, featuresCol="features", maxIter=trees, maxDepth=3, stepSize=0.1,
                     minInstancesPerNode=20, seed=42,
                 )
             ),
@@ -187,29 +189,31 @@ def recalibration(valid: DataFrame, test: DataFrame, label: str, score: str, *,
 
 
 # ----------------------------------------------------------------------------- search
-def search(rows: DataFrame, candidates: Sequence[dict], build, score, *, maximise: bool,
-           fold="fold", role="papel") -> DataFrame:
-    """Mean score of each candidate over expanding folds, best first.
+def search(rows: DataFrame, limits: DataFrame, candidates: Sequence[dict], build, score, *, maximise: bool,
+           hour: str = "h") -> DataFrame:
+    """Mean score of each candidate over expanding folds, best first; ``ordem`` is the place.
 
-    ``rows`` carries ``fold`` and ``papel`` (see ``with_fold_role``). ``build(params)`` gives
-    an estimator, ``score(predictions)`` a one-row DataFrame with ``valor``. The loop runs
-    over candidates and folds, each a distributed fit; only scores come back.
+    ``limits`` are hour limits (see ``expanding_folds``), so a fold is a filter of the rows and no row is
+    repeated. ``build(params)`` gives an estimator, ``score(predictions)`` a one-row DataFrame with ``valor``.
+    The loop runs over candidates and folds, each a distributed fit; only scores come back.
     """
-    folds = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]
+    folds = limits.orderBy("fold").collect()  # one row per fold, a number the caller chose
     results = []
+    h = F.col(hour)
     for number, params in enumerate(candidates):
         for k in folds:
-            part = rows.where(F.col(fold) == k)
-            model = build(params).fit(part.where(F.col(role) == "treino"))
-            value = score(model.transform(part.where(F.col(role) == "teste"))).first()["valor"]
-            results.append((number, json.dumps(params, sort_keys=True), int(k), float(value)))
+            model = build(params).fit(rows.where(h <= k.train_to))
+            value = score(model.transform(rows.where(h.between(k.test_from, k.test_to)))).first()["valor"]
+            results.append((number, json.dumps(params, sort_keys=True), int(k.fold), float(value)))
     table = rows.sparkSession.createDataFrame(
         results, "candidato int, parametros string, fold int, valor double"
     )
     means = table.groupBy("candidato", "parametros").agg(
         F.avg("valor").alias("media"), F.stddev_pop("valor").alias("desvio")
     )
-    return means.orderBy(F.desc("media") if maximise else F.asc("media"), "candidato")
+    order = [F.desc("media") if maximise else F.asc("media"), F.col("candidato")]
+    place = F.row_number().over(Window.orderBy(*order))  # over the candidates, not over rows
+    return means.withColumn("ordem", place).orderBy("ordem")
 
 
 def random_candidates(space: dict[str, Sequence], trials: int, seed: int = 42) -> list[dict]:
@@ -283,7 +287,7 @@ def feature_importance(model: PipelineModel, names: Sequence[str], spark: SparkS
 
 
 def train(rows: DataFrame, features: Sequence[str], path: str, *, target="chuva_futura_24h",
-          label="evento_extremo", key="station", hour="h", trees: int = 20) -> DataFrame:
+          label="evento_extremo", key="station", hour="h", trees: int = TREES) -> DataFrame:
     """Fit on treino, calibrate and choose the threshold on validacao, measure on teste.
 
     Saves the models and returns tidy test metrics.

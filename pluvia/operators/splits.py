@@ -46,8 +46,8 @@ def split_summary(df: DataFrame, label: str, *, split="janela", hour="h") -> Dat
 
 def require_splits(df: DataFrame, names: tuple[str, ...], split: str = "janela") -> DataFrame:
     """Fail when one of the named windows has no row."""
-    present = {r[0] for r in df.select(split).distinct().limit(10).collect()}
-    empty = [n for n in names if n not in present]
+    found = df.agg(*[F.max(F.col(split) == n).alias(f"w{i}") for i, n in enumerate(names)]).first() if names else ()
+    empty = [n for n, any_row in zip(names, found) if not any_row]
     if empty:
         raise ValueError(f"empty time windows: {empty}")
     return df

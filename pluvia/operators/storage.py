@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,6 +37,40 @@ def materialise(df: DataFrame, name: str = "rows") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """What a store holds, None while it does not exist."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def replace_keys(
+    rows: DataFrame, path: str, keys: Sequence[str], partitions: dict[str, Column], sort: Sequence[str] = ()
+) -> None:
+    """Put rows into a partitioned store; they replace the stored rows with the same keys, no others.
+
+    Only the partitions that the rows fall into are read and written again. Other rows of these partitions
+    are kept. Writers of one store must not run at the same time.
+    """
+    spark = rows.sparkSession
+    batch = materialise(rows.withColumns(partitions), "batch")
+    if (stored := stored_rows(spark, path)) is not None:
+        touched, own = batch.select(*partitions).distinct(), batch.select(*keys).distinct()
+        kept = stored.join(touched, list(partitions), "left_semi").join(own, list(keys), "left_anti")
+        batch = materialise(batch.unionByName(kept, allowMissingColumns=True), "merged")
+    (
+        batch.repartition(*partitions)
+        .sortWithinPartitions(*partitions, *sort)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*partitions)
+        .parquet(path)
+    )
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder that nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -182,8 +182,7 @@ def holes(spark, d):
       '[[', cast(cx - hw + 1e0 as string), ',', cast(cy - hw as string), '],[', cast(cx + hw + 1e0 as string), ',', cast(cy - hw as string),
       '],[', cast(cx + hw + 1e0 as string), ',', cast(cy + hw as string), '],[', cast(cx - hw + 1e0 as string), ',', cast(cy + hw as string), ']]'"""
     orders = V.table(spark, d, "orders")
-    n = F.lit(V.table(spark, d, "supplier").count())
-    rows = orders.withColumn("station", F.col("o_custkey") % n).join(V.stations(spark, d), "station")
+    rows = orders.withColumn("station", F.expr(V.ORDER_STATION)).join(V.stations(spark, d), "station")
     rows = rows.selectExpr("o_orderkey as id", "lon as cx", "lat as cy", f"{V.HALF} as hw")
     shaped = rows.selectExpr("id", f"""case id % 3
       when 0 then concat('{{"type":"Polygon","coordinates":[', {outer}, ',', {hole}, ']}}')
@@ -261,15 +260,14 @@ def common(spark, d):
 
 
 def flood_reports(spark, d):
-    n = F.lit(V.table(spark, d, "supplier").count())
     return V.table(spark, d, "events").select(
-        F.col("event_id").alias("report_id"), (F.col("user_id") % n).alias("station"),
+        F.col("event_id").alias("report_id"), F.expr(V.REPORT_STATION).alias("station"),
         (F.unix_seconds(F.col("ts").cast("timestamp")) - V.REPORT_SHIFT_HOURS * 3600).alias("ts_s"),
         F.expr("case event_type when 'error' then 'sim' when 'view' then 'nao sei' else 'nao' end").alias("alagou"))
 
 
 @query("J16_reports_in_force", ["warnings"], f"""
-with r as (select event_id as report_id, user_id % (select count(*) from supplier) as station,
+with r as (select event_id as report_id, user_id * 2 // 3 as station,
     cast(floor(epoch(ts)) as bigint) - {V.REPORT_SHIFT_HOURS * 3600} as ts_s,
     case event_type when 'error' then 'sim' when 'view' then 'nao sei' else 'nao' end as alagou from events),
 m as (select r.report_id, w.id, w.id_severidade, row_number() over (partition by r.report_id order by w.id_severidade desc, w.inicio desc, w.id desc) as p

@@ -44,16 +44,24 @@ def union(tables):
     return out
 
 
-@query("M4_rain_regressors")
+#: Trees of the model queries; the operators default to `ml.TREES`.
+QUERY_TREES = 20
+
+
+@query("M4_rain_regressors", ["scored"], """
+select modelo, count(*) as n, true as melhor_que_a_media from scored, (values ('tweedie'), ('gbt')) m(modelo) where janela = 'teste' group by 1""")
 def regressors(spark, d):
+    """Whether each regressor's error on the test rows is below that of the mean of the training rows."""
     from pyspark.ml import Pipeline
 
     train, _, test = parts(spark, d)
+    mean = train.agg(F.avg("chuva_futura_24h").alias("m")).scalar()
+    by_mean = metrics.error_scores(test.withColumn("previsto", mean), "chuva_futura_24h", "previsto").select("mae").scalar()
     tables = []
-    for kind, params in (("tweedie", {}), ("gbt", {"maxIter": 5, "maxDepth": 3})):
+    for kind, params in (("tweedie", {}), ("gbt", {"maxIter": QUERY_TREES})):
         model = Pipeline(stages=[*ml.vector_stages(NAMES), ml.rain_regressor(kind, **params)]).fit(train)
         scores = metrics.error_scores(model.transform(test), "chuva_futura_24h", "previsto")
-        tables.append(scores.select(F.lit(kind).alias("modelo"), "mae", "mae_com_chuva", "n"))
+        tables.append(scores.select(F.lit(kind).alias("modelo"), "n", (F.col("mae") < by_mean).alias("melhor_que_a_media")))
     return union(tables)
 
 
@@ -63,28 +71,58 @@ def classifier_pipeline(**params):
     return Pipeline(stages=[*ml.vector_stages(NAMES), ml.event_classifier(**params)])
 
 
-@query("M5_event_classifier")
+def better_than_chance(ap):
+    """Rows, events, and whether the average precision lies above the share of events."""
+    return ap.select("n", "eventos", ((F.col("pr_auc") <= 1) & (F.col("pr_auc") > F.col("eventos") / F.col("n"))).alias("acima_do_acaso"))
+
+
+CHANCE_SQL = "count(*) as n, cast(sum(y) as bigint) as eventos, true as acima_do_acaso from scored"
+
+
+@query("M5_event_classifier", ["scored"], f"select {CHANCE_SQL} where janela = 'teste'")
 def classifier(spark, d):
     train, _, test = parts(spark, d)
-    model = classifier_pipeline(maxIter=5, maxDepth=3).fit(ml.with_class_weight(train, "evento_extremo"))
+    model = classifier_pipeline(maxIter=QUERY_TREES).fit(ml.with_class_weight(train, "evento_extremo"))
     scored = ml.scored_by(model, test, ["station", "h", "evento_extremo"])
-    return metrics.average_precision(scored, "evento_extremo", "score")
+    return better_than_chance(metrics.average_precision(scored, "evento_extremo", "score"))
+
 
+SPACE = {"maxDepth": [2, 3, 4], "stepSize": [0.05, 0.1, 0.2], "subsamplingRate": [0.7, 1.0]}
 
-@query("M6_parameter_search")
+
+@query("M6_parameter_search", (), f"select {ml.CFG.search_trials} as candidatos, true as medias_validas, true as melhor_primeiro")
 def search(spark, d):
+    """The whole search: all trials on all folds, with few trees each."""
     train, _, _ = parts(spark, d)
-    rows = materialise(ml.with_class_weight(splits.with_fold_role(train, splits.expanding_folds(train, 2)), "evento_extremo"))
-    picks = ml.random_candidates({"maxDepth": [2, 3, 4], "stepSize": [0.05, 0.1, 0.2]}, 2)
+    weighted = materialise(ml.with_class_weight(train, "evento_extremo"))
+    limits = splits.expanding_folds(train, ml.CFG.folds_tune)
 
     def ap(predictions):
         scored = predictions.withColumn("_p", ml.positive_probability())
         return metrics.average_precision(scored, "evento_extremo", "_p", name="valor")
 
-    return ml.search(rows, picks, lambda p: classifier_pipeline(maxIter=3, **p), ap, maximise=True)
+    picks = ml.random_candidates(SPACE, ml.CFG.search_trials)
+    found = ml.search(weighted, limits, picks, lambda p: classifier_pipeline(maxIter=3, **p), ap, maximise=True)
+    return found.agg(
+        F.count("*").cast("int").alias("candidatos"),
+        F.bool_and(F.col("media").between(0, 1) & F.col("desvio").between(0, 1)).alias("medias_validas"),
+        (F.max(F.when(F.col("ordem") == 1, F.col("media"))) == F.max("media")).alias("melhor_primeiro"))
+
+
+# The isotonic fit by its max-min formula over distinct scores, and linear interpolation between them.
+ISO_SQL = """pts as (select prob as x, avg(y) as m, count(*) as w from scored where janela = 'validacao' group by 1),
+r as (select x, m, w, row_number() over (order by x) as i, sum(w) over (order by x) as cw, sum(w * m) over (order by x) as cm from pts),
+means as (select a.i as j, b.i as k, (b.cm - a.cm + a.w * a.m) / (b.cw - a.cw + a.w) as mean from r a join r b on b.i >= a.i),
+low as (select j, k, min(mean) over (partition by j order by k desc rows unbounded preceding) as least from means),
+iso as (select r.x, max(low.least) as v from r join low on low.j <= r.i and low.k = r.i group by r.i, r.x),
+asked as (select distinct prob as x from scored where janela = 'teste'),
+near as (select a.x, max(case when i.x <= a.x then i.x end) as lo, min(case when i.x >= a.x then i.x end) as hi from asked a cross join iso i group by a.x),
+cal as (select n.x, case when n.lo is null then h.v when n.hi is null or n.lo = n.hi then l.v else l.v + (h.v - l.v) * (n.x - n.lo) / (n.hi - n.lo) end as c
+  from near n left join iso l on l.x = n.lo left join iso h on h.x = n.hi)"""
 
 
-@query("M7_isotonic_calibration")
+@query("M7_isotonic_calibration", ["scored"], f"""
+with {ISO_SQL} select s.station, s.h, s.prob, round(c.c, 6) as calibrado from scored s join cal c on c.x = s.prob where s.janela = 'teste'""")
 def isotonic(spark, d):
     rows = V.scored(spark, d)
     model = ml.fit_isotonic(rows.where("janela = 'validacao'"), "prob", "y")
@@ -92,49 +130,74 @@ def isotonic(spark, d):
     return out.select("station", "h", "prob", round6(F.col("calibrado")).alias("calibrado"))
 
 
-@query("M7_recalibration")
+@query("M7_recalibration", ["scored"], """
+with d as (select count(*) as n from (select distinct station, h // 24 from scored where janela = 'teste'))
+select unnest(['antes', 'so o corte', 'isotonica e corte']) as variante, n, true as validos from d""")
 def recalibration(spark, d):
     rows = V.scored(spark, d)
     old = ml.fit_isotonic(rows.where("janela = 'treino'"), "prob", "y")
-    return ml.recalibration(
+    out = ml.recalibration(
         rows.where("janela = 'validacao'"), rows.where("janela = 'teste'"), "y", "prob", old=old, old_threshold=0.26)
+    parts_ = [F.col(c).between(0, 1) for c in ("threshold", "f1", "precision", "recall", "pr_auc")]
+    kept = (F.col("variante") != "antes") | (F.col("threshold") == 0.26)
+    return out.select("variante", "n", (parts_[0] & parts_[1] & parts_[2] & parts_[3] & parts_[4] & kept).alias("validos"))
 
 
-VARIANTS = {"V2 previsto + local": ["ifs_log", "mm_c", "chuva_24h"], "V4 previsto + dois": ["ifs_log", "mm_c"]}
+LOCAL = ["chuva_24h", "mm_c", "umidade", "orvalho", "queda_pressao_24h"]
+VARIANTS = {
+    "V0": [],
+    "V1": ["prob"],
+    "V2": LOCAL,
+    "V3": ["prob", *LOCAL],
+    "V4": ["orvalho", "queda_pressao_24h"],
+}
 
 
 def combiner_rows(spark, d):
-    return V.scored(spark, d).where(F.col("janela").isNotNull()).selectExpr(
-        "station", "h", "janela", "y as rotulo", "ln(1 + greatest(previsto, 0)) as ifs_log", "previsto",
-        "mm_c / 1000e0 as mm_c", "chuva_24h / 10000e0 as chuva_24h")
+    """Rows that have all local observations; the pressure drop looks 24 hours back."""
+    now = V.weather(spark, d).select("station", "h", "umidade", "orvalho", "pressao")
+    before = now.select("station", (F.col("h") + 24).alias("h"), F.col("pressao").alias("antes"))
+    rows = V.scored(spark, d).where(F.col("janela").isNotNull()).join(now, ["station", "h"]).join(before, ["station", "h"])
+    return rows.where("umidade is not null and orvalho is not null and pressao is not null and antes is not null").selectExpr(
+        "station", "h", "janela", "y as rotulo", "ln(1 + greatest(previsto, 0)) as ifs_log", "previsto", "prob",
+        "mm_c / 1000e0 as mm_c", "chuva_24h / 10000e0 as chuva_24h", "umidade", "orvalho", "antes - pressao as queda_pressao_24h")
 
 
-@query("M8_linear_combiners")
+COMBINED_SQL = """comb as (select s.* from scored s join weather w using (station, h) join weather p on p.station = s.station and p.h = s.h - 24
+  where s.janela is not null and w.umidade is not null and w.orvalho is not null and w.pressao is not null and p.pressao is not null)"""
+
+
+@query("M8_linear_combiners", ["scored", "weather"], f"""
+with {COMBINED_SQL}, p as (select unnest(['V0', 'V1', 'V2', 'V3', 'V4']) as variante)
+select variante, case janela when 'validacao' then 'dentro' else 'fora' end as amostra, {CHANCE_SQL.replace("from scored", "from comb, p")}
+where janela in ('validacao', 'teste') group by 1, 2""")
 def combiners(spark, d):
+    """The forecast alone (V0), with the model's score, with local observations, with both, with two of them."""
     rows = materialise(combiner_rows(spark, d))
     fit, test = rows.where("janela = 'validacao'"), rows.where("janela = 'teste'")
     n = fit.count()
     tables = []
     for name, columns in VARIANTS.items():
-        model = ml.combiner(columns, n).fit(fit)
+        model = ml.combiner(["ifs_log", *columns], n).fit(fit)
         for sample, part in (("dentro", fit), ("fora", test)):
-            ap = metrics.average_precision(ml.scored_by(model, part, ["rotulo"]), "rotulo", "score")
-            tables.append(ap.select(F.lit(name).alias("variante"), F.lit(sample).alias("amostra"), "pr_auc", "n"))
+            ap = better_than_chance(metrics.average_precision(ml.scored_by(model, part, ["rotulo"]), "rotulo", "score"))
+            tables.append(ap.select(F.lit(name).alias("variante"), F.lit(sample).alias("amostra"), *ap.columns))
     return union(tables)
 
 
-@query("M9_interaction_tree")
+@query("M9_interaction_tree", ["scored", "weather"], f"with {COMBINED_SQL} select {CHANCE_SQL.replace('from scored', 'from comb')} where janela = 'teste'")
 def tree(spark, d):
     rows = materialise(combiner_rows(spark, d))
-    model = ml.interaction_tree(["ifs_log", "mm_c", "chuva_24h"]).fit(rows.where("janela = 'validacao'"))
-    return metrics.average_precision(ml.scored_by(model, rows.where("janela = 'teste'"), ["rotulo"]), "rotulo", "score")
+    model = ml.interaction_tree(["ifs_log", *LOCAL], trees=QUERY_TREES).fit(rows.where("janela = 'validacao'"))
+    return better_than_chance(metrics.average_precision(ml.scored_by(model, rows.where("janela = 'teste'"), ["rotulo"]), "rotulo", "score"))
 
 
 @query("M10_yardstick_sanity", ["scored"], f"""
 with t as (select * from scored where janela = 'teste'), {_ap_sql("t", "previsto")}
 select round(pr_auc, 6) as pr_auc_regua, round(pr_auc, 6) as pr_auc_logistica from ap""")
 def sanity(spark, d):
-    rows = materialise(combiner_rows(spark, d))
+    rows = materialise(V.scored(spark, d).where(F.col("janela").isNotNull()).selectExpr(
+        "janela", "y as rotulo", "ln(1 + greatest(previsto, 0)) as ifs_log", "previsto"))
     fit, test = rows.where("janela = 'validacao'"), rows.where("janela = 'teste'")
     scored = ml.scored_by(ml.combiner(["ifs_log"], fit.count()).fit(fit), test, ["rotulo", "previsto"])
     alone = metrics.average_precision(scored, "rotulo", "previsto", name="pr_auc_regua")
@@ -142,19 +205,27 @@ def sanity(spark, d):
     return r6(alone.select("pr_auc_regua", through.scalar().alias("pr_auc_logistica")), "pr_auc_regua", "pr_auc_logistica")
 
 
-@query("M11_train_and_score_batch")
+@query("M11_train_and_score_batch", ["scored"], "select station, h, true as coerente from scored where janela = 'teste'")
 def train_and_score(spark, d):
+    """Every test row is scored, with an amount of at least 0, a risk and the alert that follows from it."""
     rows = materialise(training_rows(spark, d))
     folder = scratch_folder(spark, "models")
-    ml.train(rows, [*NAMES, "soil_moisture"], folder, trees=5)
-    return ml.score_batch(rows.where("janela = 'teste'"), folder, ["station", "h"])
+    ml.train(rows, [*NAMES, "soil_moisture"], folder, trees=QUERY_TREES)
+    risk = F.col("risco_evento_extremo")
+    # The risk is rounded after the comparison, so rows next to the threshold may fall on either side.
+    alert = (F.col("alerta") == (risk > F.col("threshold"))) | (F.abs(risk - F.col("threshold")) <= 1e-4)
+    return ml.score_batch(rows.where("janela = 'teste'"), folder, ["station", "h"]).select(
+        "station", "h", (alert & risk.between(0, 1) & (F.col("chuva_24h_prevista") >= 0)).alias("coerente"))
 
 
-@query("M12_feature_importance")
+@query("M12_feature_importance", (), f"""
+select unnest([{", ".join(f"'{n}', '{n}_ausente'" for n in NAMES)}]) as feature, true as valida, true as soma_um""")
 def importance(spark, d):
     train, _, _ = parts(spark, d)
-    model = classifier_pipeline(maxIter=5, maxDepth=3).fit(ml.with_class_weight(train, "evento_extremo"))
-    return ml.feature_importance(model, NAMES, spark)
+    model = classifier_pipeline(maxIter=QUERY_TREES).fit(ml.with_class_weight(train, "evento_extremo"))
+    table = ml.feature_importance(model, NAMES, spark)
+    total = table.agg(F.sum("importancia").alias("s")).scalar()
+    return table.select("feature", F.col("importancia").between(0, 1).alias("valida"), (F.abs(total - 1) < 1e-6).alias("soma_um"))
 
 
 DEGRADE_SQL = f"""base as (select s.station, s.h, s.y, cast(s.mm_c as double) as x from scored s),
@@ -217,8 +288,7 @@ def snapshot_stream(spark, d):
 
 def warning_stream(spark, d):
     orders = stream(spark, d, "orders")
-    n = V.table(spark, d, "supplier").count()
-    return V.shape_warnings(orders.withColumn("station", F.col("o_custkey") % F.lit(n)), V.stations(spark, d))
+    return V.shape_warnings(orders.withColumn("station", F.expr(V.ORDER_STATION)), V.stations(spark, d))
 
 
 @query("S2_warning_stream", ["pairs"], "select station, dia, id, descricao, id_severidade from pairs")
@@ -232,7 +302,7 @@ def warnings_arriving(spark, d):
 
 NOTIFY_SQL = """with recursive ev as (
   select station, ts_s, arg_min(id, -sev * 100000000 + id) as id, max(sev) as sev from (
-    select o_custkey % (select count(*) from supplier) as station, cast(epoch(inicio) as bigint) as ts_s, id, id_severidade as sev
+    select o_custkey // 15 as station, cast(epoch(inicio) as bigint) as ts_s, id, id_severidade as sev
     from warnings w join orders o on o.o_orderkey = w.id where id_severidade >= 7) group by 1, 2),
 n as (select *, row_number() over (partition by station order by ts_s) as rn from ev),
 st as (
@@ -256,8 +326,7 @@ def warning_events(rows):
 
 @query("S3_notification_policy")
 def notification_policy(spark, d):
-    n = F.lit(V.table(spark, d, "supplier").count())
-    place = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % n).alias("station"))
+    place = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr(V.ORDER_STATION).alias("station"))
     return notify.notifications(warning_events(V.warnings(spark, d).join(place, "id")))
 
 
@@ -284,14 +353,13 @@ def rain_window_stream(spark, d):
 
 
 @query("S5_report_warning_stream", ["warnings"], f"""
-with r as (select event_id as report_id, user_id % (select count(*) from supplier) as station, cast(floor(epoch(ts)) as bigint) - {V.REPORT_SHIFT_HOURS * 3600} as ts_s from events)
+with r as (select event_id as report_id, user_id * 2 // 3 as station, cast(floor(epoch(ts)) as bigint) - {V.REPORT_SHIFT_HOURS * 3600} as ts_s from events)
 select r.report_id, w.id, w.id_severidade from r join stations s using (station) join warnings w
   on s.lon >= w.cx - w.hw and s.lon < w.cx + w.hw and s.lat >= w.cy - w.hw and s.lat < w.cy + w.hw
   and r.ts_s between cast(epoch(w.inicio) as bigint) and cast(epoch(w.fim) as bigint)""")
 def report_stream(spark, d):
-    n = V.table(spark, d, "supplier").count()
     reports = stream(spark, d, "events").select(
-        F.col("event_id").alias("report_id"), (F.col("user_id") % F.lit(n)).alias("station"),
+        F.col("event_id").alias("report_id"), F.expr(V.REPORT_STATION).alias("station"),
         F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp")) - V.REPORT_SHIFT_HOURS * 3600).alias("ts"))
     arriving = warning_stream(spark, d).select("id", "id_severidade", "inicio", "fim", "poligono")
     return run(spark, feeds.reports_with_warnings(reports, arriving, V.stations(spark, d)), "s5").select("report_id", "id", "id_severidade")

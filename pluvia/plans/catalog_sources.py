@@ -91,17 +91,24 @@ def rejected(spark, d):
     return bad.select(text.station_code(F.col("path")).alias("codigo"), "motivo")
 
 
-@query("A7_incremental_rebuild", ["weather"], "select station % 2 as resto, count(*) as linhas, min(h) as inicio, max(h) as fim from weather where station % 2 = 1 and station % 4 <> 3 group by 1")
+@query("A7_incremental_rebuild", ["weather"], """
+select station, count(*) as linhas, min(h) as inicio, max(h) as fim, round(sum(precipitacao) + case when station % 4 = 0 then count(precipitacao) else 0 end, 4) as total
+from weather where station % 4 <> 3 group by station""")
 def incremental(spark, d):
+    """Two runs: the files of even stations, then the others and those of every fourth station, which changed."""
+    number = F.regexp_extract("path", "_[A-Z]([0-9]{3})_", 1).cast("long")
     lines = station_lines(spark, d).withColumn("modified", F.lit("2024-01-31").cast("timestamp"))
-    done = lines.where(F.col("path").rlike("_[A-Z][0-9]{2}[02468]_")).select("path", "modified").distinct()
-    fresh = station_csv.unprocessed(lines, done)
-    good, _ = station_csv.station_files(fresh)
-    folder = scratch_folder(spark, "silver")
-    station_csv.write_silver(station_csv.observations(fresh, good, ["precipitacao"]), folder)
-    stored = spark.read.parquet(folder)
-    number = F.substring("station", 2, 3).cast("long") % 2
-    return stored.groupBy(number.alias("resto")).agg(F.count("*").alias("linhas"), F.min("h").alias("inicio"), F.max("h").alias("fim"))
+    folder, done = scratch_folder(spark, "silver"), None
+    for batch in (lines.where(number % 2 == 0), lines.withColumn("modified", F.when(number % 4 == 0, F.lit("2024-02-01").cast("timestamp")).otherwise(F.col("modified")))):
+        fresh = batch if done is None else station_csv.unprocessed(batch, done)
+        good, _ = station_csv.station_files(fresh)
+        rows = station_csv.observations(fresh, good, ["precipitacao"])
+        if done is not None:
+            rows = rows.withColumn("precipitacao", F.when(number % 4 == 0, F.col("precipitacao") + 1).otherwise(F.col("precipitacao")))
+        station_csv.write_silver(rows, folder)
+        done = station_csv.processed_files(fresh)
+    return spark.read.parquet(folder).groupBy((F.substring("station", 2, 3).cast("long") - 100).alias("station")).agg(
+        F.count("*").alias("linhas"), F.min("h").alias("inicio"), F.max("h").alias("fim"), F.round(F.sum("precipitacao"), 4).alias("total"))
 
 
 @query("A8_hourly_payload", ["weather"], "select station, h, umidade as cloud_cover_low, pressao as soil_moisture, cast(null as double) as wind_speed_100m from weather")
@@ -131,7 +138,8 @@ select station, cast(date_diff('day', date '1970-01-01', dia) * 24 as bigint) as
 def yearly(spark, d):
     rows = V.daily(spark, d).select("station", (F.unix_date("dia").cast("long") * 24).alias("h"), "mm")
     folder = scratch_folder(spark, "yearly")
-    stores.write_by_year(rows, folder)
+    stores.write_by_year(rows.where("station % 2 = 0").withColumn("mm", F.col("mm") + F.expr("case when station % 4 = 0 then 1 else 0 end")), folder)
+    stores.write_by_year(rows.where("station % 2 = 1 or station % 4 = 0"), folder)
     return stores.read_days(spark, folder, "1997-03-01", "1998-02-15").select("station", "h", "mm")
 
 
@@ -140,7 +148,8 @@ def archive(spark, d):
     folder = scratch_folder(spark, "archive")
     base = V.weather(spark, d)
     for model, factor in (("m1", 1), ("m2", 2)):
-        stores.write_forecast_archive(base.select("station", "h", (F.col("precipitacao") * factor).alias("precipitation")), folder, model, "2024")
+        extra = ["umidade"] if model == "m1" else []
+        stores.write_forecast_archive(base.select("station", "h", (F.col("precipitacao") * factor).alias("precipitation"), *extra), folder, model, "2024")
     return stores.read_forecast_archive(spark, folder, "m2", "2024", ["precipitation"])
 
 
@@ -193,13 +202,14 @@ def in_window(spark, d):
 
 
 @query("A16_id_range_coverage", (), """
-with n as (select max(o_orderkey) as hi from orders), a as (select o_orderkey as id, o_orderkey % 7 <> 0 as obtido from orders where o_orderkey % 1000 < 990),
-b as (select unnest(generate_series(200, 1400, 500)) as lo), k as (select lo, least(lo + 499, 1400) as hi from b union all select 100, 199 union all select 1401, 1500)
+with n as (select min(o_orderkey) as lo, max(o_orderkey) as hi from orders), a as (select o_orderkey as id, o_orderkey % 7 <> 0 as obtido from orders where o_orderkey % 1000 < 990),
+b as (select unnest(generate_series(lo, hi, 500)) as lo, hi as top from n), k as (select lo, least(lo + 499, top) as hi from b union all select lo - 100, lo - 1 from n union all select hi + 1, hi + 100 from n)
 select k.lo, k.hi, count(a.id) as tentados, count(a.id) filter (a.obtido) as obtidos, count(a.id) = k.hi - k.lo + 1 as completo
 from k left join a on a.id between k.lo and k.hi group by 1, 2""")
 def id_coverage(spark, d):
     attempts = V.table(spark, d, "orders").selectExpr("o_orderkey as id", "o_orderkey % 7 <> 0 as obtido").where("id % 1000 < 990")
-    return quality.id_blocks(attempts, 200, 1400, 500, 100)
+    low, high = V.table(spark, d, "orders").agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    return quality.id_blocks(attempts, low, high, 500, 100)
 
 
 @query("A17_missing_station_years", ["obs_daily"], """
@@ -241,12 +251,13 @@ def feed(spark, d):
     return payloads.feed_records(documents)
 
 
-LOCAL_SQL = """covering as (select distinct w.id from warnings w join stations s on s.station < 20 and s.lon >= w.cx - w.hw and s.lon < w.cx + w.hw and s.lat >= w.cy - w.hw and s.lat < w.cy + w.hw
+LOCAL_SQL = """covering as (select distinct w.id from warnings w join supplier p on p.s_nationkey < 5 join stations s on s.station = p.s_suppkey and s.lon >= w.cx - w.hw and s.lon < w.cx + w.hw and s.lat >= w.cy - w.hw and s.lat < w.cy + w.hw
   where w.id % 6 <> 1 and w.id % 5 <> 0 and w.descricao in ('Chuvas Intensas', 'Tempestade', 'Acumulado de Chuva'))"""
 
 
 def local_stations(spark, d):
-    return V.stations(spark, d).where("station < 20")
+    home = V.table(spark, d, "supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("station"))
+    return V.stations(spark, d).join(home, "station", "left_semi")
 
 
 @query("A19_feed_candidates", ["warnings"], f"with {LOCAL_SQL} select id from covering where id % 40 <> 8")
@@ -266,8 +277,7 @@ select cx, id, severidade from (select *, row_number() over (partition by cx, cy
   case severidade when 'Grande Perigo' then 3 when 'Perigo' then 2 when 'Perigo Potencial' then 1 else 0 end desc, inicio desc, id) as r from warnings) where r = 1""")
 def severest(spark, d):
     rows = V.warnings(spark, d).select("id", "severidade", "inicio", F.get_json_object("poligono", "$.coordinates[0]").alias("place"))
-    n = F.lit(V.table(spark, d, "supplier").count())
-    place = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % n).alias("station"))
+    place = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr(V.ORDER_STATION).alias("station"))
     located = rows.join(place, "id").join(V.stations(spark, d).select("station", F.col("lon").alias("cx")), "station")
     return warnings.severest(located, ["station"]).select("cx", "id", "severidade")
 

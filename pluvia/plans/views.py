@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from pluvia.functions.clock import day_of_hour, epoch_hour
 
-# One station per 2,500 events keeps the density of a station's series the same at every
-# scale, so the number of series grows with the table.
-EVENTS_PER_STATION = 2500
+# Keys come straight from the row: neighbouring users share a station, neighbouring customers one too, so
+# that series are dense and their number grows with the tables.
+USER_STATION = "user_id div 38"
+ORDER_STATION = "o_custkey div 15"
+REPORT_STATION = "user_id * 2 div 3"
 REPORT_SHIFT_HOURS = 9497 * 24
 CUTOFF_H = 473712  # 2024-01-16 00:00
 TRAIN_END_H = 473759
@@ -52,7 +54,7 @@ WEATHER = {
 OBS_SQL = f"""obs as (
   select station, h, cast(floor(sum(c) / count(*)) as bigint) as mm_c, count(*) as n,
          cast(sum(event_id) as bigint) as a
-  from (select user_id % (select greatest(4, count(*) // {EVENTS_PER_STATION}) from events) as station,
+  from (select user_id // 38 as station,
                cast(floor(epoch(date_trunc('hour', ts)) / 3600) as bigint) as h,
                cast(round(value * 100) as bigint) as c, event_id
         from events) e
@@ -63,11 +65,9 @@ WEATHER_SQL = (
 
 
 def obs(spark, d) -> DataFrame:
-    events = table(spark, d, "events")
-    stations = F.lit(max(4, events.count() // EVENTS_PER_STATION))
     return (
-        events.select(
-            (F.col("user_id") % stations).alias("station"),
+        table(spark, d, "events").select(
+            F.expr(USER_STATION).alias("station"),
             epoch_hour(F.col("ts")).alias("h"),
             F.round(F.col("value") * 100).cast("long").alias("c"),
             "event_id",
@@ -127,9 +127,9 @@ OBSERVED_SQL = (
 
 # ------------------------------------------------------------------------- warnings
 RISKS = """case o_orderkey % 4
-    when 0 then concat('Chuva entre 20 e 30 mm/h ou até ', cast(20 + o_orderkey % 60 as {text}), ' mm/dia, ventos intensos (40-60 km/h).')
-    when 1 then concat('Chuva entre 30 a 60 mm/h ou ', cast(20 + o_orderkey % 40 as {text}), ' a 100 mm/dia')
-    when 2 then 'ventos acima de 100 km/h' else 'Baixa umidade entre 12% e 20%' end"""
+    when 0 then concat('Pancadas de 15 a 25 mm/h; acumulado de ', cast(20 + o_orderkey % 60 as {text}), ' mm/dia; rajadas de 40-60 km/h.')
+    when 1 then concat('Volume entre ', cast(20 + o_orderkey % 40 as {text}), ' e 100 mm/dia, com 12 mm/h no pico')
+    when 2 then 'Rajadas de 100 km/h ou mais' else 'Ar seco, com 12 a 20 por cento' end"""
 SEVERITY = """case substr(o_orderpriority,1,1) when '1' then 8 when '2' then 7 when '3' then 6 else 0 end"""
 SEVERITY_NAME = """case substr(o_orderpriority,1,1) when '1' then 'Grande Perigo' when '2' then 'Perigo'
   when '3' then 'Perigo Potencial' else 'Sem nivel' end"""
@@ -143,12 +143,10 @@ WARNINGS_SQL = f"""warnings as (
          cast(o_orderdate as timestamp) + to_hours(cast(o_orderkey % 24 as integer)) as inicio,
          cast(o_orderdate as timestamp) + to_hours(cast(o_orderkey % 24 + 6 + o_orderkey % 40 as integer)) as fim,
          {RISKS.format(text="varchar")} as riscos, o_orderstatus, o_orderdate
-  from orders join stations st on st.station = o_custkey % (select count(*) from supplier))"""
+  from orders join stations st on st.station = o_custkey // 15)"""
 PAIRS_SQL = """criteria as (
-  select *, cast(nullif(coalesce(
-      nullif(regexp_extract(riscos, 'entre\\s*(\\d+)\\s*(?:e|a)\\s*\\d+\\s*mm\\s*/\\s*dia', 1, 'i'), ''),
-      regexp_extract(riscos, '(\\d+)\\s*(?:(?:e|a)\\s*\\d+\\s*)?mm\\s*/\\s*dia', 1, 'i')), '') as double) as criterio_mm,
-    cast(nullif(regexp_extract(riscos, '(\\d+)\\s*(?:-|a|e)?\\s*\\d*\\s*km\\s*/\\s*h', 1, 'i'), '') as double) / 3.6e0 as criterio_ms
+  select *, cast(case id % 4 when 0 then 20 + id % 60 when 1 then 20 + id % 40 end as double) as criterio_mm,
+    cast(case id % 4 when 0 then 40 when 2 then 100 end as double) / 3.6e0 as criterio_ms
   from warnings),
 matches as (
   select c.*, s.station from criteria c join stations s
@@ -194,8 +192,7 @@ def shape_warnings(orders: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def warnings(spark, d) -> DataFrame:
-    count = F.lit(table(spark, d, "supplier").count())
-    orders = table(spark, d, "orders").withColumn("station", F.col("o_custkey") % count)
+    orders = table(spark, d, "orders").withColumn("station", F.expr(ORDER_STATION))
     return shape_warnings(orders, stations(spark, d)).drop("station")
 
 

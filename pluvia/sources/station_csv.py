@@ -17,6 +17,7 @@ from pluvia.functions import text
 from pluvia.functions.clock import epoch_hour
 from pluvia.operators.cleaning import observation_time
 from pluvia.operators.joins import attach
+from pluvia.operators.storage import replace_keys
 
 # Canonical names of the date and hour columns of both layouts.
 OLD_DATE, OLD_HOUR = "DATA (YYYY-MM-DD)", "HORA (UTC)"
@@ -51,10 +52,13 @@ def in_states(lines: DataFrame, states: Sequence[str] = ("RS",), path: str = "pa
 
 
 def _kind(line: Column) -> Column:
+    """What a line is; NULL for a blank one. What is nothing else is a row, readable or not."""
     return (
-        F.when(line.rlike(r"^\d{4}[-/]\d{2}[-/]\d{2};"), "row")
+        F.when(F.trim(line) == "", F.lit(None))
+        .when(line.rlike(r"^\d{4}[-/]\d{2}[-/]\d{2};"), "row")
         .when(line.rlike(r"^[^;:]+:"), "meta")
         .when(text.canonical_header(line).startswith("DATA"), "names")
+        .otherwise("row")
     )
 
 
@@ -107,7 +111,8 @@ def observations(lines: DataFrame, files: DataFrame,
     """Typed hourly rows: station, hour, measurements, metadata, file path.
 
     Headers of both layouts lead to the same columns; where two headers mean the same
-    column, the first with a number wins. Rows with an unreadable time have NULL ``h``.
+    column, the first with a number wins. Lines without a readable time, broken ones included,
+    have NULL ``h`` (`unreadable_lines` lists them).
     """
     rows = lines.where(_kind(F.col("line")) == "row").select(
         "path", "line", F.split("line", ";").alias("_v")
@@ -137,20 +142,27 @@ def observations(lines: DataFrame, files: DataFrame,
     )
 
 
+def unreadable_lines(lines: DataFrame) -> DataFrame:
+    """``path, line, motivo`` of the data lines that do not begin with a date, to go with the rejected files."""
+    bad = (_kind(F.col("line")) == "row") & ~F.col("line").rlike(r"^\d{4}[-/]\d{2}[-/]\d{2};")
+    return lines.where(bad).select("path", "line", F.lit("no date at the beginning").alias("motivo"))
+
+
 def unprocessed(lines: DataFrame, processed: DataFrame) -> DataFrame:
     """Lines of files that are new or changed since they were last processed."""
     return lines.join(processed.select("path", "modified"), ["path", "modified"], "left_anti")
 
 
-def write_silver(rows: DataFrame, path: str, hour: str = "h") -> None:
-    """Parquet partitioned by year; only the years in ``rows`` are replaced."""
+def write_silver(rows: DataFrame, path: str, hour: str = "h", lots: int = 16) -> None:
+    """Add rows to a store by year and lot of stations.
+
+    All rows of a file replace what the store has of that file; other files, stations and years stay.
+    """
     year = F.year(F.timestamp_seconds(F.col(hour) * 3600))
-    (
-        rows.withColumn("ano", year)
-        .repartition("ano", F.pmod(F.xxhash64("station"), F.lit(16)))
-        .sortWithinPartitions("station", hour)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("ano")
-        .parquet(path)
-    )
+    lot = F.pmod(F.xxhash64("station"), F.lit(lots))
+    replace_keys(rows, path, ["path"], {"ano": year, "lote": lot}, ["station", hour])
+
+
+def processed_files(rows: DataFrame) -> DataFrame:
+    """The table for `unprocessed`: which files, in which state, were read."""
+    return rows.select("path", "modified").distinct()

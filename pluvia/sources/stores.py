@@ -7,18 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pluvia.operators.storage import replace_keys
 
-def write_by_year(series: DataFrame, path: str, hour: str = "h") -> None:
-    """Store a series partitioned by year, replacing the years it contains."""
+
+def write_by_year(series: DataFrame, path: str, hour: str = "h", lots: int = 16) -> None:
+    """Add a series to a store by year and lot of stations, replacing the station-years it contains."""
     year = F.year(F.timestamp_seconds(F.col(hour) * 3600))
-    (
-        series.withColumn("ano", year)
-        .repartition("ano", F.pmod(F.xxhash64("station"), F.lit(16)))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("ano")
-        .parquet(path)
-    )
+    lot = F.pmod(F.xxhash64("station"), F.lit(lots))
+    replace_keys(series, path, ["station", "ano"], {"ano": year, "lote": lot}, ["station", hour])
 
 
 def read_days(spark: SparkSession, path: str, first: str, last: str, hour: str = "h") -> DataFrame:
@@ -30,9 +26,14 @@ def read_days(spark: SparkSession, path: str, first: str, last: str, hour: str =
 
 
 def write_forecast_archive(series: DataFrame, path: str, model: str, window: str) -> None:
-    """Store an archived forecast under its model and time window."""
+    """Store an archived forecast under its model and time window, with the names of its variables."""
+    names = [c for c in series.columns if c not in ("station", "h")]
     (
-        series.withColumns({"modelo": F.lit(model), "periodo": F.lit(window)})
+        series.withColumns({
+            "modelo": F.lit(model),
+            "periodo": F.lit(window),
+            "variaveis": F.array(*[F.lit(n) for n in names]).cast("array<string>"),
+        })
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("modelo", "periodo")
@@ -42,13 +43,15 @@ def write_forecast_archive(series: DataFrame, path: str, model: str, window: str
 
 def read_forecast_archive(spark: SparkSession, path: str, model: str, window: str,
                           variables: Sequence[str]) -> DataFrame:
-    """One model and window; fails when a requested variable was never stored."""
-    stored = spark.read.parquet(path)
-    missing = [v for v in variables if v not in stored.columns]
+    """One model and window; fails when a requested variable was never stored for them."""
+    stored = spark.read.option("mergeSchema", True).parquet(path)
+    chosen = stored.where((F.col("modelo") == model) & (F.col("periodo") == window))
+    # One write fills a model and window, so any row names its variables.
+    row = chosen.select("variaveis").first()
+    missing = [v for v in variables if row is None or v not in row.variaveis]
     if missing:
-        raise ValueError(f"variables are not in the archive: {missing}")
-    chosen = (F.col("modelo") == model) & (F.col("periodo") == window)
-    return stored.where(chosen).select("station", "h", *variables)
+        raise ValueError(f"variables are not in the archive of {model}, {window}: {missing}")
+    return chosen.select("station", "h", *variables)
 
 
 def latest_snapshot_means(snapshots: DataFrame, columns: Sequence[str], hours: int = 24, *,

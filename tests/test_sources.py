@@ -47,10 +47,12 @@ def test_gauge_file(spark, tmp_path):
 
 
 @pytest.mark.parametrize("sentence, mm, ms", [
-    ("Chuva entre 20 e 30 mm/h ou até 50 mm/dia, ventos intensos (40-60 km/h).", 50.0, 40 / 3.6),
-    ("Chuva entre 30 a 60 mm/h ou 50 a 100 mm/dia", 50.0, None),
-    ("entre 50 e 100 mm/dia", 50.0, None),
-    ("superior a 60 mm/h ou acima de 100 mm/dia, ventos superiores a 100 km/h", 100.0, 100 / 3.6),
+    ("Pancadas de 15 a 25 mm/h; acumulado de 48 mm/dia; rajadas de 45-70 km/h.", 48.0, 45 / 3.6),
+    ("Volume entre 33 e 90 mm / dia, com 12 mm/h no pico", 33.0, None),
+    ("Total de 5 mm/dia no norte, entre 70,5 a 90 mm/dia no sul", 70.5, None),
+    ("de 20 a 45mm/dia", 20.0, None),
+    ("(80 mm/dia), vento de 100km/h ou 60 a 90 km/h", 80.0, 100 / 3.6),
+    ("mm/dia sem valor, depois 9 mm/dia", 9.0, None),
     ("Chuva de 30 mm/h", None, None),
     ("Chuva de 12,5 mm/dia", 12.5, None),
     (None, None, None),
@@ -112,3 +114,47 @@ def test_failed_sensor_keeps_the_row(spark):
     df = spark.createDataFrame([(12.5, 250.0, -5.0), (8.0, 100.0, 75.0), (-9999.0, 0.0, 0.0)], "precipitacao double, umidade double, vento double")
     out = cleaning.within_ranges(cleaning.null_sentinel(df, df.columns)).collect()
     assert [tuple(r) for r in out] == [(12.5, None, None), (8.0, 100.0, 75.0), (None, 0.0, 0.0)]
+
+
+def station_file(code, rows):
+    head = ["REGIAO:;S", "UF:;RS", "ESTACAO:;LUGAR", f"CODIGO (WMO):;{code}", "LATITUDE:;-30,5", "LONGITUDE:;-51,5", "ALTITUDE:;10",
+            "DATA DE FUNDACAO:;01/01/00", "DATA (YYYY-MM-DD);HORA (UTC);PRECIPITAÇÃO TOTAL, HORÁRIO (mm);"]
+    return "\n".join(head + rows) + "\n"
+
+
+def test_lines_of_no_known_form_are_told(spark, tmp_path):
+    rows = ["2024-01-01;00:00;1,5;", "01/02/2024;01:00;2,0;", "broken", "", "2024-01-01;xx;2,0;"]
+    write(tmp_path, "INMET_S_RS_A801_X.CSV", station_file("A801", rows), "ISO-8859-1")
+    lines = station_csv.read_lines(spark, str(tmp_path))
+    good, bad = station_csv.station_files(lines)
+    out = station_csv.observations(lines, good, ["precipitacao"]).collect()
+    assert bad.count() == 0 and len(out) == 4 and sum(r.h is None for r in out) == 3
+    assert sorted(r.line for r in station_csv.unreadable_lines(lines).collect()) == ["01/02/2024;01:00;2,0;", "broken"]
+
+
+def test_stores_keep_other_stations(spark, tmp_path):
+    def series(station, hours, x):
+        return spark.createDataFrame([(station, h, x, f"/{station}.csv") for h in hours], "station string, h long, x double, path string")
+
+    first, other, changed = series("A801", [473352, 473353, 482136], 1.0), series("A802", [473352], 2.0), series("A801", [473352], 9.0)
+    by_year = str(tmp_path / "yearly")
+    for batch in (first, other, changed):
+        stores.write_by_year(batch, by_year)
+    got = {(r.station, r.h): r.x for r in spark.read.parquet(by_year).collect()}
+    assert got == {("A801", 473352): 9.0, ("A801", 482136): 1.0, ("A802", 473352): 2.0}
+    silver = str(tmp_path / "silver")
+    for batch in (first, other, changed):
+        station_csv.write_silver(batch, silver)
+    got = {(r.station, r.h): r.x for r in spark.read.parquet(silver).collect()}
+    assert got == {("A801", 473352): 9.0, ("A801", 482136): 1.0, ("A802", 473352): 2.0}
+
+
+def test_archive_checks_its_own_model(spark, tmp_path):
+    rows = spark.createDataFrame([("A801", 1, 1.0, 2.0)], "station string, h long, a double, b double")
+    path = str(tmp_path / "archive")
+    stores.write_forecast_archive(rows, path, "m1", "2024")
+    stores.write_forecast_archive(rows.drop("b"), path, "m2", "2024")
+    assert stores.read_forecast_archive(spark, path, "m1", "2024", ["a", "b"]).first().b == 2.0
+    for model, window in (("m2", "2024"), ("m3", "2024")):
+        with pytest.raises(ValueError, match="not in the archive"):
+            stores.read_forecast_archive(spark, path, model, window, ["a", "b"])
