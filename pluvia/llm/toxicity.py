@@ -246,11 +246,15 @@ def learn(
         .agg(F.max("toxic").alias("toxic"))
     )
     per_label = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    shares = {label: int(1e6 * min(1.0, most_rows / n)) for label, n in per_label.items()}
     share = F.lit(0)
-    for label, n in per_label.items():
-        share = F.when(F.col("toxic") == label, int(1e6 * min(1.0, most_rows / n))).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    sample = T.pick(docs, id_col, text_col).where(F.length("text") <= longest).join(chosen, "doc_id").toPandas()
+    for label, n in shares.items():
+        share = F.when(F.col("toxic") == label, n).otherwise(share)
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    chosen = known.where(drawn < share)
+    # The ids are about `most_rows` for each label, whatever the size of the tables; texts don't move for them.
+    rows = T.pick(docs, id_col, text_col).where((drawn < max(shares.values(), default=0)) & (F.length("text") <= longest))
+    sample = rows.join(F.broadcast(chosen), "doc_id").toPandas()
     sample = sample.sort_values(["doc_id", "text"])
     texts = [t.encode() for t in sample.text]
     single = _without_copies(texts)
