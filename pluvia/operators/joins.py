@@ -26,27 +26,26 @@ def attach(df: DataFrame, dim: DataFrame, keys: Sequence[str], *, spread_by: str
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def most_frequent(df: DataFrame, key: str, column: str) -> DataFrame:
-    """Most frequent non-null value per key; the smallest value wins a tie.
+def most_frequent(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Per key the most frequent non-null value of each column, the smallest winning a tie, and how many it had.
 
-    Counts are combined before the shuffle, so a key with many rows costs its distinct
-    values only.
+    All columns are counted in one pass. Counts are combined before the shuffle, so a key with many rows
+    costs its distinct values only. A key without any value has NULLs.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(key, column).agg(F.count("*").alias("_n"))
+    cells = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])
+    counts = df.select(key, F.inline(cells)).groupBy(key, "_i", "_v").agg(F.count("*").alias("_n"))
+    own = [(F.col("_i") == i) & F.col("_v").isNotNull() for i in range(len(columns))]
     return counts.groupBy(key).agg(
-        F.max_by(F.col(column), F.struct(F.col("_n"), -F.col(column))).alias(column),
-        F.count("*").alias(f"n_{column}"),
+        *[F.max_by(F.col("_v"), F.when(own[i], F.struct(F.col("_n"), -F.col("_v")))).alias(c) for i, c in enumerate(columns)],
+        *[F.nullif(F.count_if(own[i]), F.lit(0)).alias(f"n_{c}") for i, c in enumerate(columns)],
     )
 
 
 def station_coordinates(df: DataFrame, key: str = "station",
                         columns: Sequence[str] = ("latitude", "longitude", "altitude")):
     """One coordinate set per station, the mode of each column, and how many values it had."""
-    parts = [most_frequent(df, key, c) for c in columns]
-    table = df.select(key).distinct()
-    for part in parts:
-        table = table.join(part, key, "left")
-    return table
+    table = most_frequent(df, key, columns)
+    return table.select(key, *[x for c in columns for x in (c, f"n_{c}")])
 
 
 def canonical_coordinates(df: DataFrame, key: str = "station", *, spread_by: str,

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pluvia.operators.storage import materialise
+
 STEPS_PER_OCTAVE = 1 << 12
 BUCKET = "_bucket"
 
@@ -131,20 +133,23 @@ def rank_among(df: DataFrame, value: str, marks: DataFrame, mark: str, name: str
 
 
 def count_dominating(
-    points: DataFrame, queries: DataFrame, x: str, y: str, weight: str, levels: int = 32
+    points: DataFrame, queries: DataFrame, x: str, y: str, weight: str
 ) -> DataFrame:
     """Add ``n_ge``: total weight of points with ``px >= x`` and ``py >= y``, per query.
 
     ``points`` is aggregated (one row per x, y); ``queries`` holds distinct (x, y). The x
-    axis becomes ranks among the query values; the half line above a rank splits into at
-    most ``levels`` binary blocks, a point lies in one block per level, and inside a block
-    the totals run along y. Everything is an equality of keys, no pair is ever formed
-    that is not counted.
+    and y axes become ranks among the query values, so that points shrink to cells of the
+    grid of queries first. The half line above an x rank splits into binary blocks, as many
+    levels as the number of ranks has bits; a cell lies in one block per level, and inside
+    a block the totals run along y. Everything is an equality of keys, no pair is ever
+    formed that is not counted.
     """
-    marks = queries.select(x).distinct()
-    ranks = rank_among(points.select(x).unionByName(marks), x, marks, x, "_r")
-    ranked_points = points.where(F.col(y).isNotNull()).join(ranks, x)
-    ranked_queries = queries.join(ranks, x)
+    marks, y_marks = queries.select(x).distinct(), queries.select(y).distinct()
+    levels = max(1, marks.count().bit_length())
+    ranks = materialise(rank_among(points.select(x).unionByName(marks), x, marks, x, "_r"), "ranks")
+    y_ranks = materialise(rank_among(points.select(y).unionByName(y_marks), y, y_marks, y, "_ry"), "ranks")
+    ranked_points = points.join(ranks, x).join(y_ranks, y)
+    ranked_queries = materialise(queries.join(ranks, x).join(y_ranks, y), "queries")
     level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level")
     top = F.lit(1).cast("long")
 
@@ -152,38 +157,28 @@ def count_dominating(
         return F.floor(col / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
 
     blocks = (
-        ranked_points.groupBy("_r", y)
+        ranked_points.groupBy("_r", "_ry")
         .agg(F.sum(weight).alias("_w"))
-        .select("_r", y, "_w", level)
-        .select("_level", shifted(F.col("_r")).alias("_block"), F.col(y).alias("_y"), "_w")
+        .where((F.col("_r") > 0) & (F.col("_ry") > 0))
+        .select("_r", "_ry", "_w", level)
+        .select("_level", shifted(F.col("_r")).alias("_block"), F.col("_ry").alias("_y"), "_w")
         .where(F.col("_block") > 0)
-        .groupBy("_level", "_block", "_y")
-        .agg(F.sum("_w").alias("_w"))
     )
     # [rank, inf) = the block of rank - 1's right sibling on every level where rank - 1 is a
     # left child, up to the root.
     below = F.col("_r") - 1
     asked = (
-        ranked_queries.select(x, y, "_r", level)
+        ranked_queries.select(x, y, "_r", "_ry", level)
         .where(shifted(below) % 2 == 0)
-        .select(x, y, "_level", (shifted(below) + top).alias("_block"))
-    )
-    axis = blocks.select(
-        "_level", "_block", "_y", "_w", F.lit(None).cast("double").alias(x), F.lit(0).alias("_q")
-    ).unionByName(
-        asked.select(
-            "_level", "_block", F.col(y).alias("_y"), F.lit(0).cast("long").alias("_w"), x,
-            F.lit(1).alias("_q"),
-        )
-    )
-    above = Window.partitionBy("_level", "_block").orderBy(F.desc("_y")).rangeBetween(
-        Window.unboundedPreceding, 0
+        .select(x, y, "_level", (shifted(below) + top).alias("_block"), F.col("_ry").alias("_y"))
     )
+    places = asked.select("_level", "_block", "_y", F.lit(0).cast("long").alias("_w"))
+    axis = blocks.unionByName(places).groupBy("_level", "_block", "_y").agg(F.sum("_w").alias("_w"))
+    totals = running_totals(materialise(axis, "axis"), ["_level", "_block"], "_y", ["_w"], descending=True)
     counted = (
-        axis.withColumn("_c", F.sum("_w").over(above))
-        .where(F.col("_q") == 1)
-        .groupBy(x, F.col("_y").alias(y))
-        .agg(F.sum("_c").alias("n_ge"))
+        asked.join(totals, ["_level", "_block", "_y"])
+        .groupBy(x, y)
+        .agg(F.sum("cum__w").alias("n_ge"))
     )
     return queries.join(counted, [x, y], "left").withColumn(
         "n_ge", F.coalesce("n_ge", F.lit(0)).cast("long")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvia.functions.geo import parse_geometry, polygon_contains
+from pluvia.operators.storage import materialise
 
 COARSEST, FINEST = 5, -8
 
@@ -57,13 +58,17 @@ def points_in_polygons(polygons: DataFrame, points: DataFrame, *, geometry="poli
                        lat="lat", lon="lon") -> DataFrame:
     """All (polygon, point) pairs in which the polygon contains the point.
 
-    Both sides keep their columns (the geometry text is dropped). A polygon is cut into
-    cells about half its size, a point goes into its cell on every level, and the exact test
-    runs on equal cells. Polygons are spread over tasks before they are parsed, since a few
-    input splits may hold most of the vertices.
+    Both sides keep their columns (the geometry text is dropped). A polygon part is cut into
+    cells about half its size, a point goes into its cell on every level that a part has, and
+    the exact test runs on equal cells, each with the rings of its own part only. A point in
+    two parts of one polygon is one pair. Polygons are spread over tasks before they are
+    parsed, since a few input splits may hold most of the vertices; the parsed parts are
+    written once. Rows of points count as different if any column differs.
     """
     keys = [c for c in polygons.columns if c != geometry]
-    parts = polygon_parts(polygons.repartition(*keys), geometry).drop(geometry)
+    spread = polygons.repartition(*keys).withColumn("_polygon", F.monotonically_increasing_id())
+    parts = materialise(polygon_parts(spread, geometry).drop(geometry, "_parts", "_part"), "parts")
+    levels = parts.select("_level").distinct()  # at most as many rows as there are levels
     side = F.pow(F.lit(2.0), F.col("_level"))
     covered = (
         parts.withColumn("_cx", F.explode(_cells(F.col("_x0"), F.col("_x1"), side)))
@@ -71,20 +76,15 @@ def points_in_polygons(polygons: DataFrame, points: DataFrame, *, geometry="poli
     )
     located = (
         points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-        .withColumn("_level", F.explode(F.sequence(F.lit(FINEST), F.lit(COARSEST))))
+        .join(F.broadcast(levels))
         .withColumns({"_cx": F.floor(F.col(lon) / side), "_cy": F.floor(F.col(lat) / side)})
     )
     x, y = F.col(lon), F.col(lat)
     in_box = x.between(F.col("_x0"), F.col("_x1")) & y.between(F.col("_y0"), F.col("_y1"))
-    seen_before = F.exists(
-        F.slice(F.col("_parts"), F.lit(1), F.col("_part")), lambda p: polygon_contains(x, y, p)
-    )
     matched = (
         covered.join(located, ["_level", "_cx", "_cy"])
         .where(in_box)
         .where(polygon_contains(x, y, F.col("_rings")))
-        .where((F.col("_part") == 0) | ~F.coalesce(seen_before, F.lit(False)))
-    )
-    return matched.drop(
-        "_level", "_cx", "_cy", "_parts", "_part", "_rings", "_x0", "_x1", "_y0", "_y1"
+        .drop("_level", "_cx", "_cy", "_rings", "_x0", "_x1", "_y0", "_y1")
     )
+    return matched.dropDuplicates(["_polygon", *points.columns]).drop("_polygon")

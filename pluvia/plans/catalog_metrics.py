@@ -232,8 +232,9 @@ base as (select criterio_mm, criterio_ms, avg(case when coalesce(chuva_24h_obs >
 
 
 def criteria_of(rows):
-    full = rows.select("criterio_mm", "criterio_ms")
-    return full.unionByName(rows.select("criterio_mm", F.lit(None).cast("double").alias("criterio_ms")))
+    both = F.struct("criterio_mm", "criterio_ms")
+    rain_only = F.struct("criterio_mm", F.lit(None).cast("double").alias("criterio_ms"))
+    return rows.select("criterio_mm", "criterio_ms").distinct().select(F.inline(F.array(both, rain_only)))
 
 
 @query("G13_base_rates", ["observed", "pairs"], f"""
