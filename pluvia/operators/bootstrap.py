@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pluvia.operators.metrics import average_precision
 from pluvia.operators.prefix import exact_quantiles, running_totals
+from pluvia.operators.storage import materialise
 
 
 def draw_number(seed: int, draw: Column, turn: Column, upper: Column) -> Column:
@@ -41,7 +42,7 @@ def paired_difference(df: DataFrame, label: str, base: str, other: str, unit: st
     Rows are first counted per (unit, score, label); repetitions without a positive give
     no row.
     """
-    weights = group_weights(df, unit, draws, seed)
+    weights = materialise(group_weights(df.select(unit), unit, draws, seed), "weights")
 
     sides = F.array(
         F.struct(F.lit("base").alias("_side"), F.col(base).cast("double").alias("_score")),
@@ -53,8 +54,9 @@ def paired_difference(df: DataFrame, label: str, base: str, other: str, unit: st
         .groupBy(unit, "_side", "_score", "_y")
         .agg(F.count("*").alias("_c"))
     )
+    counts = materialise(counts, "counts")
     rows = counts.join(weights, unit).withColumn("_w", F.col("_c") * F.col("peso"))
-    scores = average_precision(rows, "_y", "_score", ["rep", "_side"], "_w", "_ap")
+    scores = average_precision(materialise(rows.groupBy("rep", "_side", "_score", "_y").agg(F.sum("_w").alias("_w")), "drawn"), "_y", "_score", ["rep", "_side"], "_w", "_ap")
     return (
         scores.where(F.col("eventos") > 0)
         .groupBy("rep")

@@ -260,10 +260,11 @@ def variance_by_station(df: DataFrame, residual: Column, *, key="station") -> Da
 
 
 def compare_corrections(fit: DataFrame, evaluation: DataFrame, observed: str, predicted: str, *,
-                        key="station", spread_by="h") -> DataFrame:
+                        key="station", spread_by="h", isotonic=None) -> DataFrame:
     """MAE on the evaluation rows of corrections fitted on the fit rows.
 
-    Raw, additive bias, ratio of totals and additive bias per station.
+    Raw, additive bias, ratio of totals and additive bias per station; with
+    ``isotonic(fit, rows, name)``, which adds a column, the isotonic correction as well.
     """
     overall = bias_table(fit, observed, predicted)
     bias = overall.select("vies").scalar()
@@ -278,7 +279,10 @@ def compare_corrections(fit: DataFrame, evaluation: DataFrame, observed: str, pr
             "fator": F.col(predicted) * factor,
         }
     )
-    long = unpivot_scores(rows, [observed], ["cru", "aditivo", "fator", "por_estacao"], "correcao")
+    names = ["cru", "aditivo", "fator", "por_estacao"]
+    if isotonic is not None:
+        rows, names = isotonic(fit, rows, "isotonica"), [*names, "isotonica"]
+    long = unpivot_scores(rows, [observed], names, "correcao")
     return error_scores(long, observed, "score", ["correcao"])
 
 
@@ -296,6 +300,25 @@ def coverage(df: DataFrame, columns: Sequence[str], group: Sequence[str] = ()) -
     return counted.unpivot([F.col(g) for g in group], names, "medida", "valor")
 
 
+def reach_of_fit(fit: DataFrame, evaluation: DataFrame, yardstick: str, *, key="station") -> DataFrame:
+    """Evaluation rows, share of them with a yardstick, stations, and share of stations the fit never saw."""
+    seen = fit.select(key).distinct().withColumn("_seen", F.lit(True))
+    # One row per station before the join, so a station with many rows costs no more than others.
+    stations = evaluation.groupBy(key).agg(F.count("*").alias("_n"), F.count(yardstick).alias("_y"))
+    return stations.join(seen, key, "left").agg(
+        F.sum("_n").alias("linhas"),
+        ratio(F.sum("_y"), F.sum("_n")).alias("com_regua"),
+        F.count("*").alias("estacoes"),
+        ratio(F.count_if(F.col("_seen").isNull()), F.count("*")).alias("ineditas"),
+    )
+
+
+def read_interval(intervals: DataFrame, low="ic_inf", high="ic_sup") -> DataFrame:
+    """Add the reading of each interval, and its upper end where the interval reaches zero."""
+    around = (F.col(low) <= 0) & (F.col(high) >= 0)
+    return intervals.withColumns({"leitura": verdict(F.col(low), F.col(high)), "ganho_maximo": F.when(around, F.col(high))})
+
+
 def verdict(low: Column, high: Column) -> Column:
     """Reading of a confidence interval of a gain."""
     return (

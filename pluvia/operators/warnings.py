@@ -70,6 +70,13 @@ def with_confirmation(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"confirmado": rain | gust, "confirmado_chuva": rain})
 
 
+def criteria_of(rows: DataFrame) -> DataFrame:
+    """The announced pairs of criteria, with and without their gust; the rows are read once."""
+    both = F.struct("criterio_mm", "criterio_ms")
+    rain_only = F.struct("criterio_mm", F.lit(None).cast("double").alias("criterio_ms"))
+    return rows.select("criterio_mm", "criterio_ms").distinct().select(F.inline(F.array(both, rain_only)))
+
+
 def base_rates(observed: DataFrame, criteria: DataFrame) -> DataFrame:
     """Share of all station-days that meet each distinct (mm, m/s) criterion pair.
 

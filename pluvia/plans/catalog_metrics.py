@@ -12,6 +12,7 @@ from pluvia.operators import (
     climatology,
     joins,
     metrics,
+    ml,
     profile,
     quality,
     splits,
@@ -231,16 +232,10 @@ base as (select criterio_mm, criterio_ms, avg(case when coalesce(chuva_24h_obs >
   from combos cross join observed group by 1, 2)"""
 
 
-def criteria_of(rows):
-    both = F.struct("criterio_mm", "criterio_ms")
-    rain_only = F.struct("criterio_mm", F.lit(None).cast("double").alias("criterio_ms"))
-    return rows.select("criterio_mm", "criterio_ms").distinct().select(F.inline(F.array(both, rain_only)))
-
-
 @query("G13_base_rates", ["observed", "pairs"], f"""
 with {BASE_SQL} select criterio_mm, round(criterio_ms, 6) as criterio_ms, round(taxa_base, 6) as taxa_base from base""")
 def base_rates(spark, d):
-    rates = warnings.base_rates(V.daily_observed(spark, d), criteria_of(pairs_observed(spark, d)))
+    rates = warnings.base_rates(V.daily_observed(spark, d), warnings.criteria_of(pairs_observed(spark, d)))
     return r6(rates, "criterio_ms", "taxa_base")
 
 
@@ -250,7 +245,7 @@ EXPECTED_SQL = f"""{BASE_SQL}, e as (select po.*, b.taxa_base as esperado from p
 
 def with_expected(spark, d, rain_only=False):
     rows = materialise(pairs_observed(spark, d))
-    rates = warnings.base_rates(V.daily_observed(spark, d), criteria_of(rows))
+    rates = warnings.base_rates(V.daily_observed(spark, d), warnings.criteria_of(rows))
     return warnings.attach_base_rate(rows, rates, rain_only)
 
 
@@ -441,6 +436,22 @@ def _bias4(df):
     return df.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("observado_medio", "previsto_medio", "vies")} | {"razao": F.round("razao", 6)})
 
 
+def isotonic_sql(points, asked):
+    """`cal` (x, c): isotonic fit by its max-min formula over distinct x, linear between them, flat outside.
+
+    points: x, mean m, weight w; asked: x.
+    """
+    return f"""pts as ({points}),
+r as (select x, m, w, row_number() over (order by x) as i, sum(w) over (order by x) as cw, sum(w * m) over (order by x) as cm from pts),
+means as (select a.i as j, b.i as k, (b.cm - a.cm + a.w * a.m) / (b.cw - a.cw + a.w) as mean from r a join r b on b.i >= a.i),
+low as (select j, k, min(mean) over (partition by j order by k desc rows unbounded preceding) as least from means),
+iso as (select r.x, max(low.least) as v from r join low on low.j <= r.i and low.k = r.i group by r.i, r.x),
+asked as ({asked}),
+near as (select a.x, max(case when i.x <= a.x then i.x end) as lo, min(case when i.x >= a.x then i.x end) as hi from asked a cross join iso i group by a.x),
+cal as (select n.x, case when n.lo is null then h.v when n.hi is null or n.lo = n.hi then l.v else l.v + (h.v - l.v) * (n.x - n.lo) / (n.hi - n.lo) end as c
+  from near n left join iso l on l.x = n.lo left join iso h on h.x = n.hi)"""
+
+
 @query("G27_bias_by_station", ["scored"], f"select station, {BIAS} from scored group by 1")
 def bias_station(spark, d):
     return _bias4(metrics.bias_table(V.scored(spark, d), "chuva_futura_24h", "previsto", ["station"]))
@@ -466,21 +477,24 @@ def variance(spark, d):
 @query("G29_corrections", ["scored"], """
 with fit as (select * from scored where janela = 'validacao'), s as (select station, avg(chuva_futura_24h - previsto) as v from fit group by 1),
 g as (select avg(chuva_futura_24h - previsto) as v, sum(chuva_futura_24h) / sum(previsto) as f from fit),
-l as (select chuva_futura_24h as o, unnest(['cru', 'aditivo', 'fator', 'por_estacao']) as correcao, unnest([previsto, previsto + g.v, previsto * g.f, previsto + coalesce(s.v, 0)]) as p
-  from scored t cross join g left join s using (station) where t.janela = 'teste')
+""" + isotonic_sql("select previsto as x, avg(chuva_futura_24h) as m, count(*) as w from fit group by 1", "select distinct previsto as x from scored where janela = 'teste'") + """,
+l as (select chuva_futura_24h as o, unnest(['cru', 'aditivo', 'fator', 'por_estacao', 'isotonica']) as correcao, unnest([previsto, previsto + g.v, previsto * g.f, previsto + coalesce(s.v, 0), cal.c]) as p
+  from scored t cross join g left join s using (station) join cal on cal.x = t.previsto where t.janela = 'teste')
 select correcao, round(avg(abs(p - o)), 4) as mae, round(avg(case when o > 1 then abs(p - o) end), 4) as mae_com_chuva, count(*) as n from l group by 1""")
 def corrections(spark, d):
     rows = V.scored(spark, d)
     out = metrics.compare_corrections(
-        rows.where("janela = 'validacao'"), rows.where("janela = 'teste'"), "chuva_futura_24h", "previsto")
+        rows.where("janela = 'validacao'"), rows.where("janela = 'teste'"), "chuva_futura_24h", "previsto",
+        isotonic=lambda fit, part, name: ml.apply_isotonic(ml.fit_isotonic(fit, "previsto", "chuva_futura_24h"), part, "previsto", name))
     return out.withColumns({c: F.round(c, 4) for c in ("mae", "mae_com_chuva")})
 
 
 DRAWS = 2000
 
 
-@query("G30_grouped_bootstrap", ["scored"], f"""
-with t as (select y, prob, previsto, dia_n from scored where h % 24 in (0, 12)),
+def _bootstrap_sql(unit):
+    """The differences `d`: MD5 draws of the units, average precision of both scores in each repetition."""
+    return f"""t as (select y, prob, previsto, {unit} as dia_n from scored where h % 24 in (0, 12)),
 units as (select dia_n, row_number() over (order by dia_n) as i, count(*) over () as g from (select distinct dia_n from t)),
 pick as (select r.rep, 1 + ('0x' || substr(md5('42-' || r.rep || '-' || (u.i - 1)), 1, 8))::bigint % u.g as i from units u cross join (select unnest(range({DRAWS})) as rep) r),
 w as (select rep, i, count(*) as peso from pick group by 1, 2),
@@ -489,12 +503,36 @@ l as (select rep, y, peso, 'a' as k, cast(prob as double) as s from x union all
 hist as (select rep, k, s, sum(peso) as n, sum(peso * y) as tp from l group by all),
 cum as (select *, sum(n) over (partition by rep, k order by s desc) as cn, sum(tp) over (partition by rep, k order by s desc) as ct from hist),
 ap as (select rep, k, sum(tp * (ct / cn)) / sum(tp) as pr from cum group by 1, 2 having sum(tp) > 0),
-d as (select a.rep, a.pr - b.pr as diferenca from ap a join ap b on a.rep = b.rep and a.k = 'a' and b.k = 'b')
-select round(avg(diferenca), 6) as media, count(*) as reps, round(quantile_cont(diferenca, 0.025), 6) as ic_inf, round(quantile_cont(diferenca, 0.975), 6) as ic_sup from d""")
+d as (select a.rep, a.pr - b.pr as diferenca from ap a join ap b on a.rep = b.rep and a.k = 'a' and b.k = 'b'),
+ic as (select avg(diferenca) as media, count(*) as reps, quantile_cont(diferenca, 0.025) as ic_inf, quantile_cont(diferenca, 0.975) as ic_sup from d)"""
+
+
+IC = "round(media, 6) as media, reps, round(ic_inf, 6) as ic_inf, round(ic_sup, 6) as ic_sup"
+ROW = "(station * 1000000 + h)"
+
+
+def interval(spark, d, unit):
+    rows = cleaning.at_hours(V.scored(spark, d), [0, 12]).withColumn("_unit", F.expr(unit))
+    diffs = bootstrap.paired_difference(rows, "y", "previsto", "prob", "_unit", draws=DRAWS, seed=42)
+    return bootstrap.difference_interval(diffs)
+
+
+@query("G30_grouped_bootstrap", ["scored"], f"with {_bootstrap_sql('dia_n')} select {IC} from ic")
 def grouped_bootstrap(spark, d):
-    rows = cleaning.at_hours(V.scored(spark, d), [0, 12])
-    diffs = bootstrap.paired_difference(rows, "y", "previsto", "prob", "dia_n", draws=DRAWS, seed=42)
-    return r6(bootstrap.difference_interval(diffs), "media", "ic_inf", "ic_sup")
+    return r6(interval(spark, d, "dia_n"), "media", "ic_inf", "ic_sup")
+
+
+@query("G30_row_bootstrap", ["scored"], f"with {_bootstrap_sql(ROW)} select {IC} from ic")
+def row_bootstrap(spark, d):
+    return r6(interval(spark, d, ROW), "media", "ic_inf", "ic_sup")
+
+
+@query("G36_verdict_of_interval", ["scored"], f"""
+with {_bootstrap_sql('dia_n')} select {IC}, case when ic_inf > 0 then 'melhor' when ic_sup > 0 then 'nao distinguivel' else 'pior' end as leitura,
+  case when ic_inf <= 0 and ic_sup >= 0 then round(ic_sup, 6) end as ganho_maximo from ic""")
+def interval_verdict(spark, d):
+    """The reading of the bootstrap's interval, and the largest gain that an interval around zero leaves open."""
+    return r6(metrics.read_interval(interval(spark, d, "dia_n")), "media", "ic_inf", "ic_sup", "ganho_maximo")
 
 
 @query("G31_severity_points", ["observed", "pairs"], f"""
@@ -516,12 +554,13 @@ def forecast_points(spark, d):
     return r6(out, "precisao", "recall").select("corte", "alertas", "acertos", "precisao", "recall")
 
 
-SCENARIOS = [("alto, 12", 130000, (12,)), ("alto, 00+12", 130000, (0, 12)), ("medio, 12", 110000, (12,)), ("medio, 00+12", 110000, (0, 12))]
+SCENARIOS = [("alto, 12", 130000, (12,)), ("alto, 00+12", 130000, (0, 12)), ("medio, 12", 110000, (12,)), ("medio, 00+12", 110000, (0, 12)),
+             ("medio, 12, leste", 110000, (12,), "station >= 2")]
 
 
 @query("G32_scenario_grid", ["scored"], "with x as (" + " union all ".join(
-    f"select '{n}' as cenario, case when chuva_futura_24h > {t} then 1 else 0 end as yy, previsto, janela from scored where h % 24 in ({', '.join(map(str, hs))}) and janela in ('treino', 'teste')"
-    for n, t, hs in SCENARIOS) + f"""),
+    f"select '{n}' as cenario, case when chuva_futura_24h > {t} then 1 else 0 end as yy, previsto, janela from scored where h % 24 in ({', '.join(map(str, hs))}) and janela in ('treino', 'teste') and {(*subset, 'true')[0]}"
+    for n, t, hs, *subset in SCENARIOS) + f"""),
 ok as (select cenario from x group by 1 having sum(case when janela = 'treino' then yy else 0 end) >= 3 and sum(case when janela = 'teste' then yy else 0 end) >= 3),
 v as (select * from x where janela = 'teste' and cenario in (select cenario from ok)), {_ap_sql("v", "previsto", "cenario", "yy")}
 select cenario, round(pr_auc, 6) as pr_auc, n, eventos from ap""")
@@ -564,8 +603,7 @@ with l as (select y, janela, 'modelo' as variante, prob as s from scored union a
 f as (select *, variante || '/' || janela as g from l where janela in ('treino', 'teste')), {_ap_sql("f", "s", "g")},
 w as (select variante, max(case when g = variante || '/treino' then pr_auc end) as dentro, max(case when g = variante || '/teste' then pr_auc end) as fora
   from ap join (select distinct variante, g as gg from f) on gg = g group by 1)
-select variante, round(dentro, 6) as dentro, round(fora, 6) as fora,
-  case when fora - dentro > 0.05 then 'melhor' when fora - dentro + 0.1 > 0.05 then 'nao distinguivel' else 'pior' end as leitura from w""")
+select variante, round(dentro, 6) as dentro, round(fora, 6) as fora from w""")
 def samples(spark, d):
     rows = V.scored(spark, d).where(F.col("janela").isin("treino", "teste")).withColumn("modelo", F.col("prob"))
     long = metrics.unpivot_scores(rows, ["y", "janela"], ["modelo", "previsto"], "variante")
@@ -573,8 +611,18 @@ def samples(spark, d):
     wide = ap.groupBy("variante").agg(
         F.max(F.when(F.col("janela") == "treino", F.col("pr_auc"))).alias("dentro"),
         F.max(F.when(F.col("janela") == "teste", F.col("pr_auc"))).alias("fora"))
-    gain = F.col("fora") - F.col("dentro")
-    return r6(wide.withColumn("leitura", metrics.verdict(gain - 0.05, gain + 0.1 - 0.05)), "dentro", "fora")
+    return r6(wide, "dentro", "fora")
+
+
+@query("G35_reach_of_the_fit", ["scored"], """
+with e as (select * from scored where janela = 'teste' and h % 24 in (0, 12)), f as (select distinct station from scored where janela = 'validacao' and station <> 1)
+select count(*) as linhas, round(avg(case when a % 3 <> 0 then 1e0 else 0e0 end), 6) as com_regua, count(distinct station) as estacoes,
+  round(count(distinct case when station not in (select station from f) then station end) / count(distinct station), 6) as ineditas from e""")
+def reach(spark, d):
+    rows = V.scored(spark, d).withColumn("regua", F.when(F.col("a") % 3 != 0, F.col("previsto")))
+    out = metrics.reach_of_fit(
+        rows.where("janela = 'validacao' and station <> 1"), cleaning.at_hours(rows.where("janela = 'teste'"), [0, 12]), "regua")
+    return r6(out, "com_regua", "ineditas")
 
 
 @query("M1_time_split", ["scored"], """

@@ -9,7 +9,7 @@ from pluvia.operators import metrics, ml, splits
 from pluvia.operators.storage import materialise, scratch_folder
 from pluvia.plans import studies
 from pluvia.plans import views as V
-from pluvia.plans.catalog_metrics import _ap_sql
+from pluvia.plans.catalog_metrics import _ap_sql, isotonic_sql
 from pluvia.plans.catalog_series import r6
 from pluvia.plans.registry import ORACLES, query
 from pluvia.streaming import feeds, notify
@@ -109,16 +109,7 @@ def search(spark, d):
         (F.max(F.when(F.col("ordem") == 1, F.col("media"))) == F.max("media")).alias("melhor_primeiro"))
 
 
-# The isotonic fit by its max-min formula over distinct scores, and linear interpolation between them.
-ISO_SQL = """pts as (select prob as x, avg(y) as m, count(*) as w from scored where janela = 'validacao' group by 1),
-r as (select x, m, w, row_number() over (order by x) as i, sum(w) over (order by x) as cw, sum(w * m) over (order by x) as cm from pts),
-means as (select a.i as j, b.i as k, (b.cm - a.cm + a.w * a.m) / (b.cw - a.cw + a.w) as mean from r a join r b on b.i >= a.i),
-low as (select j, k, min(mean) over (partition by j order by k desc rows unbounded preceding) as least from means),
-iso as (select r.x, max(low.least) as v from r join low on low.j <= r.i and low.k = r.i group by r.i, r.x),
-asked as (select distinct prob as x from scored where janela = 'teste'),
-near as (select a.x, max(case when i.x <= a.x then i.x end) as lo, min(case when i.x >= a.x then i.x end) as hi from asked a cross join iso i group by a.x),
-cal as (select n.x, case when n.lo is null then h.v when n.hi is null or n.lo = n.hi then l.v else l.v + (h.v - l.v) * (n.x - n.lo) / (n.hi - n.lo) end as c
-  from near n left join iso l on l.x = n.lo left join iso h on h.x = n.hi)"""
+ISO_SQL = isotonic_sql("select prob as x, avg(y) as m, count(*) as w from scored where janela = 'validacao' group by 1", "select distinct prob as x from scored where janela = 'teste'")
 
 
 @query("M7_isotonic_calibration", ["scored"], f"""
@@ -228,14 +219,15 @@ def importance(spark, d):
     return table.select("feature", F.col("importancia").between(0, 1).alias("valida"), (F.abs(total - 1) < 1e-6).alias("soma_um"))
 
 
-DEGRADE_SQL = f"""base as (select s.station, s.h, s.y, cast(s.mm_c as double) as x from scored s),
+# The fitted model has one input and a positive weight, so its score ranks like the input.
+DEGRADE_SQL = f"""base as (select s.station, s.h, s.y, cast(s.previsto as double) as x from scored s),
 fc as (select station, h, case when a % 6 = 0 then null else a % 20000 * 1e0 end as x from obs where a % 3 <> 0),
 sw as (select b.station, b.h, b.y, case when f.station is not null and b.h >= {V.CUTOFF_H} then f.x else b.x end as x from base b left join fc f using (station, h)),
 v as (select 'A referencia' as variante, station, h, y, x as score from base union all select 'B origem', station, h, y, x from sw
   union all select 'C janela', station, h, y, avg(x) over (partition by station order by h range between 1 following and 24 following) from base
   union all select 'D ambas', station, h, y, avg(x) over (partition by station order by h range between 1 following and 24 following) from sw),
-days as (select variante, station, h // 24 as dia, max(y) as y, max(round(score, 4)) as score from v group by 1, 2, 3),
-em as (select variante, y, round(score, 4) as score from v where h % 24 = 12)"""
+days as (select variante, station, h // 24 as dia, max(y) as y, max(score) as score from v where score is not null group by 1, 2, 3),
+em as (select variante, y, score from v where h % 24 = 12 and score is not null)"""
 
 
 @query("M13_degradation_study", ["scored", "obs"], f"""
@@ -243,11 +235,13 @@ with {DEGRADE_SQL}, {_ap_sql("days", "score", "variante").replace("hist", "h1").
 {_ap_sql("em", "score", "variante")}
 select ap.variante, round(ap1.pr_auc, 6) as pr_auc_estacao_dia, round(ap.pr_auc, 6) as op_pr_auc, ap.n as op_n, ap.eventos as op_eventos from ap join ap1 using (variante)""")
 def degradation(spark, d):
-    rows = materialise(V.scored(spark, d).select("station", "h", "y", F.col("mm_c").cast("double").alias("x")))
+    rows = materialise(V.scored(spark, d).select("station", "h", "y", F.col("previsto").cast("double").alias("x")))
+    known = rows.where(F.col("h") < V.CUTOFF_H)
+    model = ml.combiner(["x"], known.count(), label="y").fit(known)
     forecast = V.obs(spark, d).where("a % 3 <> 0").selectExpr(
         "station", "h", "case when a % 6 = 0 then null else a % 20000 * 1e0 end as x")
     out = studies.degradation_study(
-        rows, forecast, lambda df: df.withColumn("score", F.round("x", 4)), ["x"], V.CUTOFF_H, "y")
+        rows, forecast, lambda df: ml.scored_by(model, df.where(F.col("x").isNotNull()), ["station", "h", "y"]), ["x"], V.CUTOFF_H, "y")
     return r6(out, "pr_auc_estacao_dia", "op_pr_auc")
 
 

@@ -13,16 +13,19 @@ from pluvia.operators.storage import materialise
 
 
 def scenario_rows(rows: DataFrame, scenarios: Sequence[tuple], target: str, *, hour="h") -> DataFrame:
-    """Each row once per scenario (name, limit, emission hours) it belongs to, labelled."""
+    """Each row once per scenario it belongs to, labelled.
+
+    A scenario is (name, limit, emission hours) or has a SQL condition on the station as its fourth member.
+    """
     options = F.filter(
         F.array(
             *[
                 F.struct(
                     F.lit(name).alias("cenario"),
                     (F.col(target) > limit).cast("int").alias("rotulo"),
-                    F.pmod(F.col(hour), F.lit(24)).isin(list(hours)).alias("vale"),
+                    (F.pmod(F.col(hour), F.lit(24)).isin(list(hours)) & F.expr((*subset, "true")[0])).alias("vale"),
                 )
-                for name, limit, hours, *_ in scenarios
+                for name, limit, hours, *subset in scenarios
             ]
         ),
         lambda s: s["vale"],
@@ -70,9 +73,7 @@ def warning_gap_study(observed: DataFrame, pairs: DataFrame, forecast: DataFrame
     pairs = materialise(pairs)
     panel = warnings.station_day_panel(observed, pairs, event_above)
     rows = warnings.with_confirmation(pairs.join(observed, ["station", "dia"]))
-    criteria = rows.select("criterio_mm", "criterio_ms")
-    rain_only = rows.select("criterio_mm", F.lit(None).cast("double").alias("criterio_ms"))
-    rates = warnings.base_rates(observed, criteria.unionByName(rain_only))
+    rates = warnings.base_rates(observed, warnings.criteria_of(rows))
     table = warnings.confirmation_table(warnings.attach_base_rate(rows, rates), group)
     rainy = warnings.attach_base_rate(rows, rates, rain_only=True).where(
         F.col("criterio_mm").isNotNull()
