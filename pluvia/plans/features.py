@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pluvia import config
 from pluvia.functions import clock
 from pluvia.operators import cleaning, climatology, neighbours
+from pluvia.operators.storage import materialise
 from pluvia.operators.tiling import HOURS_PER_TILE, Frames, over_series
 from pluvia.operators.windows import LAGS, TOTALS
 
@@ -84,7 +85,9 @@ def feature_table(observations: DataFrame, stations: DataFrame, cutoff: int,
     ``stations``: ``station, lat, lon`` and optionally ``altitude``.
     """
     rows = window_features(point_features(observations))
-    near = neighbours.neighbour_map(stations, cfg.neighbours, cfg.radius_km)
+    # Both tables are small and read several times below.
+    stations = materialise(stations, "stations")
+    near = materialise(neighbours.neighbour_map(stations, cfg.neighbours, cfg.radius_km), "neighbours")
     rows = neighbours.neighbour_means(rows, near, observations)
     dated = observations.withColumn("mes", F.month(clock.day_of_hour(F.col("h"))))
     rows = climatology.with_climatology(rows, stations, cutoff, dated)
