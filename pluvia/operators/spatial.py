@@ -64,11 +64,19 @@ def points_in_polygons(polygons: DataFrame, points: DataFrame, *, geometry="poli
     two parts of one polygon is one pair. Polygons are spread over tasks before they are
     parsed, since a few input splits may hold most of the vertices; the parsed parts are
     written once. Rows of points count as different if any column differs.
+
+    Arriving polygons (a stream) cannot be written first: their points take all levels, and a
+    part takes the parts before it along, so that pairs need no state to be told apart.
     """
     keys = [c for c in polygons.columns if c != geometry]
-    spread = polygons.repartition(*keys).withColumn("_polygon", F.monotonically_increasing_id())
-    parts = materialise(polygon_parts(spread, geometry).drop(geometry, "_parts", "_part"), "parts")
-    levels = parts.select("_level").distinct()  # at most as many rows as there are levels
+    if polygons.isStreaming:
+        earlier = F.when(F.col("_part") > 0, F.slice("_parts", F.lit(1), F.col("_part")))
+        parts = polygon_parts(polygons.repartition(*keys), geometry).withColumn("_earlier", earlier).drop(geometry, "_parts", "_part")
+        levels = polygons.sparkSession.range(FINEST, COARSEST + 1).select(F.col("id").cast("int").alias("_level"))
+    else:
+        spread = polygons.repartition(*keys).withColumn("_polygon", F.monotonically_increasing_id())
+        parts = materialise(polygon_parts(spread, geometry).drop(geometry, "_parts", "_part"), "parts")
+        levels = parts.select("_level").distinct()  # at most as many rows as there are levels
     side = F.pow(F.lit(2.0), F.col("_level"))
     covered = (
         parts.withColumn("_cx", F.explode(_cells(F.col("_x0"), F.col("_x1"), side)))
@@ -87,4 +95,7 @@ def points_in_polygons(polygons: DataFrame, points: DataFrame, *, geometry="poli
         .where(polygon_contains(x, y, F.col("_rings")))
         .drop("_level", "_cx", "_cy", "_rings", "_x0", "_x1", "_y0", "_y1")
     )
+    if polygons.isStreaming:
+        seen = F.exists("_earlier", lambda p: polygon_contains(x, y, p))
+        return matched.where(F.col("_earlier").isNull() | ~seen).drop("_earlier")
     return matched.dropDuplicates(["_polygon", *points.columns]).drop("_polygon")

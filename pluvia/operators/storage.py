@@ -48,19 +48,26 @@ def stored_rows(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def replace_keys(
-    rows: DataFrame, path: str, keys: Sequence[str], partitions: dict[str, Column], sort: Sequence[str] = ()
+    rows: DataFrame, path: str, keys: Sequence[str], partitions: dict[str, Column], sort: Sequence[str] = (),
+    own: DataFrame | None = None,
 ) -> None:
     """Put rows into a partitioned store; they replace the stored rows with the same keys, no others.
 
     Only the partitions that the rows fall into are read and written again. Other rows of these partitions
-    are kept. Writers of one store must not run at the same time.
+    are kept. `own` lists the keys to replace where some of them have no rows any more; the partitions must
+    then follow from the keys. Writers of one store must not run at the same time.
     """
     spark = rows.sparkSession
     batch = materialise(rows.withColumns(partitions), "batch")
     if (stored := stored_rows(spark, path)) is not None:
-        touched, own = batch.select(*partitions).distinct(), batch.select(*keys).distinct()
+        touched = (batch if own is None else own.withColumns(partitions)).select(*partitions).distinct()
+        own = batch.select(*keys).distinct() if own is None else own
         kept = stored.join(touched, list(partitions), "left_semi").join(own, list(keys), "left_anti")
         batch = materialise(batch.unionByName(kept, allowMissingColumns=True), "merged")
+        # A partition that lost its last row is not overwritten by anything; there are only a few.
+        left = batch.select(*partitions).distinct()
+        for row in touched.join(left, list(partitions), "left_anti").collect():
+            remove(spark, "/".join([path, *(f"{name}={row[name]}" for name in partitions)]))
     (
         batch.repartition(*partitions)
         .sortWithinPartitions(*partitions, *sort)

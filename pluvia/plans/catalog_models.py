@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pluvia.functions.rates import round6
 from pluvia.operators import metrics, ml, splits
 from pluvia.operators.storage import materialise, scratch_folder
+from pluvia.operators.warnings import expand_station_days
 from pluvia.plans import studies
 from pluvia.plans import views as V
 from pluvia.plans.catalog_metrics import _ap_sql, isotonic_sql
@@ -287,10 +288,14 @@ def warning_stream(spark, d):
 
 @query("S2_warning_stream", ["pairs"], "select station, dia, id, descricao, id_severidade from pairs")
 def warnings_arriving(spark, d):
-    arriving = warning_stream(spark, d).withColumn("colhido_em", F.col("inicio"))
-    days = feeds.new_warning_days(arriving, V.stations(spark, d), types=["Chuvas Intensas", "Acumulado de Chuva", "Vendaval"], delay="3650 days")
+    """Every warning arrives twice, a first form that ends a day early and the valid one."""
+    early = warning_stream(spark, d).withColumns({"fim": F.col("inicio"), "colhido_em": F.col("inicio")})
+    valid = warning_stream(spark, d).withColumn("colhido_em", F.col("inicio") + F.expr("interval 1 hour"))
+    places = V.stations(spark, d)
     folder = scratch_folder(spark, "s2")
-    feeds.run_upsert(days.withColumn("ano", F.year("dia")), f"{folder}/out", f"{folder}/checkpoint", "ano")
+    feeds.run_upsert(
+        early.unionByName(valid).drop("station"), f"{folder}/out", f"{folder}/checkpoint", ["id"], latest="colhido_em",
+        expand=lambda batch: expand_station_days(batch, places, types=["Chuvas Intensas", "Acumulado de Chuva", "Vendaval"]))
     return spark.read.parquet(f"{folder}/out").select("station", "dia", "id", "descricao", "id_severidade")
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pluvia.operators.spatial import points_in_polygons
+from pluvia.operators.storage import materialise, replace_keys
 from pluvia.operators.warnings import expand_station_days
 
 
@@ -83,21 +84,24 @@ def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, partition: Seq
     return query
 
 
-def run_upsert(stream: DataFrame, path: str, checkpoint: str, partition: str) -> StreamingQuery:
-    """Process everything available; each batch replaces its rows idempotently.
+def run_upsert(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], *, latest: str | None = None,
+               expand=None, lots: int = 16) -> StreamingQuery:
+    """Process everything available; the rows of a key replace those stored under it before.
 
-    Rows are stored per batch number, so a batch that is run again after a failure
-    replaces itself.
+    Of several arrivals of a key in one batch the one with the greatest ``latest`` counts.
+    ``expand(batch)`` turns the kept arrivals into the rows to store. All rows of a key lie in one
+    partition, by a hash of the key, so a batch that is run again after a failure changes nothing.
     """
+    lot = F.pmod(F.xxhash64(*keys), F.lit(lots))
 
     def store(batch: DataFrame, number: int) -> None:
-        (
-            batch.withColumn("lote", F.lit(number))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("lote", partition)
-            .parquet(path)
-        )
+        if latest is not None:
+            newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(latest)))
+            batch = batch.withColumn("_nth", newest).where(F.col("_nth") == 1).drop("_nth")
+        batch = materialise(batch, "arrived")
+        arrived = batch.select(*keys).distinct()
+        rows = batch if expand is None else expand(batch)
+        replace_keys(rows, path, keys, {"lote": lot}, own=arrived)
 
     query = (
         stream.writeStream.foreachBatch(store)

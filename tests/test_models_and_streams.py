@@ -106,3 +106,20 @@ def test_repeated_snapshot_rows_are_dropped_across_batches(spark, tmp_path):
         feeds.run_to_parquet(stream, str(tmp_path / "out"), str(tmp_path / "c"))
     out = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.h, r.x) for r in out) == [(5, 1.0), (6, 1.0)]
+
+
+def test_changed_warnings_replace_their_rows(spark, tmp_path):
+    """Two batches: a warning that changed, one that no longer covers anything, a new one and an old one."""
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    schema = "id long, n long, colhido_em timestamp"
+
+    def arrive(rows):
+        spark.createDataFrame([(i, n, pd.Timestamp(t).to_pydatetime()) for i, n, t in rows], schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        expand = lambda batch: batch.where("n > 0").select("id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("dia"))
+        feeds.run_upsert(stream, out, str(tmp_path / "state"), ["id"], latest="colhido_em", expand=expand)
+        return sorted((r.id, r.dia) for r in spark.read.parquet(out).collect())
+
+    first = [(1, 2, "2024-01-01"), (1, 3, "2024-01-02"), (2, 1, "2024-01-01"), (3, 1, "2024-01-01")]
+    assert arrive(first) == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1)]
+    assert arrive([(1, 1, "2024-01-03"), (2, -5, "2024-01-03"), (4, 2, "2024-01-03")]) == [(1, 1), (3, 1), (4, 1), (4, 2)]
