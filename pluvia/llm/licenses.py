@@ -7,8 +7,8 @@ looked up the other way round: each text shingle is hashed once and compared wit
 only the windows around those are built, where their band values are compared and the containment of the
 template's shingles is then counted exactly. A window with a containment of `least` has a Jaccard similarity
 of at least `least` / (2.2 - `least`) with the template, the slack at both ends counted, and is missed with
-probability of at most (1 - similarity) ** hashes: below 0.1 % for the defaults; an unchanged notice holds
-every minimum and is found for certain where nothing smaller stands in the slack.
+probability of at most (1 - similarity) ** hashes, about 0.1 % for the defaults. For an unchanged notice the
+similarity is at least 1 / 1.2, so that a miss has odds of about one to two million.
 
 Everything happens within a document's row: nothing is shuffled, joined or handed to Python.
 
