@@ -72,11 +72,11 @@ def points_in_polygons(polygons: DataFrame, points: DataFrame, *, geometry="poli
     if polygons.isStreaming:
         earlier = F.when(F.col("_part") > 0, F.slice("_parts", F.lit(1), F.col("_part")))
         parts = polygon_parts(polygons.repartition(*keys), geometry).withColumn("_earlier", earlier).drop(geometry, "_parts", "_part")
-        levels = polygons.sparkSession.range(FINEST, COARSEST + 1).select(F.col("id").cast("int").alias("_level"))
+        levels = list(range(FINEST, COARSEST + 1))
     else:
         spread = polygons.repartition(*keys).withColumn("_polygon", F.monotonically_increasing_id())
         parts = materialise(polygon_parts(spread, geometry).drop(geometry, "_parts", "_part"), "parts")
-        levels = parts.select("_level").distinct()  # at most as many rows as there are levels
+        levels = sorted(r[0] for r in parts.select("_level").distinct().collect())  # of 14 levels at most
     side = F.pow(F.lit(2.0), F.col("_level"))
     covered = (
         parts.withColumn("_cx", F.explode(_cells(F.col("_x0"), F.col("_x1"), side)))
@@ -84,7 +84,7 @@ def points_in_polygons(polygons: DataFrame, points: DataFrame, *, geometry="poli
     )
     located = (
         points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-        .join(F.broadcast(levels))
+        .withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
         .withColumns({"_cx": F.floor(F.col(lon) / side), "_cy": F.floor(F.col(lat) / side)})
     )
     x, y = F.col(lon), F.col(lat)
