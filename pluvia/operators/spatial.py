@@ -60,22 +60,20 @@ def points_in_polygons(polygons: DataFrame, points: DataFrame, *, geometry="poli
 
     Both sides keep their columns (the geometry text is dropped). A polygon part is cut into
     cells about half its size, a point goes into its cell on every level that a part has, and
-    the exact test runs on equal cells, each with the rings of its own part only. A point in
-    two parts of one polygon is one pair. Polygons are spread over tasks before they are
-    parsed, since a few input splits may hold most of the vertices; the parsed parts are
-    written once. Rows of points count as different if any column differs.
+    the exact test runs on equal cells, each with the rings of its own part only. A part
+    after the first takes the parts before it along, so that a point in two parts of one
+    polygon is one pair. Polygons are spread over tasks before they are parsed, since a few
+    input splits may hold most of the vertices; the parsed parts are written once.
 
-    Arriving polygons (a stream) cannot be written first: their points take all levels, and a
-    part takes the parts before it along, so that pairs need no state to be told apart.
+    Arriving polygons (a stream) cannot be written first; their points take all levels.
     """
     keys = [c for c in polygons.columns if c != geometry]
-    if polygons.isStreaming:
-        earlier = F.when(F.col("_part") > 0, F.slice("_parts", F.lit(1), F.col("_part")))
-        parts = polygon_parts(polygons.repartition(*keys), geometry).withColumn("_earlier", earlier).drop(geometry, "_parts", "_part")
-        levels = list(range(FINEST, COARSEST + 1))
-    else:
-        spread = polygons.repartition(*keys).withColumn("_polygon", F.monotonically_increasing_id())
-        parts = materialise(polygon_parts(spread, geometry).drop(geometry, "_parts", "_part"), "parts")
+    earlier = F.when(F.col("_part") > 0, F.slice("_parts", F.lit(1), F.col("_part")))
+    parts = polygon_parts(polygons.repartition(*keys), geometry).withColumn("_earlier", earlier)
+    parts = parts.drop(geometry, "_parts", "_part")
+    levels = list(range(FINEST, COARSEST + 1))
+    if not polygons.isStreaming:
+        parts = materialise(parts, "parts")
         levels = sorted(r[0] for r in parts.select("_level").distinct().collect())  # of 14 levels at most
     side = F.pow(F.lit(2.0), F.col("_level"))
     covered = (
@@ -95,7 +93,5 @@ def points_in_polygons(polygons: DataFrame, points: DataFrame, *, geometry="poli
         .where(polygon_contains(x, y, F.col("_rings")))
         .drop("_level", "_cx", "_cy", "_rings", "_x0", "_x1", "_y0", "_y1")
     )
-    if polygons.isStreaming:
-        seen = F.exists("_earlier", lambda p: polygon_contains(x, y, p))
-        return matched.where(F.col("_earlier").isNull() | ~seen).drop("_earlier")
-    return matched.dropDuplicates(["_polygon", *points.columns]).drop("_polygon")
+    seen = F.exists("_earlier", lambda p: polygon_contains(x, y, p))
+    return matched.where(F.col("_earlier").isNull() | ~seen).drop("_earlier")
