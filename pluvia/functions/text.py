@@ -54,19 +54,23 @@ def _amounts(text: Column, unit: str, links: tuple[str, ...]) -> Column:
     for link in links:
         if not link.isalpha():
             spaced = F.replace(spaced, F.lit(link), F.lit(f" {link} "))
-    words = F.split(F.trim(spaced), r"\s+")
 
-    def number(i: Column) -> Column:
+    def number(words: Column, i: Column) -> Column:
         digits = F.regexp_extract(F.get(words, i), r"[0-9]+([.,][0-9]+)?$", 0)
         return F.replace(digits, F.lit(","), F.lit(".")).try_cast("double")
 
-    def amount(word: Column, i: Column) -> Column:
-        linked = F.get(words, i - 2).isin(*links) & number(i - 3).isNotNull()
-        low = F.when(linked, number(i - 3)).otherwise(number(i - 1))
+    def amount(words: Column, word: Column, i: Column) -> Column:
+        linked = F.get(words, i - 2).isin(*links) & number(words, i - 3).isNotNull()
+        low = F.when(linked, number(words, i - 3)).otherwise(number(words, i - 1))
         opened = linked & F.coalesce(F.get(words, i - 4).endswith("entre"), F.lit(False))
-        return F.when((word == UNIT) & number(i - 1).isNotNull(), F.struct(low.alias("low"), opened.alias("entre")))
-
-    return F.filter(F.transform(words, amount), lambda a: a.isNotNull())
+        return F.when((word == UNIT) & number(words, i - 1).isNotNull(), F.struct(low.alias("low"), opened.alias("entre")))
+
+    # Through an array of one, the words are split once and not again for each word.
+    found = F.transform(
+        F.array(F.split(F.trim(spaced), r"\s+")),
+        lambda words: F.filter(F.transform(words, lambda w, i: amount(words, w, i)), lambda a: a.isNotNull()),
+    )
+    return F.get(found, F.lit(0))
 
 
 def rain_criterion(text: Column) -> Column:
