@@ -349,6 +349,17 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scorer:
     return T.pick(df, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
+def union(spans: list[tuple[int, int, int, bool]]) -> list[tuple[int, int]]:
+    """(start, end) of the stretches that the spans cover, by start; overlapping spans make one."""
+    whole: list[tuple[int, int]] = []
+    for a, b, _, _ in sorted(spans):
+        if whole and a < whole[-1][1]:
+            whole[-1] = (whole[-1][0], max(b, whole[-1][1]))
+        else:
+            whole.append((a, b))
+    return whole
+
+
 def redact(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", scorer: Scorer | None = None
 ) -> DataFrame:
@@ -363,13 +374,8 @@ def redact(
                 out = []
                 for text, spans in zip(some, _slice_spans(some, scorer)):
                     text = text.decode() if text is not None else None
-                    until = math.inf
-                    for a, b, _, _ in sorted(spans, reverse=True):
-                        if b > until:  # it reaches into one that is gone already
-                            text = text[:a] + mark + text[until + len(mark) :]
-                        else:
-                            text = text[:a] + mark + text[b:]
-                        until = a
+                    for a, b in reversed(union(spans)):
+                        text = text[:a] + mark + text[b:]
                     out.append(text)
                 yield rows.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
