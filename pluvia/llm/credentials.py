@@ -4,7 +4,9 @@ The patterns label credentials. From a bounded sample of labelled ones a prefix
 is built for each kind, and its states are merged while their outgoing frequencies are statistically
 compatible (Hoeffding bound), which gives a small probabilistic automaton. Every other token of every text
 is scored by its log-likelihood under each automaton less that under a model of ordinary tokens; what
-scores beyond all ordinary tokens of the sample, with a margin, is a secret too, whatever stands before it.
+scores beyond the prior log-odds (ordinary tokens to labelled credentials of the kind) and a margin is a
+secret too, whatever stands before it. Tokens outside the patterns are unlabelled, not known to be ordinary:
+those beyond the threshold are left out and the model of ordinary tokens is fitted again.
 Scoring moves all tokens of a slice through the automaton together.
 
 Cases: null text counts as empty and has no spans; equal rows are scanned one by one; without labelled
@@ -202,13 +204,25 @@ class Scorer:
 
     def __init__(self, labelled: dict[int, list[bytes]], ordinary: list[bytes], margin: float = 6.0, least: int = 16):
         self.least = least
-        ordinary = ordinary + [t.upper() for t in ordinary]  # a word in capitals is as ordinary
-        self.ordinary = Ordinary(ordinary)
         self.tables = {k: Automaton(v).tables() for k, v in labelled.items() if len(v) >= 20}
-        self.threshold = {k: -math.inf for k in self.tables}
-        data, start, end = _laid_out(ordinary)
-        for kind, scores in self.scores(data, start, end).items():
-            self.threshold[kind] = max(0.0, float(scores.max(initial=0.0))) + margin
+        # The odds against a token's being of the kind, from the counts of both, and the margin on them.
+        self.threshold = {
+            k: max(0.0, math.log(max(1, len(ordinary)) / len(labelled[k]))) + margin for k in self.tables
+        }
+        self.ordinary = self._fitted(ordinary)
+        for _ in range(5):  # what passes as a secret is no example of an ordinary token
+            data, start, end = _laid_out(ordinary)
+            beyond = np.zeros(len(ordinary), bool)
+            for kind, scores in self.scores(data, start, end).items():
+                beyond |= scores >= self.threshold[kind]
+            if not beyond.any():
+                break
+            ordinary = [t for t, out in zip(ordinary, beyond.tolist()) if not out]
+            self.ordinary = self._fitted(ordinary)
+
+    @staticmethod
+    def _fitted(ordinary: list[bytes]) -> Ordinary:
+        return Ordinary(ordinary + [t.upper() for t in ordinary])  # a word in capitals is as ordinary
 
     def candidates(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of at least `least` characters; dots, dashes and equals signs at their ends are left out."""

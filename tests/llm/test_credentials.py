@@ -74,3 +74,16 @@ def test_redact_leaves_no_tail(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = [r.text for r in sorted(C.redact(docs).collect())]
     assert kept == ["é [secret] end", "é [secret] end", "[secret] and [secret]"]
+
+
+def test_scan_finds_bare_keys_of_its_own_sample(spark, rng):
+    """Keys outside the patterns are found although they are among the unlabelled tokens of the fit."""
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    word = lambda: "".join(rng.choice(list("etaoinshrdlu"), 18))
+    key = lambda: "".join(rng.choice(letters, 32))
+    bare = {i: key() for i in range(0, 200, 10)}
+    texts = [f"{word()} {word().upper()} {bare[i] if i in bare else word()} 0123456789{i:010d} end" for i in range(200)]
+    texts += [f"{word()} token={key()}" for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.text[s.start : s.end]) for r in C.scan(docs).join(docs, "doc_id").collect() for s in r.found if not s.base}
+    assert found == set(bare.items())
