@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvia.llm import (
+    conversations,
     credentials,
     decontam,
     language,
     licenses,
+    merkle,
     packing,
     quality,
+    rules,
     simhash,
     topk,
     toxicity,
@@ -77,6 +80,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_read(spark, sf_dir, "documents")).drop("failed")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_read(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -90,6 +105,9 @@ QUERIES: dict[str, Query] = {
         op8_language_id,
         op9_benchmark_decontamination,
         op10_toxicity,
+        op11_quality_rules,
+        op12_merkle_manifest,
+        op13_conversation_repair,
     )
 }
 
@@ -169,10 +187,229 @@ select page_id, host, path, rule,
 from j
 """
 
+def _blanks(text: str) -> str:
+    """The text with all white space as spaces."""
+    marks = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"translate({text}, {marks}, '     ')"
+
+
+def _rule_sql(rule: rules.Rule) -> str:
+    per = rule.per or "1"
+    low = f"100 * {rule.measure} < {round(100 * rule.least)} * {per}" if rule.least is not None else "false"
+    high = f"100 * {rule.measure} > {round(100 * rule.most)} * {per}" if rule.most is not None else "false"
+    return f"(n_words >= {rule.words} and ({low} or {high}))"
+
+
+def _count_sql(text: str, letters: str) -> str:
+    return f"length({text}) - length(translate({text}, '{letters}', ''))"
+
+
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+_OP11_SQL = f"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as t from documents
+), w as (
+  select *, list_filter(string_split({_blanks('t')}, ' '), lambda x: x <> '') as w,
+    list_filter(string_split(t, chr(10)), lambda x: trim({_blanks('x')}) <> '') as l
+  from d
+), places as (
+  select r, unnest(range(1, len(w) + 1)) as i, unnest(w) as x from w
+), windows as (
+  select r, i, count(*) over (partition by r, x) as n from (
+    select r, i, concat_ws(' ', x, lead(x, 1) over p, lead(x, 2) over p, lead(x, 3) over p, lead(x, 4) over p) as x,
+      lead(i, 4) over p is not null as whole
+    from places window p as (partition by r order by i)
+  ) where whole
+), repeats as (
+  select r, sum(least(5, coalesce(i - before, 5))) as n
+  from (select r, i, lag(i) over (partition by r order by i) as before from windows where n > 1) group by r
+), m as (
+  select doc_id, len(w) as n_words, coalesce(len(array_to_string(w, '')), 0) as word_chars,
+    {_count_sql('t', rules.SYMBOLS)} as n_symbols,
+    len(l) - len(list_distinct(l)) as n_dup_lines,
+    coalesce(n, 0) as n_repeat_words,
+    {_count_sql('t', rules.MARKS)} as n_marks,
+    {_count_sql('t', _AZ)} as n_capitals,
+    len(list_filter(w, lambda x: translate(x, '{_AZ}.,;:!?', '{_AZ.lower()}') in ({', '.join(f"'{x}'" for x in rules.STOP_WORDS)}))) as n_stops,
+    len(l) as n_lines,
+    len(list_filter(l, lambda x: x like '%...' or x like '%…')) as n_dotted
+  from w left join repeats using (r)
+)
+select doc_id, {', '.join(f'{m}::bigint as {m}' for m in rules.MEASURES)},
+  {' or '.join(_rule_sql(r) for r in rules.RULES if r.base)} as base_failed,
+  not ({' or '.join(_rule_sql(r) for r in rules.RULES)}) as kept
+from m
+"""
+
+
+#: The checksum of a short text: `crc` is the table of a byte's steps, `crc_of(x)` is written out by `_crc_sql`.
+_CRC_TABLE_SQL = """crc as (
+  select list(v order by i) as steps from (
+    select i, list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), i) as v from range(256) t(i)
+  )
+)"""
+
+
+def _crc_sql(text: str) -> str:
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ord(substr({text}, i, 1))::bigint)"
+    folded = f"list_reduce({codes}, lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1]), 4294967295)"
+    return f"xor({folded}, 4294967295)"
+
+
+def _tree_sql(nodes: str, levels: int) -> str:
+    """For each level of the tree over `nodes` (k, number, hash) the runs of eight and the digest of each."""
+    ctes, last = [], nodes
+    for i in range(levels):
+        ctes.append(f"""{nodes}{i} as (
+  select k, number // 8 as number, max(total) as total, list(hash order by number) as run,
+    case when max(total) > 1 then sha256(string_agg(hash, '' order by number)) else max(hash) end as hash
+  from (select k, number, hash, count(*) over (partition by k) as total from {last}) group by k, number // 8
+)""")
+        last = f"{nodes}{i}"
+    return ",\n".join(ctes)
+
+
+def _climb_sql(rows: str, nodes: str, levels: int) -> str:
+    """Folds `f` and gathers the siblings `sib` of `rows` (k, number, f, sib, ..) up the tree over `nodes`."""
+    ctes, last = [], rows
+    for i in range(levels):
+        before = "coalesce(array_to_string(g.run[1:p.number % 8], ''), '')"
+        after = "coalesce(array_to_string(g.run[p.number % 8 + 2:], ''), '')"
+        ctes.append(f"""{rows}{i} as (
+  select p.* replace (
+    p.number // 8 as number,
+    case when g.total > 1 then sha256({before} || f || {after}) else f end as f,
+    case when g.total > 1 then sib || {before} || {after} else sib end as sib)
+  from {last} p join {nodes}{i} g on g.k = p.k and g.number = p.number // 8
+)""")
+        last = f"{rows}{i}"
+    return ",\n".join(ctes)
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"coalesce(strlen({x}::varchar) || ':' || {x}::varchar, '-')" for x in ("doc_id", "source", "lang", "n_chars", text)]
+    return "sha256(" + " || ".join(fields) + ")"
+
+
+#: Trees of up to 8**8 rows a language and 8**4 languages.
+_OP12_SQL = f"""
+with {_CRC_TABLE_SQL}, leaves as (
+  select row_number() over () as r, doc_id, coalesce('=' || lang, '') as k, {_leaf_sql('text')} as leaf,
+    case when {_crc_sql('doc_id::varchar')} % 3 = 0 then {_leaf_sql(f"translate(text, '{_AZ}', '{_AZ.lower()}')")} end as changed
+  from documents, crc
+), docs as (
+  select *, row_number() over (partition by k order by doc_id nulls first, leaf) - 1 as number, leaf as hash from leaves
+), {_tree_sql('docs', 8)},
+langs as (
+  select 0 as k, row_number() over (order by k) - 1 as number, hash, k as lang from docs7
+), {_tree_sql('langs', 4)},
+proof as (
+  select doc_id, leaf, k, number, coalesce(changed, leaf) as f, '' as sib from docs
+), {_climb_sql('proof', 'docs', 8)},
+upper as (
+  select p.doc_id, p.leaf, l.k, l.number, p.f, p.sib, l.hash as subroot from proof7 p join langs l on l.lang = p.k
+), {_climb_sql('upper', 'langs', 4)}
+select doc_id, leaf, subroot, (select hash from langs3) as root, sha256(sib) as proof_sha256, f as folded_root,
+  f = (select hash from langs3) as verified
+from upper3
+"""
+
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+#: Costs to the end from each grammar state (nothing yet, after s, u, a), then the edits from the start.
+_OP13_SQL = f"""
+with recursive {_CRC_TABLE_SQL}, given as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {_crc_sql("(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))")} % 20 as code
+  from conversations, crc
+), damaged as (
+  select conv_id, turn, case when code = 4 then 'user' else role end as role,
+    case code when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+    unnest(range(case when code = 3 then 2 else 1 end)) as copy
+  from given where code <> 0
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as again,
+    lag(role) over (partition by conv_id order by turn nulls first, role, text, copy) as before,
+    rtrim(text, {_WHITE}) as shown
+  from damaged
+), faults as (
+  select *, role[1] as r, case when shown = '' then 'blank' when again > 1 then 'duplicate'
+    when shown[-1] not in ('.', '!', '?') then 'truncated' end as fault
+  from placed
+), rows as (
+  select conv_id, i, r, role, text, fault in ('blank', 'duplicate') and fault is not null as gone,
+    case when fault = 'truncated' then 5 else 0 end as late
+  from faults
+), counts as (
+  select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (before is not null and before[1] || r not in ('su', 'ua', 'au')) as illegal
+  from faults group by conv_id
+), back as (
+  select conv_id, n as i, 0::bigint as c0, 10::bigint as cs, 5::bigint as cu, 0::bigint as ca from counts
+  union all
+  select conv_id, i, least(b0, 5 + nu) as c0, least(bs, 5 + nu) as cs, nu as cu, least(ba, 5 + bu) as ca
+  from (
+    select *, least(bu, 5 + ba) as nu from (
+      select b.conv_id, b.i - 1 as i,
+        least(2 + c0, case when not gone then least(1 + late + cu, case r when 's' then late + cs when 'u' then late + cu end) end) as b0,
+        least(2 + cs, case when not gone then least(1 + late + cu, case r when 'u' then late + cu end) end) as bs,
+        least(2 + cu, case when not gone then least(1 + late + ca, case r when 'a' then late + ca end) end) as bu,
+        least(2 + ca, case when not gone then least(1 + late + cu, case r when 'u' then late + cu end) end) as ba
+      from back b join rows w on w.conv_id is not distinct from b.conv_id and w.i = b.i
+    )
+  )
+), costs as (
+  select conv_id, i, [c0, cs, cu, ca] as c from back
+), walk as (
+  select conv_id, 0::bigint as i, 1 as s, '' as audit, []::varchar[] as kept, false as ended from counts
+  union all
+  select conv_id, case when e = 'I' then i else i + 1 end as i, case e when 'D' then s when 'K' then ks else ns end as s,
+    audit || e as audit,
+    case e when 'D' then kept when 'K' then list_append(kept, role || ':' || text)
+      else list_append(kept, case ns when 3 then 'user' else 'assistant' end || ':' || case e when 'I' then '' else text end) end as kept,
+    e = '' as ended
+  from (
+    select *, case
+      when done and c[s] = 0 then ''
+      when not done and c[s] = 2 + d[s] then 'D'
+      when c[s] = 5 + c[ns] then 'I'
+      when ks is not null and c[s] = late + d[ks] then 'K'
+      else 'R' end as e
+    from (
+      select w.*, x.role, x.text, x.late, a.c, b.c as d, b.c is null as done, case s when 3 then 4 else 3 end as ns,
+        case when x.gone then null when s = 1 and r = 's' then 2 when s <> 3 and r = 'u' then 3 when s = 3 and r = 'a' then 4 end as ks
+      from walk w
+      join costs a on a.conv_id is not distinct from w.conv_id and a.i = w.i
+      left join costs b on b.conv_id is not distinct from w.conv_id and b.i = w.i + 1
+      left join rows x on x.conv_id is not distinct from w.conv_id and x.i = w.i + 1
+      where not w.ended
+    )
+  )
+), ended as (
+  select conv_id, audit, sha256(array_to_string(kept, chr(10))) as sha from walk where ended
+), total as (
+  select conv_id, c[1] as cost from costs where i = 0
+)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost,
+  coalesce(audit, '') as audit, coalesce(sha, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join counts c on c.conv_id is not distinct from o.conv_id
+left join total t on t.conv_id is not distinct from o.conv_id
+left join ended e on e.conv_id is not distinct from o.conv_id
+"""
+
 #: DuckDB SQL for the queries that SQL can express. The others train models, hash with a seed, or need places
 #: of pattern matches and token ids; tests compare them with brute force.
 ORACLES: dict[str, str] = {
     "op4_exact_top_k": _OP4_SQL,
     "op6_license_scan": _OP6_SQL,
     "op7_url_filter": _OP7_SQL,
+    "op11_quality_rules": _OP11_SQL,
+    "op12_merkle_manifest": _OP12_SQL,
+    "op13_conversation_repair": _OP13_SQL,
 }

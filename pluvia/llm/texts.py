@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,14 @@ SLICE_BYTES = 4 << 20
 #: Bytes with A-Z as small letters.
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
+#: The white space between words.
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
 
 def pick(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The id (as long) and the text only, under fixed names, so that no other column can clash."""
