@@ -75,14 +75,15 @@ def numbered(units: DataFrame) -> DataFrame:
     several = placed.where("n > 1")
     if several.isEmpty():
         return once
-    prefix = F.conv(F.substring("leaf", 1, 8), 16, 10).cast("long")
+    # Null ids share `v` with the least id; negative prefixes put them first.
+    prefix = F.conv(F.substring("leaf", 1, 8), 16, 10).cast("long") - F.when(F.col("doc_id").isNull(), 1 << 32).otherwise(0)
     group = ["key", "v", "total", "start"]
     several = several.groupBy(*group, "doc_id", "leaf", "changed", prefix.alias("p")).agg(F.count("*").alias("times"))
     several = materialise(several, "several")
     sizes = several.groupBy("key", "v", "p").agg(F.sum("times").alias("k"))
     before = running_totals(sizes, ["key", "v"], "p", ["k"])
     before = before.select("key", "v", "p", (F.col("cum_k") - F.col("k")).alias("before"))
-    inside = Window.partitionBy("key", "v", "p").orderBy("doc_id", "leaf").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("key", "v", "p").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
     own = F.coalesce(F.sum("times").over(inside), F.lit(0))
     several = several.join(before, ["key", "v", "p"]).withColumn("number", F.col("start") + F.col("before") + own)
     return once.unionByName(several.select(columns))
