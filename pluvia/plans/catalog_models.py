@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pluvia.functions.rates import round6
-from pluvia.operators import metrics, ml, splits
+from pluvia.operators import deltas, metrics, ml, splits
 from pluvia.operators.storage import materialise, scratch_folder
 from pluvia.operators.warnings import expand_station_days
 from pluvia.plans import studies
@@ -264,9 +264,9 @@ def stream(spark, d, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def run(spark, frame, name):
+def run(spark, frame, name, **more):
     folder = scratch_folder(spark, name)
-    feeds.run_to_parquet(frame, f"{folder}/out", f"{folder}/checkpoint")
+    feeds.run_to_parquet(frame, f"{folder}/out", f"{folder}/checkpoint", **more)
     return spark.read.schema(frame.schema).parquet(f"{folder}/out")
 
 
@@ -296,7 +296,7 @@ def warnings_arriving(spark, d):
     feeds.run_upsert(
         early.unionByName(valid).drop("station"), f"{folder}/out", f"{folder}/checkpoint", ["id"], latest="colhido_em",
         expand=lambda batch: expand_station_days(batch, places, types=["Chuvas Intensas", "Acumulado de Chuva", "Vendaval"]))
-    return spark.read.parquet(f"{folder}/out").select("station", "dia", "id", "descricao", "id_severidade")
+    return deltas.stored(spark, f"{folder}/out").select("station", "dia", "id", "descricao", "id_severidade")
 
 
 NOTIFY_SQL = """with recursive ev as (
@@ -331,7 +331,9 @@ def notification_policy(spark, d):
 
 @query("S3_notification_stream")
 def notification_stream(spark, d):
-    return run(spark, notify.notification_stream(warning_events(warning_stream(spark, d))), "s3")
+    events = warning_events(warning_stream(spark, d))
+    # All events are there when the stream starts; without a delay the watermark passes the last of them.
+    return run(spark, notify.notification_stream(events, delay="0 seconds"), "s3", rocksdb=True)
 
 
 ORACLES["S3_notification_policy"] = notify_oracle()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pluvia import config
 from pluvia.functions import text
 from pluvia.functions.rates import round6
-from pluvia.operators import metrics, quality, warnings
+from pluvia.operators import deltas, metrics, quality, warnings
 from pluvia.operators.storage import scratch_folder
 from pluvia.plans import views as V
 from pluvia.plans.catalog_metrics import CURVE, GAP_SQL, _curve_sql, gap
@@ -107,7 +107,7 @@ def incremental(spark, d):
             rows = rows.withColumn("precipitacao", F.when(number % 4 == 0, F.col("precipitacao") + 1).otherwise(F.col("precipitacao")))
         station_csv.write_silver(rows, folder)
         done = station_csv.processed_files(fresh)
-    return spark.read.parquet(folder).groupBy((F.substring("station", 2, 3).cast("long") - 100).alias("station")).agg(
+    return deltas.stored(spark, folder).groupBy((F.substring("station", 2, 3).cast("long") - 100).alias("station")).agg(
         F.count("*").alias("linhas"), F.min("h").alias("inicio"), F.max("h").alias("fim"), F.round(F.sum("precipitacao"), 4).alias("total"))
 
 
@@ -163,9 +163,9 @@ def snapshots(spark, d):
 @query("A12_latest_snapshot_means", ["obs"], f"""
 with {SNAP_SQL}, l as (select station, max(emitida_h) as emitida_h from snap group by 1),
 r as (select *, row_number() over (partition by station order by h) as r from snap join l using (station, emitida_h))
-select station, round(avg(mm_c), 6) as mm_c from r where r <= 6 group by 1""")
+select station, round(avg(mm_c), 6) as mm_c from r where r <= 24 group by 1""")
 def latest(spark, d):
-    return r6(stores.latest_snapshot_means(snapshots(spark, d), ["mm_c"], 6), "mm_c")
+    return r6(stores.latest_snapshot_means(snapshots(spark, d), ["mm_c"]), "mm_c")
 
 
 @query("A13_snapshot_archive", ["obs"], f"with {SNAP_SQL} select emitida_h // 24 as dia_emissao, count(*) as linhas, cast(sum(mm_c) as bigint) as mm from snap group by 1")

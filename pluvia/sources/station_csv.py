@@ -17,7 +17,7 @@ from pluvia.functions import text
 from pluvia.functions.clock import epoch_hour
 from pluvia.operators.cleaning import observation_time
 from pluvia.operators.joins import attach
-from pluvia.operators.storage import replace_keys
+from pluvia.operators import deltas
 
 # Canonical names of the date and hour columns of both layouts.
 OLD_DATE, OLD_HOUR = "DATA (YYYY-MM-DD)", "HORA (UTC)"
@@ -153,14 +153,14 @@ def unprocessed(lines: DataFrame, processed: DataFrame) -> DataFrame:
     return lines.join(processed.select("path", "modified"), ["path", "modified"], "left_anti")
 
 
-def write_silver(rows: DataFrame, path: str, hour: str = "h", lots: int = 16) -> None:
-    """Add rows to a store by year and lot of stations.
+def write_silver(rows: DataFrame, path: str, hour: str = "h", files: DataFrame | None = None) -> None:
+    """Add rows to a store by year (`deltas.stored` reads it).
 
-    All rows of a file replace what the store has of that file; other files, stations and years stay.
+    All rows of a file replace what the store has of that file, in years that it no longer has as well; other files
+    stay. `files` (path) lists the files of the batch where some of them may have no rows left.
     """
     year = F.year(F.timestamp_seconds(F.col(hour) * 3600))
-    lot = F.pmod(F.xxhash64("station"), F.lit(lots))
-    replace_keys(rows, path, ["path"], {"ano": year, "lote": lot}, ["station", hour])
+    deltas.put(rows, path, ["path"], {"ano": year}, ["station", hour], own=files)
 
 
 def processed_files(rows: DataFrame) -> DataFrame:

@@ -7,14 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pluvia.operators.storage import replace_keys
+from pluvia.operators import deltas
 
 
-def write_by_year(series: DataFrame, path: str, hour: str = "h", lots: int = 16) -> None:
-    """Add a series to a store by year and lot of stations, replacing the station-years it contains."""
+def write_by_year(series: DataFrame, path: str, hour: str = "h") -> None:
+    """Add a series to a store by year, replacing the station-years it contains. Rows without an hour have no year."""
     year = F.year(F.timestamp_seconds(F.col(hour) * 3600))
-    lot = F.pmod(F.xxhash64("station"), F.lit(lots))
-    replace_keys(series, path, ["station", "ano"], {"ano": year, "lote": lot}, ["station", hour])
+    deltas.put(series, path, ["station", "ano"], {"ano": year}, ["station", hour])
 
 
 def read_days(spark: SparkSession, path: str, first: str, last: str, hour: str = "h") -> DataFrame:
@@ -22,33 +21,28 @@ def read_days(spark: SparkSession, path: str, first: str, last: str, hour: str =
     lo = F.unix_date(F.lit(first).cast("date")) * 24
     hi = (F.unix_date(F.lit(last).cast("date")) + 1) * 24
     years = F.col("ano").between(int(first[:4]), int(last[:4]))
-    return spark.read.parquet(path).where(years & (F.col(hour) >= lo) & (F.col(hour) < hi))
+    return deltas.stored(spark, path).where(years & (F.col(hour) >= lo) & (F.col(hour) < hi))
 
 
 def write_forecast_archive(series: DataFrame, path: str, model: str, window: str) -> None:
-    """Store an archived forecast under its model and time window, with the names of its variables."""
+    """Store an archived forecast under its model and time window, with the names of its variables.
+
+    The stations of the series replace what the archive has of them for the model and window; others stay.
+    """
     names = [c for c in series.columns if c not in ("station", "h")]
-    (
-        series.withColumns({
-            "modelo": F.lit(model),
-            "periodo": F.lit(window),
-            "variaveis": F.array(*[F.lit(n) for n in names]).cast("array<string>"),
-        })
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("modelo", "periodo")
-        .parquet(path)
-    )
+    rows = series.withColumn("variaveis", F.array(*[F.lit(n) for n in names]).cast("array<string>"))
+    place = {"modelo": F.lit(model), "periodo": F.lit(window)}
+    deltas.put(rows, path, ["modelo", "periodo", "station"], place, ["station", "h"])
 
 
 def read_forecast_archive(spark: SparkSession, path: str, model: str, window: str,
                           variables: Sequence[str]) -> DataFrame:
-    """One model and window; fails when a requested variable was never stored for them."""
-    stored = spark.read.option("mergeSchema", True).parquet(path)
+    """One model and window; fails when a requested variable was not stored for all of their stations."""
+    stored = deltas.stored(spark, path)
     chosen = stored.where((F.col("modelo") == model) & (F.col("periodo") == window))
-    # One write fills a model and window, so any row names its variables.
-    row = chosen.select("variaveis").first()
-    missing = [v for v in variables if row is None or v not in row.variaveis]
+    named = [F.min(F.array_contains("variaveis", v).cast("int")) for v in variables]
+    found = chosen.agg(*named).first()
+    missing = [v for v, has in zip(variables, found) if not has]
     if missing:
         raise ValueError(f"variables are not in the archive of {model}, {window}: {missing}")
     return chosen.select("station", "h", *variables)

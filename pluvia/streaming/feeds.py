@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from pluvia.operators.spatial import points_in_polygons
-from pluvia.operators.storage import materialise, replace_keys
+from pluvia.operators import deltas
+from pluvia.operators.storage import materialise
 from pluvia.operators.warnings import expand_station_days
 
 
@@ -68,8 +69,41 @@ def reports_with_warnings(reports: DataFrame, warnings: DataFrame, places: DataF
     ).select("report_id", "station", "ts", "id", "id_severidade")
 
 
-def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, partition: Sequence[str] = ()) -> StreamingQuery:
-    """Process everything that is available, append to parquet, stop."""
+#: The state store that timers and keyed state of their own need.
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+}
+
+
+class LateRows(StreamingQueryListener):
+    """Counts the rows that a query drops because they came after the watermark, over all of its batches."""
+
+    def __init__(self) -> None:
+        self.by_run: dict[str, dict[int, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.by_run[str(event.runId)] = {}
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        dropped = sum(x.numRowsDroppedByWatermark for x in progress.stateOperators)
+        batches = self.by_run.setdefault(str(progress.runId), {})
+        # A batch without new data reports the figures of the batch before once more.
+        batches[progress.batchId] = dropped if progress.numInputRows else 0
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def total(self, query: StreamingQuery) -> int:
+        return sum(self.by_run.get(str(query.runId), {}).values())
+
+
+def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, partition: Sequence[str] = (), *,
+                   rocksdb: bool = False) -> StreamingQuery:
+    """Process everything that is available, append to parquet, stop. `rocksdb`: with that state store."""
     writer = (
         stream.writeStream.format("parquet")
         .option("path", path)
@@ -79,20 +113,27 @@ def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, partition: Seq
     )
     if partition:
         writer = writer.partitionBy(*partition)
-    query = writer.start()
+    conf = stream.sparkSession.conf
+    before = {k: conf.get(k, None) for k in ROCKSDB}
+    try:
+        for k, v in ROCKSDB.items() if rocksdb else ():
+            conf.set(k, v)
+        query = writer.start()  # takes the settings as they are now
+    finally:
+        for k, v in before.items() if rocksdb else ():
+            conf.set(k, v) if v is not None else conf.unset(k)
     query.awaitTermination()
     return query
 
 
 def run_upsert(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], *, latest: str | None = None,
-               expand=None, lots: int = 16) -> StreamingQuery:
+               expand=None) -> StreamingQuery:
     """Process everything available; the rows of a key replace those stored under it before.
 
     Of several arrivals of a key in one batch the one with the greatest ``latest`` counts.
-    ``expand(batch)`` turns the kept arrivals into the rows to store. All rows of a key lie in one
-    partition, by a hash of the key, so a batch that is run again after a failure changes nothing.
+    ``expand(batch)`` turns the kept arrivals into the rows to store. A batch writes its own keys and rows
+    only (`deltas.stored` reads the store); one that is run again after a failure replaces itself.
     """
-    lot = F.pmod(F.xxhash64(*keys), F.lit(lots))
 
     def store(batch: DataFrame, number: int) -> None:
         if latest is not None:
@@ -101,7 +142,7 @@ def run_upsert(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str
         batch = materialise(batch, "arrived")
         arrived = batch.select(*keys).distinct()
         rows = batch if expand is None else expand(batch)
-        replace_keys(rows, path, keys, {"lote": lot}, own=arrived)
+        deltas.put(rows, path, keys, own=arrived)
 
     query = (
         stream.writeStream.foreachBatch(store)
@@ -111,12 +152,3 @@ def run_upsert(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str
     )
     query.awaitTermination()
     return query
-
-
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped because they came after the watermark."""
-    return sum(
-        int(op.get("numRowsDroppedByWatermark", 0))
-        for progress in query.recentProgress
-        for op in progress["stateOperators"]
-    )

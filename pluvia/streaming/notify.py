@@ -13,13 +13,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pluvia.operators.tiling import HOURS_PER_TILE, TILE, tile_of, with_previous
 
 INTERRUPT, SILENT = 8, 7
 HOLD_SECONDS = 6 * 3600
 SENT_SCHEMA = "station long, ts_s long, id long, id_severidade int, canal string"
-STATE_SCHEMA = "ts_s long, nivel int"
 
 
 def decide(times, levels, last: tuple[int, int] | None):
@@ -49,14 +49,6 @@ def _channel(level) -> str:
     return "interrompe" if level >= INTERRUPT else "silencioso"
 
 
-def _sent_rows(pdf: pd.DataFrame, last):
-    pdf = pdf.sort_values(["ts_s", "id_severidade", "id"], ascending=[True, False, True])
-    keep, last = decide(pdf["ts_s"], pdf["id_severidade"], last)
-    out = pdf[keep].copy()
-    out["canal"] = [_channel(v) for v in out["id_severidade"]]
-    return out[["station", "ts_s", "id", "id_severidade", "canal"]], last
-
-
 def notifications(events: DataFrame) -> DataFrame:
     """Notifications sent, from a table of events.
 
@@ -93,8 +85,6 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def with_stretch(opened: DataFrame, width: int) -> DataFrame:
     """Start second of the stretch each event belongs to."""
-
-
     inner = Window.partitionBy("station", TILE).orderBy("ts_s")
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
     local = opened.withColumn(TILE, tile_of(F.col("ts_s"), width)).withColumn(
@@ -113,23 +103,63 @@ def with_stretch(opened: DataFrame, width: int) -> DataFrame:
     )
 
 
-def notification_stream(events: DataFrame) -> DataFrame:
-    """The same policy on a stream; the state per place is the last notification sent."""
+class Notifier(StatefulProcessor):
+    """Events of one place wait, keyed by their second, until the watermark has passed them; a timer judges each.
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        rows = pd.concat(list(batches), ignore_index=True)
-        sent, last = _sent_rows(rows, last)
-        if last is not None:
-            state.update(last)
-        yield sent
+    State: the waiting events and the last one sent, which is dropped when it cannot hold anything back any more.
+    """
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ts_s long", "id long, nivel int")
+        self.last = handle.getValueState("last", "ts_s long, nivel int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            first = pdf.sort_values(["id_severidade", "id"], ascending=[False, True]).drop_duplicates("ts_s")
+            for ts, ident, level in zip(first["ts_s"], first["id"], first["id_severidade"]):
+                moment, new = (int(ts),), (int(ident), int(level))
+                if not self.waiting.containsKey(moment):
+                    self.handle.registerTimer(moment[0] * 1000)
+                elif min(new, self.waiting.getValue(moment), key=lambda x: (-x[1], x[0])) != new:
+                    continue
+                self.waiting.updateValue(moment, new)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ts = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        last = self.last.get() if self.last.exists() else None
+        if not self.waiting.containsKey((ts,)):
+            if last is not None and ts - last[0] >= HOLD_SECONDS:
+                self.last.clear()
+            return
+        ident, level = self.waiting.getValue((ts,))
+        self.waiting.removeKey((ts,))
+        (sent,), new = decide([ts], [level], last)
+        if sent:
+            self.last.update(new)
+            self.handle.registerTimer((ts + HOLD_SECONDS) * 1000)
+            yield pd.DataFrame(
+                {"station": [key[0]], "ts_s": [ts], "id": [ident], "id_severidade": [level], "canal": [_channel(level)]}
+            )
+
+    def close(self) -> None:
+        pass
+
+
+def notification_stream(events: DataFrame, *, delay: str = "6 hours") -> DataFrame:
+    """The same policy on a stream, by event time.
+
+    An event is judged once the watermark, `delay` behind the newest event, has passed it, so events may arrive in
+    any order within the delay; later ones are dropped, which `feeds.LateRows` counts. It needs the RocksDB state
+    store: start it with `feeds.run_to_parquet(..., rocksdb=True)` or set `feeds.ROCKSDB`.
+    """
     kept = events.where(F.col("id_severidade") >= SILENT).select(
         F.col("station").cast("long"), F.col("ts_s").cast("long"), F.col("id").cast("long"),
-        F.col("id_severidade").cast("int"),
+        F.col("id_severidade").cast("int"), F.timestamp_seconds("ts_s").alias("momento"),
     )
-    return kept.groupBy("station").applyInPandasWithState(
-        step, SENT_SCHEMA, STATE_SCHEMA, "append", "NoTimeout"
+    return kept.withWatermark("momento", delay).groupBy("station").transformWithStateInPandas(
+        Notifier(), SENT_SCHEMA, "Append", "EventTime"
     )
 
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pluvia.operators import metrics, ml
+from pluvia.operators import deltas, metrics, ml
 from pluvia.streaming import feeds, notify
 
 
@@ -83,15 +83,61 @@ def test_notification_policy(spark, rng):
     assert {r.canal for r in notify.notifications(df.where("id = 8")).collect()} == {"interrompe"}
 
 
-def test_notification_stream_keeps_state_between_batches(spark, tmp_path):
-    source, out = tmp_path / "in", tmp_path / "out"
-    schema = "station long, ts_s long, id long, id_severidade int"
-    for part in (CASES[:4], CASES[4:]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
-        stream = notify.notification_stream(spark.readStream.schema(schema).parquet(str(source)))
-        feeds.run_to_parquet(stream, str(out), str(tmp_path / "checkpoint"))
-    got = sorted((r.station, r.ts_s, r.id) for r in spark.read.parquet(str(out)).collect())
-    assert got == oracle(CASES)
+@pytest.fixture
+def notified(spark, tmp_path):
+    """Runs a batch of events through the stream and its checkpoint; all notifications so far, and the query."""
+    source, out, schema = tmp_path / "in", tmp_path / "out", "station long, ts_s long, id long, id_severidade int"
+
+    def batch(events, delay):
+        spark.createDataFrame(events, schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = notify.notification_stream(spark.readStream.schema(schema).parquet(str(source)), delay=delay)
+        query = feeds.run_to_parquet(stream, str(out), str(tmp_path / "checkpoint"), rocksdb=True)
+        return sorted((r.station, r.ts_s, r.id) for r in spark.read.parquet(str(out)).collect()), query
+
+    return batch
+
+
+END = [(99, 9000 * H, 99, 8)]  # moves the watermark past all others
+
+
+def later(events):
+    """The watermark begins at the epoch, events have to come after it."""
+    return [(place, ts + 1000 * H, ident, level) for place, ts, ident, level in events]
+
+
+def test_notification_stream_keeps_state_between_batches(notified):
+    notified(later(CASES[:4]), "12 hours")
+    notified(later(CASES[4:]), "12 hours")
+    got, query = notified(END, "12 hours")
+    assert [x for x in got if x[0] != 99] == oracle(later(CASES))
+    # One place is left: the last events sent before were forgotten six hours later.
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+
+
+def test_a_late_event_is_judged_at_its_time(spark, notified, rng):
+    """Batches in which older events follow newer ones of the batch before, within the delay."""
+    events = [(1 + int(i % 3), int(t), 100 + i, int(rng.integers(6, 9))) for i, t in enumerate(rng.integers(0, 6 * 86400, 240))]
+    events = later(sorted(events, key=lambda e: (e[1] // (24 * H), e[2])))
+    batches = [events[i : i + 60] for i in range(0, 240, 60)]
+    batches[0], batches[1] = batches[0] + batches[1][::2], batches[1][1::2]
+    for some in batches:
+        notified(some, "3 days")
+    got, _ = notified(END, "3 days")
+    assert [x for x in got if x[0] != 99] == oracle(events)
+
+
+def test_too_late_events_are_counted(spark, notified):
+    counter = feeds.LateRows()
+    spark.streams.addListener(counter)
+    try:
+        notified([(1, 100 * H, 1, 8)], "1 hour")
+        got, query = notified([(1, 50 * H, 2, 8), (2, 60 * H, 3, 8), (1, 101 * H, 4, 8)], "1 hour")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+        assert counter.total(query) == 2
+        got, _ = notified(END, "1 hour")
+        assert [x for x in got if x[0] != 99] == [(1, 100 * H, 1)]
+    finally:
+        spark.streams.removeListener(counter)
 
 
 def test_repeated_snapshot_rows_are_dropped_across_batches(spark, tmp_path):
@@ -118,7 +164,7 @@ def test_changed_warnings_replace_their_rows(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(str(source))
         expand = lambda batch: batch.where("n > 0").select("id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("dia"))
         feeds.run_upsert(stream, out, str(tmp_path / "state"), ["id"], latest="colhido_em", expand=expand)
-        return sorted((r.id, r.dia) for r in spark.read.parquet(out).collect())
+        return sorted((r.id, r.dia) for r in deltas.stored(spark, out).collect())
 
     first = [(1, 2, "2024-01-01"), (1, 3, "2024-01-02"), (2, 1, "2024-01-01"), (3, 1, "2024-01-01")]
     assert arrive(first) == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1)]
