@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -264,7 +265,7 @@ def judge(
     """All columns of `rows` and the verdict on each, and under which names the verdict's columns are."""
     context = rows.sparkSession.sparkContext
     blocks = [context.broadcast(b) for b in blocks_of(benchmark, item_col, item_text_col, window, block_words)]
-    per = round(1 / least_share)
+    share = Fraction(least_share).limit_denominator(1_000_000)
     own = rows.columns
     names = {n: T.unused(rows, n) for n in ("spans", "item_ids", *VERDICT)}
 
@@ -290,7 +291,7 @@ def judge(
                         pa.array(n_hit, pa.int64()),
                         pa.array([len(x) for x in found], pa.int64()),
                         pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in found], pa.string()),
-                        pa.array([h > 0 and per * h >= n for h, n in zip(n_hit, n_words)], pa.bool_()),
+                        pa.array([h > 0 and share.denominator * h >= share.numerator * n for h, n in zip(n_hit, n_words)], pa.bool_()),
                     ]
                 yield pa.RecordBatch.from_arrays(columns, [*own, *list(names.values())[: len(columns) - len(own)]])
 

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.llm import texts as T
@@ -162,6 +162,11 @@ def learn(
         return model
     share = F.create_map(*[F.lit(x) for k, n in per_language.items() for x in (k, int(1e6 * min(1.0, most_rows / n)))])
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")))
+    expected = sum(min(n, most_rows) for n in per_language.values())
+    if not expected // 2 <= chosen.select("doc_id", "lang").count() <= 2 * expected:
+        # One id, or null, has a large part of the rows: draw by id and text, exactly so many.
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text")))
+        chosen = rows.withColumn("nth", nth).where(F.col("nth") <= most_rows).drop("nth")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +182,8 @@ def learn(
 
     sample = chosen.mapInArrow(vectors, "doc_id long, lang string, at binary, n binary").where("at is not null")
     taken = sample.toPandas()
-    taken = taken.assign(mixed=taken.doc_id.map(lambda i: hash((i, 11)) & 0xFFFFFFFF)).sort_values(["mixed", "doc_id"])
+    mixed = [hash((-1 if i != i else i, 11)) & 0xFFFFFFFF for i in taken.doc_id]  # null ids are NaN here
+    taken = taken.assign(mixed=mixed).sort_values(["mixed", "doc_id", "lang", "at", "n"])
     number = {k: i for i, k in enumerate(model.languages)}
     fitted = [
         model.vector(np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(n, np.uint32))

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.llm import texts as T
@@ -254,7 +254,8 @@ def learn(
     chosen = known.where(drawn < share)
     # The ids are about `most_rows` for each label, whatever the size of the tables; texts don't move for them.
     rows = T.pick(docs, id_col, text_col).where((drawn < max(shares.values(), default=0)) & (F.length("text") <= longest))
-    sample = rows.join(F.broadcast(chosen), "doc_id").toPandas()
+    several = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    sample = rows.join(F.broadcast(chosen), "doc_id").withColumn("nth", several).where("nth <= 2").drop("nth").toPandas()
     sample = sample.sort_values(["doc_id", "text"])
     texts = [t.encode() for t in sample.text]
     single = _without_copies(texts)

@@ -85,3 +85,11 @@ def test_odd_rows(spark, odd):
     assert none == 0
     kept = D.without_contaminated(odd, bench)
     assert kept.schema == odd.schema and kept.where("doc_id = 3").count() == 0
+
+
+@pytest.mark.parametrize("share, bad", [(0.4, [1]), (0.5, []), (1 / 20, [1, 2]), (1.0, [])])
+def test_any_share(spark, share, bad):
+    docs = spark.createDataFrame([(1, "a b c d x x x x x x"), (2, "a b c d " + "x " * 30)], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "a b c d")], "item_id string, text string")
+    found = D.contamination(docs, items, least_share=share)
+    assert sorted(r.doc_id for r in found.where("contaminated").collect()) == bad

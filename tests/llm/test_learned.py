@@ -112,3 +112,24 @@ def test_label_model(rng):
     assert abs(model.prior[1] - truth.mean()) < 0.05
     said = np.array([model.posterior["".join("-+"[int(v[i])] for v in votes)] > 0.5 for i in range(5000)])
     assert (said == truth).mean() > 0.93
+
+
+def test_samples_are_bounded(spark):
+    """Rows without ids, or under one id, do not all get into a sample."""
+    from pluvia.llm import texts as T
+
+    for ident in ("cast(null as long)", "7L"):
+        rows = spark.range(10_000).selectExpr(f"{ident} as doc_id", "concat('text number ', id, ' of many words') as text")
+        assert T.sample_rows(rows, 100).count() == 100
+    mixed = spark.range(10_000).selectExpr("case when id % 3 > 0 then id end as doc_id", "string(id) as text")
+    assert T.sample_rows(mixed, 100).count() <= 200
+
+
+def test_language_without_ids(spark):
+    """The same model each time, from a bounded sample, when no row has an id."""
+    words = "case when id % 2 = 0 then 'the house of the old king' else 'das haus und der alte mann' end"
+    rows = spark.range(4000).selectExpr("cast(null as long) as doc_id", f"concat({words}, ' ', id) as text", "if(id % 2 = 0, 'en', 'de') as lang")
+    one, two = (L.learn(rows, most_rows=50) for _ in range(2))
+    texts = [b"the old house", b"der alte koenig", b"x"]
+    assert L._predictions(one, texts) == L._predictions(two, texts)
+    assert [x[0] for x in L._predictions(one, texts)[:2]] == ["en", "de"]
