@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from pluvia import config
@@ -132,3 +132,21 @@ def impute_monthly(df: DataFrame, columns: Sequence[str], *, key="station", mont
     return joined.withColumns(
         {c: F.coalesce(F.col(c), F.col(f"_m_{c}"), fallback[c], F.lit(0.0)) for c in columns}
     ).drop(*[f"_m_{c}" for c in columns])
+
+
+def counted_losses(df: DataFrame, drops: dict[str, Column], nulls: dict[str, Column], name: str = "perdas"):
+    """The rows for which no condition of ``drops`` holds, with new values of the columns in ``nulls``, and what is lost.
+
+    The second result is an observation, filled while the first is computed: ``linhas`` of the input, ``mantidas``,
+    dropped rows by the first reason that holds, and ``<column>_anulados``, values of kept rows that became null.
+    In a stream the same figures are in ``observedMetrics`` of each batch.
+    """
+    reason = F.coalesce(*[F.when(c, F.lit(r)) for r, c in drops.items()], F.lit(None).cast("string"))
+    olds = {f"_old_{c}": F.col(c) for c in nulls}
+    seen = df.withColumn("_reason", reason).withColumns(olds).withColumns(nulls)
+    kept = F.col("_reason").isNull()
+    counts = [F.count("*").alias("linhas"), F.count_if(kept).alias("mantidas")]
+    counts += [F.count_if(F.col("_reason") == r).alias(r) for r in drops]
+    counts += [F.count_if(kept & F.col(f"_old_{c}").isNotNull() & F.col(c).isNull()).alias(f"{c}_anulados") for c in nulls]
+    losses = name if df.isStreaming else Observation(name)
+    return seen.observe(losses, *counts).where(kept).drop("_reason", *olds), losses

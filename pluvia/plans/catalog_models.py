@@ -353,6 +353,19 @@ def rain_window_stream(spark, d):
     return out.select("station", F.unix_seconds("inicio").alias("inicio_s"), "total", "n")
 
 
+@query("G2_episode_stream", (), """
+with e as (select user_id % 50 as station, ts from events where value > 40),
+r as (select *, coalesce(ts - lag(ts) over (partition by station order by ts) > interval 90 minutes, true) as novo from e),
+s as (select *, sum(cast(novo as integer)) over (partition by station order by ts rows unbounded preceding) as k from r)
+select station, count(*) as linhas, cast(floor(epoch(min(ts))) as bigint) as inicio_s, cast(floor(epoch(max(ts))) as bigint) as fim_s from s group by station, k
+having max(ts) + interval 90 minutes <= (select date_trunc('millisecond', max(ts)) from events) - interval 2 hours""")
+def episode_stream(spark, d):
+    rows = stream(spark, d, "events").select(
+        (F.col("user_id") % 50).alias("station"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 40).cast("int").alias("y"))
+    out = run(spark, feeds.episode_stream(rows, "y"), "g2")
+    return out.select("station", "linhas", F.unix_seconds("inicio").alias("inicio_s"), F.unix_seconds("fim").alias("fim_s"))
+
+
 @query("S5_report_warning_stream", ["warnings"], f"""
 with r as (select event_id as report_id, user_id * 2 // 3 as station, cast(floor(epoch(ts)) as bigint) - {V.REPORT_SHIFT_HOURS * 3600} as ts_s from events)
 select r.report_id, w.id, w.id_severidade from r join stations s using (station) join warnings w

@@ -10,6 +10,7 @@ from pluvia.functions import clock, geo, text
 from pluvia.functions.rates import round6
 from pluvia.operators import cleaning, metrics, tiling, windows
 from pluvia.operators.joins import attach
+from pluvia.operators.storage import materialise
 from pluvia.plans import views as V
 from pluvia.plans.registry import query
 
@@ -236,6 +237,19 @@ def invalid_time(spark, d):
         F.count("*").alias("linhas"), F.count_if(F.col("data_hora").isNull()).alias("rejeitadas"))
 
 
+@query("P6_counted_losses", (), """
+select count(*) as linhas, count(*) filter (event_id % 50 <> 0) as mantidas, count(*) filter (event_id % 50 = 0) as hora_invalida,
+  count(*) filter (event_id % 50 <> 0 and not value between 1 and 40) as value_anulados,
+  count(*) filter (event_id % 50 <> 0 and value between 1 and 40) as com_valor from events""")
+def counted_losses(spark, d):
+    """The figures of the losses beside the result, from the pass that writes it."""
+    rows = parsed_times(spark, d).join(V.table(spark, d, "events").select("event_id", "value"), "event_id")
+    plausible = F.when(F.col("value").between(1, 40), F.col("value"))
+    kept, losses = cleaning.counted_losses(rows, {"hora_invalida": F.col("data_hora").isNull()}, {"value": plausible})
+    good = materialise(kept, "kept").agg(F.count("value").alias("com_valor"))
+    return good.select(*[F.lit(n).cast("long").alias(c) for c, n in losses.get.items()], "com_valor")
+
+
 @query("P7_required_columns", ["weather"], """
 select count(*) as linhas, count(precipitacao) as com_chuva from weather""")
 def required(spark, d):

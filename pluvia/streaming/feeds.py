@@ -44,6 +44,22 @@ def rain_windows(observations: DataFrame, *, time="ts", value="value", key="stat
     )
 
 
+def episode_stream(rows: DataFrame, label: str = "evento_extremo", *, time="ts", key="station",
+                   gap: str = "90 minutes", delay: str = "2 hours") -> DataFrame:
+    """Episodes of positive rows per station as they end: rows less than ``gap`` apart are one episode.
+
+    A late row, within the delay, lengthens its episode or joins two. An episode is final, and comes out, once the
+    watermark is ``gap`` past its last row. Negative rows move the watermark only.
+    """
+    # A condition on the label alone would be pushed below the watermark, which would then stand still in dry spells.
+    positive = rows.withWatermark(time, delay).where(F.when(F.col(time).isNotNull(), F.col(label)) == 1)
+    return (
+        positive.groupBy(key, F.session_window(time, gap).alias("sessao"))
+        .agg(F.count("*").alias("linhas"), F.min(time).alias("inicio"), F.max(time).alias("fim"))
+        .select(key, "linhas", "inicio", "fim")
+    )
+
+
 def reports_with_warnings(reports: DataFrame, warnings: DataFrame, places: DataFrame, *,
                           delay: str = "6 hours") -> DataFrame:
     """Flood reports joined to the warnings in force at their place and time, as both arrive.

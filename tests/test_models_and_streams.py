@@ -169,3 +169,39 @@ def test_changed_warnings_replace_their_rows(spark, tmp_path):
     first = [(1, 2, "2024-01-01"), (1, 3, "2024-01-02"), (2, 1, "2024-01-01"), (3, 1, "2024-01-01")]
     assert arrive(first) == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1)]
     assert arrive([(1, 1, "2024-01-03"), (2, -5, "2024-01-03"), (4, 2, "2024-01-03")]) == [(1, 1), (3, 1), (4, 1), (4, 2)]
+
+
+def test_a_late_row_joins_two_episodes(spark, tmp_path):
+    """Batches of (minute, label): 0 and 60 are one episode, 200 another until 130 arrives."""
+    source, out, schema = tmp_path / "in", tmp_path / "out", "station long, ts timestamp, y int"
+
+    def batch(*rows):
+        frame = spark.createDataFrame([(1, (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m)).to_pydatetime(), y) for m, y in rows], schema)
+        frame.coalesce(1).write.mode("append").parquet(str(source))
+        stream = feeds.episode_stream(spark.readStream.schema(schema).parquet(str(source)), "y", delay="3 hours")
+        feeds.run_to_parquet(stream, str(out), str(tmp_path / "c"))
+        start = pd.Timestamp("2024-01-01")
+        return sorted(((r.inicio - start).seconds // 60, (r.fim - start).seconds // 60, r.linhas) for r in spark.read.parquet(str(out)).collect())
+
+    assert batch((0, 1), (60, 1), (200, 1), (90, 0)) == []
+    assert batch((130, 1), (500, 1)) == [(0, 200, 4)]
+    assert batch((1000, 0)) == [(0, 200, 4), (500, 500, 1)]
+
+
+def test_losses_are_counted_beside_the_result(spark, tmp_path):
+    from pluvia.operators import cleaning
+
+    rows = spark.range(1000).selectExpr("id", "if(id % 10 = 0, null, id) as ts", "if(id % 7 = 0, null, id % 20) as x")
+    drops = {"sem_hora": F.col("ts").isNull(), "par": F.col("id") % 4 == 0}
+    nulls = {"x": F.when(F.col("x") < 15, F.col("x"))}
+    kept, losses = cleaning.counted_losses(rows, drops, nulls)
+    assert kept.columns == rows.columns
+    got = [tuple(r) for r in kept.collect()]
+    want = [i for i in range(1000) if i % 10 and i % 4]
+    assert sorted(i for i, *_ in got) == want and all(x is None or x < 15 for *_, x in got)
+    nulled = sum(i % 7 != 0 and i % 20 >= 15 for i in want)
+    assert losses.get == {"linhas": 1000, "mantidas": len(want), "sem_hora": 100, "par": 200, "x_anulados": nulled}
+    rows.write.parquet(str(tmp_path / "in"))
+    stream, name = cleaning.counted_losses(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), drops, nulls)
+    query = feeds.run_to_parquet(stream, str(tmp_path / "out"), str(tmp_path / "c"))
+    assert query.recentProgress[0].observedMetrics[name].asDict() == losses.get
