@@ -15,15 +15,31 @@ def _cells(lo: Column, hi: Column, side: Column) -> Column:
     return F.sequence(F.floor(lo / side), F.floor(hi / side))
 
 
+def _on_globe(part: Column) -> Column:
+    """Whether the outline of a part is at most as wide and as high as the globe."""
+    outline = F.get(part, 0)
+
+    def extent(axis: int) -> Column:
+        values = F.transform(outline, lambda p: F.get(p, axis))
+        return F.array_max(values) - F.array_min(values)
+
+    return F.coalesce((extent(0) <= 360) & (extent(1) <= 180), F.lit(True))
+
+
 def polygon_parts(polygons: DataFrame, geometry: str) -> DataFrame:
     """One row per part of each geometry, with its bounding box and grid level.
 
-    Rows whose geometry is missing or unreadable vanish: they cover nothing.
+    Rows whose geometry is missing or unreadable, or has a part larger than the globe (a corrupt coordinate, which
+    would be cut into any number of cells), vanish: they cover nothing.
     """
     outline = F.get("_rings", 0)
+
+    def whole(parts: Column) -> Column:
+        return F.forall(parts, _on_globe)
+
     # The outer form of explode keeps Spark from inferring a filter that would parse twice.
     return (
-        polygons.withColumn("_parts", parse_geometry(F.col(geometry)))
+        polygons.withColumn("_parts", F.get(F.filter(F.array(parse_geometry(F.col(geometry))), whole), 0))
         .select("*", F.posexplode_outer("_parts").alias("_part", "_rings"))
         .where(F.size(outline) > 0)
         .withColumns(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from pluvia import config
@@ -554,6 +556,48 @@ def forecast_points(spark, d):
     return r6(out, "precisao", "recall").select("corte", "alertas", "acertos", "precisao", "recall")
 
 
+STUDY_CUTS = ", ".join(f"({float(c)!r}::double)" for c in config.WARNING_CUTS)
+
+
+@query("warning_gap_study", ["observed", "pairs"], f"""
+with {PANEL_SQL}, {EXPECTED_SQL}, {_table_sql("id_severidade")},
+gap as (select grupo, max(case when unidade = 'area' then taxa end) as area, max(case when unidade = 'ponto' then taxa end) as ponto from t group by 1),
+y as (select case when evento then 1 else 0 end as y, coalesce(id_severidade, -1) as sev, chuva_24h_obs * 7 % 100 as previsto from panel),
+cuts as (select c.corte, 'curva' as tabela, count(*) filter (previsto >= corte) as alertas, count(*) filter (previsto >= corte and y = 1) as acertos
+  from y cross join (values {STUDY_CUTS}) c(corte) group by 1
+  union all select cast(nivel as double), 'pontos', count(*) filter (sev >= nivel), count(*) filter (sev >= nivel and y = 1)
+  from y cross join (values (6), (7), (8)) l(nivel) group by 1),
+m as (
+  select 'cobertura' as tabela, '' as grupo, unnest(['estacao_dias', 'eventos']) as metrica, unnest([count(*), count(*) filter (evento)])::double as valor from panel
+  union all select 'confirmacao', concat_ws(' / ', cast(grupo as varchar), unidade), unnest(['n', 'taxa', 'ic_inf', 'ic_sup', 'climatologia']),
+    unnest([n::double, taxa, ic_inf, ic_sup, climatologia]) from t
+  union all select 'lacuna', cast(grupo as varchar), unnest(['area', 'ponto', 'diferenca']), unnest([area, ponto, round(area - ponto, 3)]) from gap
+  union all select tabela, cast(corte as varchar), unnest(['alertas', 'acertos']), unnest([alertas::double, acertos::double]) from cuts)
+select tabela, grupo, metrica, round(valor, 6) as valor from m""")
+def warning_gap_study(spark, d):
+    """All tables of the warning study as one job, in the form that the metric store takes."""
+    from pluvia.plans import studies
+    from pluvia.sources.stores import tidy_metrics
+
+    observed = V.daily_observed(spark, d)
+    forecast = observed.select("station", "dia", (F.col("chuva_24h_obs") * 7 % 100).alias("ifs_chuva_24h"))
+    tables = studies.warning_gap_study(
+        observed, V.panel_pairs(spark, d), forecast, event_above=V.STUDY_EVENT_MM, group="id_severidade")
+    wanted = {
+        "cobertura": ([], ["estacao_dias", "eventos"]),
+        "confirmacao": (["grupo", "unidade"], ["n", "taxa", "ic_inf", "ic_sup", "climatologia"]),
+        "lacuna": (["grupo"], ["area", "ponto", "diferenca"]),
+        "curva": (["corte"], ["alertas", "acertos"]),
+        "pontos": (["corte"], ["alertas", "acertos"]),
+    }
+    tidy = [
+        tidy_metrics(tables[name].select(*group, *columns), "r1", name, group)
+        for name, (group, columns) in wanted.items()
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b), tidy)
+    return rows.select(F.col("study").alias("tabela"), "grupo", "metrica", round6(F.col("valor")).alias("valor"))
+
+
 SCENARIOS = [("alto, 12", 130000, (12,)), ("alto, 00+12", 130000, (0, 12)), ("medio, 12", 110000, (12,)), ("medio, 00+12", 110000, (0, 12)),
              ("medio, 12, leste", 110000, (12,), "station >= 2")]
 

@@ -105,3 +105,16 @@ def test_validity_touches_two_anchored_days(spark):
       select timestamp'2025-03-10 12:00:00', timestamp'2025-03-10 13:00:00' union all select timestamp'2025-03-10 12:00:00', timestamp'2025-03-01 00:00:00'""")
     days = [sorted(str(x) for x in r.d) for r in df.select(warnings.touched_days(F.col("a"), F.col("b")).alias("d")).collect()]
     assert days == [["2025-03-09", "2025-03-10"], ["2025-03-10"], ["2025-03-10"]]
+
+
+def test_corrupt_coordinates_are_refused(spark):
+    """A polygon with a part larger than the globe covers nothing, also where its other parts would."""
+    good = [[[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]]
+    bad = [[[0, 0], [1e9, 0], [1e9, 2], [0, 0]]]
+    shapes = [
+        (1, {"type": "Polygon", "coordinates": good}), (2, {"type": "Polygon", "coordinates": bad}),
+        (3, {"type": "MultiPolygon", "coordinates": [good, bad]}), (4, {"type": "MultiPolygon", "coordinates": [good, []]}),
+    ]
+    polygons = spark.createDataFrame([(i, json.dumps(x)) for i, x in shapes], "id int, poligono string")
+    points = spark.createDataFrame([("p", 1.0, 1.0)], "station string, lat double, lon double")
+    assert sorted(r.id for r in spatial.points_in_polygons(polygons, points).collect()) == [1, 4]
