@@ -229,9 +229,12 @@ class Scorer:
         start, end = T.runs(CLASSES[data] != 5)
         long = end - start >= self.least
         start, end = start[long], end[long]
-        for _ in range(4):
-            end = end - np.isin(data[end - 1], list(b".-="))
-            start = start + np.isin(data[start], list(b".-="))
+        edge = np.isin(data, list(b".-="))
+        while len(start):
+            last, first = edge[end - 1] & (end > start), edge[np.minimum(start, len(data) - 1)] & (end > start)
+            if not (last.any() or first.any()):
+                break
+            end, start = end - last, start + (first & (end - last > start))
         long = end - start >= self.least
         return start[long], end[long]
 

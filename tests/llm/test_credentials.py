@@ -87,3 +87,16 @@ def test_scan_finds_bare_keys_of_its_own_sample(spark, rng):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {(r.doc_id, r.text[s.start : s.end]) for r in C.scan(docs).join(docs, "doc_id").collect() for s in r.found if not s.base}
     assert found == set(bare.items())
+
+
+def test_ends_of_tokens():
+    """All marks at both ends of a token are left out, however many."""
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    from pluvia.llm.credentials import Scorer
+
+    whole = b"======abcdefghij0123456789======...... -------------------- ==abcdefghij012345= x\n"
+    start, end = Scorer.candidates(SimpleNamespace(least=16), np.frombuffer(whole, np.uint8))
+    assert [whole[a:b] for a, b in zip(start, end)] == [b"abcdefghij0123456789", b"abcdefghij012345"]
