@@ -1,113 +1,233 @@
-"""Point-in-polygon join on a grid of cells that follows the polygon size."""
+"""Point-in-polygon join on grid cells that hold only the polygon edges crossing them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.functions.geo import parse_geometry, polygon_contains
+from pluvia.functions.geo import parse_geometry
 from pluvia.operators.storage import materialise
 
-COARSEST, FINEST = 5, -8
+COARSEST, FINEST = 5, -10
+FEW_EDGES = 32  # up to here a cell carries all edges of its polygon; beyond, its own
+SLACK = 1e-9  # degrees by which an edge is thought wider, far above rounding and far below a cell
+_RING = "struct<part:int,ring:int>"
+_EDGE = "struct<part:int,ring:int,px:double,py:double,qx:double,qy:double,p_east:boolean,q_east:boolean>"
 
 
-def _cells(lo: Column, hi: Column, side: Column) -> Column:
-    return F.sequence(F.floor(lo / side), F.floor(hi / side))
+def _readable(part: Column) -> Column:
+    """Whether all coordinates of a part are there and it is at most as wide and as high as the globe."""
 
+    def axis(i: int) -> Column:
+        return F.flatten(F.transform(part, lambda ring: F.transform(ring, lambda p: F.get(p, i))))
 
-def _on_globe(part: Column) -> Column:
-    """Whether the outline of a part is at most as wide and as high as the globe."""
-    outline = F.get(part, 0)
+    def fits(values: Column, most: int) -> Column:
+        whole = values.isNotNull() & F.forall(values, lambda v: v.isNotNull())
+        return whole & F.coalesce(F.array_max(values) - F.array_min(values) <= most, F.lit(True))
 
-    def extent(axis: int) -> Column:
-        values = F.transform(outline, lambda p: F.get(p, axis))
-        return F.array_max(values) - F.array_min(values)
+    return F.coalesce(fits(axis(0), 360) & fits(axis(1), 180), F.lit(False))
 
-    return F.coalesce((extent(0) <= 360) & (extent(1) <= 180), F.lit(True))
 
+def _edges(parts: Column) -> Column:
+    """Edges of all rings; each ends in the point before its own, the first in the last."""
 
-def polygon_parts(polygons: DataFrame, geometry: str) -> DataFrame:
-    """One row per part of each geometry, with its bounding box and grid level.
+    def of_ring(ring: Column, part: Column, number: Column) -> Column:
+        n = F.size(ring)
+        before = F.concat(F.slice(ring, F.greatest(n, F.lit(1)), F.lit(1)), F.slice(ring, F.lit(1), F.greatest(n - 1, F.lit(0))))
+        return F.zip_with(ring, before, lambda p, q: F.struct(
+            part.alias("part"), number.alias("ring"), F.get(p, 0).alias("px"), F.get(p, 1).alias("py"),
+            F.get(q, 0).alias("qx"), F.get(q, 1).alias("qy"), F.lit(False).alias("p_east"), F.lit(False).alias("q_east")))
 
-    Rows whose geometry is missing or unreadable, or has a part larger than the globe (a corrupt coordinate, which
-    would be cut into any number of cells), vanish: they cover nothing.
+    return F.flatten(F.transform(parts, lambda rings, part: F.flatten(
+        F.transform(rings, lambda ring, number: of_ring(ring, part, number)))))
+
+
+def _boxes(parts: Column) -> Column:
+    """Bounding boxes of the outlines that have points."""
+
+    def of_outline(outline: Column) -> Column:
+        x, y = F.transform(outline, lambda p: F.get(p, 0)), F.transform(outline, lambda p: F.get(p, 1))
+        return F.struct(F.array_min(x).alias("x0"), F.array_max(x).alias("x1"), F.array_min(y).alias("y0"), F.array_max(y).alias("y1"))
+
+    outlines = F.filter(F.transform(parts, lambda rings: F.get(rings, 0)), lambda o: F.size(o) > 0)
+    return F.transform(outlines, of_outline)
+
+
+def polygon_edges(polygons: DataFrame, geometry: str) -> DataFrame:
+    """One row per polygon with its edges, the boxes of its parts and its grid level.
+
+    Rows whose geometry is missing or unreadable, or has a part with a missing coordinate or larger than the globe (a
+    corrupt coordinate, which would be cut into any number of cells), vanish: they cover nothing. Cells are about
+    half as wide as the largest part, and the narrower, the more edges there are: about as many cells as edges.
     """
-    outline = F.get("_rings", 0)
+    spread = F.array_max(F.transform("_boxes", lambda b: F.greatest(b.x1 - b.x0, b.y1 - b.y0, F.lit(1e-9))))
+    finer = F.when(F.size("_edges") > FEW_EDGES, F.floor(F.log2(F.size("_edges")) / 2)).otherwise(1)
+    level = F.least(F.greatest(F.ceil(F.log2(spread)) - finer, F.lit(FINEST)), F.lit(COARSEST)).cast("int")
 
     def whole(parts: Column) -> Column:
-        return F.forall(parts, _on_globe)
+        return F.forall(parts, _readable)
 
     # The outer form of explode keeps Spark from inferring a filter that would parse twice.
+    parsed = polygons.select(
+        *[c for c in polygons.columns if c != geometry],
+        F.explode_outer(F.filter(F.array(parse_geometry(F.col(geometry))), whole)).alias("_parts"),
+    )
     return (
-        polygons.withColumn("_parts", F.get(F.filter(F.array(parse_geometry(F.col(geometry))), whole), 0))
-        .select("*", F.posexplode_outer("_parts").alias("_part", "_rings"))
-        .where(F.size(outline) > 0)
-        .withColumns(
-            {
-                "_x0": F.array_min(F.transform(outline, lambda p: F.get(p, 0))),
-                "_x1": F.array_max(F.transform(outline, lambda p: F.get(p, 0))),
-                "_y0": F.array_min(F.transform(outline, lambda p: F.get(p, 1))),
-                "_y1": F.array_max(F.transform(outline, lambda p: F.get(p, 1))),
-            }
-        )
-        .withColumn(
-            "_level",
-            F.least(
-                F.greatest(
-                    F.ceil(
-                        F.log2(
-                            F.greatest(
-                                F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"), F.lit(1e-9)
-                            )
-                        )
-                    )
-                    - 1,
-                    F.lit(FINEST),
-                ),
-                F.lit(COARSEST),
-            ).cast("int"),
-        )
+        parsed.withColumns({"_edges": _edges(F.col("_parts")), "_boxes": _boxes(F.col("_parts"))})
+        .drop("_parts")
+        .where(F.size("_boxes") > 0)
+        .withColumns({"_level": level, "_simple": ~F.exists("_edges", lambda e: (e.part > 0) | (e.ring > 0))})
     )
 
 
+def _side() -> Column:
+    return F.pow(F.lit(2.0), F.col("_level"))
+
+
+def whole_cells(shapes: DataFrame) -> DataFrame:
+    """Cells under the boxes of the parts, each with all edges of its polygon."""
+    side = _side()
+
+    def cells(b: Column) -> Column:
+        def span(lo, hi):
+            return F.sequence(F.floor(lo / side), F.floor(hi / side))
+
+        return F.flatten(F.transform(span(b.x0, b.x1), lambda cx: F.transform(
+            span(b.y0, b.y1), lambda cy: F.struct(cx.alias("_cx"), cy.alias("_cy")))))
+
+    def outer(end, name):
+        return end(F.transform("_boxes", lambda b: b[name]))
+
+    box = F.struct(outer(F.array_min, "x0").alias("x0"), outer(F.array_max, "x1").alias("x1"),
+                   outer(F.array_min, "y0").alias("y0"), outer(F.array_max, "y1").alias("y1"))
+    exploded = shapes.withColumns(
+        {"_box": box, "_cell": F.explode(F.array_distinct(F.flatten(F.transform("_boxes", cells))))})
+    return exploded.select("*", "_cell.*", F.array().cast(f"array<{_RING}>").alias("_base")).drop("_cell", "_boxes")
+
+
+def clipped_cells(shapes: DataFrame) -> DataFrame:
+    """Cells of polygons with many edges, each with the edges that cross it and the rings around its corner.
+
+    A ring holds a point if a ray to the east crosses it an odd number of times. Inside a row of cells the edges
+    wholly east of a cell are crossed by every ray or by none but for the ends of their chains, so the cell needs
+    only the parity of their crossings at its lower corner (``_base`` lists the rings where it is odd), and its own
+    edges set right what the ends that lie east of it change (``p_east``, ``q_east``). The comparisons are those of
+    the whole ring, so the result is the same to the last bit. One exchange, by polygon; an edge is copied once for
+    each cell that it crosses.
+    """
+    side = _side()
+    low, high = F.least("py", "qy"), F.greatest("py", "qy")
+    y0, y1 = F.col("_cy") * side, (F.col("_cy") + 1) * side
+    x_min, x_max = F.least("px", "qx"), F.greatest("px", "qx")
+
+    def crossing(y: Column) -> Column:
+        """Where the edge meets a height, within its own width; NULL if it is level."""
+        x = (F.col("qx") - F.col("px")) * (y - F.col("py")) / F.nullif(F.col("qy") - F.col("py"), F.lit(0.0)) + F.col("px")
+        return F.least(F.greatest(x, x_min), x_max)
+
+    def end(x: str, y: str) -> Column:
+        return F.when(F.col(y).between(y0, y1), F.col(x))
+
+    reached = [crossing(F.greatest(low, y0)), crossing(F.least(high, y1)), end("px", "py"), end("qx", "qy")]
+
+    def last_west(x: Column) -> Column:
+        """The last column that lies wholly west of x."""
+        return F.ceil((x - SLACK) / side) - 2
+
+    rows = (
+        shapes.select("_pid", "_level", "_edges").repartition("_pid").select("_pid", "_level", F.inline("_edges"))
+        .withColumn("_cy", F.explode(F.sequence(F.floor(low / side), F.floor(high / side))))
+        .withColumns({"_west": last_west(F.least(*reached)), "_last": F.floor((F.greatest(*reached) + SLACK) / side)})
+    )
+    place = ["_pid", "_level", "_cx", "_cy"]
+    crossed = rows.withColumn("_cx", F.explode(F.sequence(F.col("_west") + 1, F.col("_last")))).select(
+        *place,
+        F.struct("part", "ring", "px", "py", "qx", "qy", (last_west(F.col("px")) >= F.col("_cx")).alias("p_east"),
+                 (last_west(F.col("qx")) >= F.col("_cx")).alias("q_east")).alias("_edge"),
+        F.lit(None).cast(_RING).alias("_ring"),
+    )
+    ring = ["_pid", "_level", "part", "ring", "_cy"]
+    turns = (
+        rows.where((F.col("py") > y0) != (F.col("qy") > y0))
+        .groupBy(*ring, "_west").agg(F.count("*").alias("_n")).where("_n % 2 = 1")
+        .groupBy(*ring).agg(F.sort_array(F.collect_list("_west")).alias("_turns"))  # at most the columns of the grid
+    )
+    pairs = F.sequence(F.lit(0), F.floor(F.size("_turns") / 2) - 1).cast("array<int>")
+    runs = F.transform(pairs, lambda i: F.sequence(F.get("_turns", 2 * i) + 1, F.get("_turns", 2 * i + 1)))
+    around = turns.withColumn("_cx", F.explode(F.flatten(runs))).select(
+        *place, F.lit(None).cast(_EDGE).alias("_edge"), F.struct("part", "ring").alias("_ring"))
+    return (
+        crossed.unionByName(around).groupBy(*place)
+        .agg(F.collect_list("_edge").alias("_edges"), F.collect_list("_ring").alias("_base"))
+        .join(shapes.drop("_edges", "_boxes", "_level"), "_pid")
+    )
+
+
+def _holds(x: Column, y: Column, y0: Column) -> Column:
+    """Whether the point lies in a part of the polygon: in its outline and in none of its holes.
+
+    Even-odd ray rule: west and south edges belong to a ring, east and north do not.
+    """
+
+    def flips(e: Column) -> Column:
+        reach = (e.qx - e.px) * (y - e.py) / F.nullif(e.qy - e.py, F.lit(0.0)) + e.px
+        crossed = F.coalesce(((e.py > y) != (e.qy > y)) & (x < reach), F.lit(False))
+        p_ends = e.p_east & ((e.py > y) != (e.py > y0))
+        q_ends = e.q_east & ((e.qy > y) != (e.qy > y0))
+        return (crossed != p_ends) != q_ends
+
+    flipped = F.filter("_edges", flips)
+    hits = F.concat("_base", F.transform(flipped, lambda e: F.struct(e.part.alias("part"), e.ring.alias("ring"))))
+
+    def odd(all_hits: Column) -> Column:
+        return F.filter(F.array_distinct(all_hits), lambda r: F.size(F.filter(all_hits, lambda h: h == r)) % 2 == 1)
+
+    def in_part(rings: Column) -> Column:
+        return F.exists(rings, lambda o: (o.ring == 0) & ~F.exists(rings, lambda h: (h.part == o.part) & (h.ring > 0)))
+
+    # A lambda over one list evaluates the hits once for all their uses.
+    several = F.exists(F.array(hits), lambda found: F.exists(F.array(odd(found)), in_part))
+    return F.when(F.col("_simple"), (F.size("_base") + F.size(flipped)) % 2 == 1).otherwise(several)
+
+
 def points_in_polygons(polygons: DataFrame, points: DataFrame, *, geometry="poligono",
                        lat="lat", lon="lon") -> DataFrame:
-    """All (polygon, point) pairs in which the polygon contains the point.
+    """All (polygon, point) pairs in which the polygon contains the point, each once.
 
-    Both sides keep their columns (the geometry text is dropped). A polygon part is cut into
-    cells about half its size, a point goes into its cell on every level that a part has, and
-    the exact test runs on equal cells, each with the rings of its own part only. A part
-    after the first takes the parts before it along, so that a point in two parts of one
-    polygon is one pair. Polygons are spread over tasks before they are parsed, since a few
-    input splits may hold most of the vertices; the parsed parts are written once.
+    Both sides keep their columns (the geometry text is dropped). A polygon is cut into cells, a point goes into its
+    cell on every level that a polygon has, and equal cells meet; all parts of a polygon share a cell's row, so a
+    point in two parts is one pair. Polygons of few edges carry them all into each cell; those of many carry an edge
+    only into the cells that it crosses, and cells inside need no test. Polygons are spread over tasks before they
+    are parsed, since a few input splits may hold most of the vertices; the edges are written once.
 
-    Arriving polygons (a stream) cannot be written first; their points take all levels.
+    Arriving polygons (a stream) can neither be written first nor grouped: their points take all levels, and every
+    cell carries all edges of its polygon.
     """
     keys = [c for c in polygons.columns if c != geometry]
-    earlier = F.when(F.col("_part") > 0, F.slice("_parts", F.lit(1), F.col("_part")))
-    parts = polygon_parts(polygons.repartition(*keys), geometry).withColumn("_earlier", earlier)
-    parts = parts.drop(geometry, "_parts", "_part")
+    shapes = polygon_edges(polygons.repartition(*keys), geometry)
     levels = list(range(FINEST, COARSEST + 1))
-    if not polygons.isStreaming:
-        parts = materialise(parts, "parts")
-        levels = sorted(r[0] for r in parts.select("_level").distinct().collect())  # of 14 levels at most
-    side = F.pow(F.lit(2.0), F.col("_level"))
-    covered = (
-        parts.withColumn("_cx", F.explode(_cells(F.col("_x0"), F.col("_x1"), side)))
-        .withColumn("_cy", F.explode(_cells(F.col("_y0"), F.col("_y1"), side)))
-    )
+    if polygons.isStreaming:
+        covered = whole_cells(shapes)
+    else:
+        shapes = materialise(shapes.withColumn("_pid", F.monotonically_increasing_id()), "shapes")
+        few = F.size("_edges") <= FEW_EDGES
+        found = shapes.select("_level", few.alias("_few")).distinct().collect()  # of 16 levels at most
+        levels = sorted({r["_level"] for r in found})
+        covered = whole_cells(shapes.where(few))
+        if not all(r["_few"] for r in found):
+            covered = covered.unionByName(clipped_cells(shapes.where(~few)), allowMissingColumns=True)
+        covered = covered.drop("_pid")
+    side = _side()
     located = (
         points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
         .withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
         .withColumns({"_cx": F.floor(F.col(lon) / side), "_cy": F.floor(F.col(lat) / side)})
     )
     x, y = F.col(lon), F.col(lat)
-    in_box = x.between(F.col("_x0"), F.col("_x1")) & y.between(F.col("_y0"), F.col("_y1"))
-    matched = (
+    in_box = x.between(F.col("_box.x0"), F.col("_box.x1")) & y.between(F.col("_box.y0"), F.col("_box.y1"))
+    return (
         covered.join(located, ["_level", "_cx", "_cy"])
-        .where(in_box)
-        .where(polygon_contains(x, y, F.col("_rings")))
-        .drop("_level", "_cx", "_cy", "_rings", "_x0", "_x1", "_y0", "_y1")
+        .where(F.coalesce(in_box, F.lit(True)))
+        .where(_holds(x, y, F.col("_cy") * side))
+        .drop("_level", "_cx", "_cy", "_edges", "_base", "_box", "_simple")
     )
-    seen = F.exists("_earlier", lambda p: polygon_contains(x, y, p))
-    return matched.where(F.col("_earlier").isNull() | ~seen).drop("_earlier")

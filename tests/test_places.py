@@ -118,3 +118,74 @@ def test_corrupt_coordinates_are_refused(spark):
     polygons = spark.createDataFrame([(i, json.dumps(x)) for i, x in shapes], "id int, poligono string")
     points = spark.createDataFrame([("p", 1.0, 1.0)], "station string, lat double, lon double")
     assert sorted(r.id for r in spatial.points_in_polygons(polygons, points).collect()) == [1, 4]
+
+
+def ragged(rng, n, cx, cy, size, jump):
+    """A ring around a centre whose radius jumps, with some vertices on cell borders and level edges."""
+    angle = np.sort(rng.uniform(0, 2 * np.pi, n))
+    radius = size * (1 - jump * rng.uniform(0, 1, n))
+    ring = np.column_stack([cx + radius * np.cos(angle), cy + radius * np.sin(angle)])
+    snapped = rng.uniform(0, 1, n) < 0.2
+    ring[snapped] = np.round(ring[snapped] * 4) / 4
+    flat = np.flatnonzero(rng.uniform(0, 1, n - 1) < 0.1)
+    ring[flat + 1, 1] = ring[flat, 1]
+    return ring.tolist()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_polygons_of_many_edges_equal_brute_force(spark, seed):
+    """Rings that cross themselves, holes, overlapping parts; points on vertices, edges and cell borders."""
+    rng = np.random.default_rng(seed)
+    shapes = []
+    for i in range(8):
+        n = int(rng.integers(40, 400))
+        parts = [[ragged(rng, n, 0, 0, 8, rng.uniform(0, 0.9)), ragged(rng, 30, 1, 1, 3, 0.5)]]
+        if i % 2:
+            parts.append([ragged(rng, n, 4, -2, 6, 0.7)])
+        if i % 3 == 0:
+            parts.append([rng.uniform(-9, 9, (n, 2)).tolist(), ragged(rng, 8, -3, 0, 2, 0.1)])
+        shapes.append((i, parts))
+    grid = [(x / 4, y / 4) for x in range(-38, 39, 3) for y in range(-38, 39, 3)]
+    corners = [tuple(p) for _, parts in shapes for rings in parts for p in rings[0][::7]]
+    spots = grid + corners[:300] + [tuple(p) for p in rng.uniform(-10, 10, (400, 2))]
+    polygons = spark.createDataFrame(
+        [(i, json.dumps({"type": "MultiPolygon", "coordinates": parts})) for i, parts in shapes], "id int, poligono string")
+    points = spark.createDataFrame([(j, float(x), float(y)) for j, (x, y) in enumerate(spots)], "station int, lon double, lat double")
+    got = sorted((r.id, r.station) for r in spatial.points_in_polygons(polygons, points).collect())
+
+    def ring_holds(ring):
+        p, q = np.array(ring), np.roll(np.array(ring), 1, axis=0)
+        x, y = np.array(spots)[:, :1], np.array(spots)[:, 1:]
+        with np.errstate(all="ignore"):
+            reach = (q[:, 0] - p[:, 0]) * (y - p[:, 1]) / (q[:, 1] - p[:, 1]) + p[:, 0]
+        return (((p[:, 1] > y) != (q[:, 1] > y)) & (x < reach)).sum(axis=1) % 2 == 1
+
+    want = []
+    for i, parts in shapes:
+        held = np.zeros(len(spots), bool)
+        for rings in parts:
+            inside_part = ring_holds(rings[0])
+            for hole in rings[1:]:
+                inside_part &= ~ring_holds(hole)
+            held |= inside_part
+        want += [(i, int(j)) for j in np.flatnonzero(held)]
+    assert len(want) > 1000 and got == sorted(want)
+
+
+def test_an_edge_is_carried_only_where_it_crosses(spark):
+    """50,000 vertices give cells and edge copies of the same order, not edges x cells; cells inside carry none."""
+    angle = np.linspace(0, 2 * np.pi, 50_000, endpoint=False)
+    ring = np.column_stack([3 * np.cos(angle), 2 * np.sin(angle)]).tolist()
+    polygons = spark.createDataFrame([(1, json.dumps({"type": "Polygon", "coordinates": [ring]}))], "id int, poligono string")
+    shapes = spatial.polygon_edges(polygons, "poligono").withColumn("_pid", F.lit(1))
+    row = spatial.clipped_cells(shapes).agg(
+        F.count("*").alias("cells"), F.sum(F.size("_edges")).alias("edges"), F.count_if(F.size("_edges") == 0).alias("inner")).first()
+    assert row.cells < 50_000 and row.edges < 120_000 and row.inner > row.cells / 2
+
+
+def test_missing_coordinates_are_refused(spark):
+    shapes = [(1, '{"type":"Polygon","coordinates":[[[0,0],[2,null],[2,2],[0,2]]]}'), (2, '{"type":"Polygon","coordinates":[[[0,0],[2],[2,2],[0,2]]]}'),
+              (3, '{"type":"Polygon","coordinates":[[[0,0,7],[2,0,7],[2,2,7],[0,2,7]]]}'), (4, '{"type":"Polygon"}')]
+    points = spark.createDataFrame([("p", 1.0, 1.0)], "station string, lat double, lon double")
+    found = spatial.points_in_polygons(spark.createDataFrame(shapes, "id int, poligono string"), points).collect()
+    assert [r.id for r in found] == [3]
