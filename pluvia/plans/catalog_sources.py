@@ -245,10 +245,30 @@ def feed_documents(spark, d):
         "instrucoes", F.expr("case when id % 40 = 8 then '' else 'abrigue-se' end"))
 
 
-def feed(spark, d):
+def feed_payloads(spark, d):
     fields = ["id", "descricao", "severidade", "id_severidade", "aviso_cor", "data_inicio", "hora_inicio", "data_fim", "hora_fim", "riscos", "instrucoes", "geocodes", "poligono", "encerrado"]
-    documents = feed_documents(spark, d).select(F.to_json(F.struct(F.array(F.struct(*fields)).alias("hoje"), F.array().alias("futuro"))).alias("payload"))
-    return payloads.feed_records(documents)
+    return feed_documents(spark, d).select(
+        F.col("id").alias("documento"), F.to_json(F.struct(F.array(F.struct(*fields)).alias("hoje"), F.array().alias("futuro"))).alias("payload"))
+
+
+def feed(spark, d):
+    return payloads.feed_records(feed_payloads(spark, d))
+
+
+def damaged_feed(spark, d):
+    return feed_payloads(spark, d).withColumn("payload", F.expr("""case documento % 9 when 0 then substring(payload, 1, length(payload) - 20)
+      when 1 then '{"outro": [1]}' when 2 then '  ' when 3 then null when 4 then '{"hoje": "fora do ar"}' else payload end"""))
+
+
+@query("A14_feed_documents_rejected", ["warnings"], """
+select id as documento, case id % 9 when 0 then 'ilegivel' when 1 then 'sem lista' when 4 then 'sem lista' else 'sem documento' end as motivo from warnings where id % 9 < 5""")
+def documents_rejected(spark, d):
+    return payloads.feed_rejects(damaged_feed(spark, d)).select("documento", "motivo")
+
+
+@query("A14_feed_records_kept", ["warnings"], "select id, descricao, id % 5 = 0 as encerrado from warnings where id % 9 >= 5")
+def records_kept(spark, d):
+    return payloads.feed_records(damaged_feed(spark, d), strict=False).select("id", "descricao", "encerrado")
 
 
 LOCAL_SQL = """covering as (select distinct w.id from warnings w join supplier p on p.s_nationkey < 5 join stations s on s.station = p.s_suppkey and s.lon >= w.cx - w.hw and s.lon < w.cx + w.hw and s.lat >= w.cy - w.hw and s.lat < w.cy + w.hw

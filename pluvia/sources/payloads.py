@@ -10,12 +10,9 @@ from pyspark.sql import functions as F
 from pluvia import config
 from pluvia.functions.clock import epoch_hour
 
-WARNING_SCHEMA = ", ".join(
-    f"{c} string"
-    for c in (
-        "descricao", "severidade", "id_severidade", "aviso_cor", "data_inicio", "hora_inicio",
-        "data_fim", "hora_fim", "riscos", "instrucoes", "geocodes", "poligono", "encerrado",
-    )
+WARNING_FIELDS = (
+    "descricao", "severidade", "id_severidade", "aviso_cor", "data_inicio", "hora_inicio",
+    "data_fim", "hora_fim", "riscos", "instrucoes", "geocodes", "poligono", "encerrado",
 )
 
 
@@ -45,46 +42,67 @@ def hourly_rows(landed: DataFrame, variables: Sequence[str] = config.GRID_VARIAB
     )
 
 
-def first_record(payload: Column) -> Column:
-    """The one warning in a payload that is an object, a list, or ``{"hoje": [...]}``.
+def _parsed(landed: DataFrame, payload: str) -> DataFrame:
+    """Adds the text as a variant ``_v``, NULL if it is no JSON (an object that names a field twice is none).
+
+    The outer form of explode is a step that filters on what is read from the variant do not go below, where they
+    would parse the text again.
+    """
+    return landed.select("*", F.explode_outer(F.array(F.try_parse_json(F.trim(F.col(payload))))).alias("_v"))
+
+
+def _why_unread(payload: str, document: str) -> Column:
+    blank = F.coalesce(F.trim(F.col(payload)) == "", F.lit(True))
+    return F.when(blank, F.lit("sem documento")).when(F.col(document).isNull(), F.lit("ilegivel"))
+
+
+def first_record(document: Column) -> Column:
+    """The one warning of a document that is an object, a list, or ``{"hoje": [...]}``.
 
-    NULL for an empty list, an empty object or no payload.
+    NULL for an empty list, an empty object, a record that is no object, or no document.
     """
-    text = F.trim(payload)
-    today = F.get_json_object(text, "$.hoje")
-    found = (
-        F.when(text.startswith("["), F.get_json_object(text, "$[0]"))
-        .when(today.isNotNull(), F.get_json_object(today, "$[0]"))
-        .otherwise(text)
+    today = F.try_variant_get(document, "$.hoje", "variant")
+    bare = F.when(today.isNull() | F.is_variant_null(today), document)
+    found = F.coalesce(
+        F.try_variant_get(document, "$[0]", "variant"), F.try_variant_get(document, "$.hoje[0]", "variant"), bare
     )
-    return F.when(found.startswith("{") & ~found.rlike(r"^\{\s*\}$"), found)
+    return F.when(F.schema_of_variant(found).like("OBJECT<_%>"), found)
+
+
+def _fields(record: str) -> list[Column]:
+    return [F.try_variant_get(record, f"$.{c}", "string").alias(c) for c in WARNING_FIELDS]
 
 
 def normalise_warning_payload(landed: DataFrame) -> DataFrame:
-    """One row per attempted id, obtained or not: ``id, http, obtido`` and the fields.
+    """One row per attempted id, obtained or not: ``id, http, obtido``, the fields and ``motivo``.
 
-    ``landed``: ``id, http, payload``.
+    ``landed``: ``id, http, payload``. A document is parsed once. ``motivo`` says why there is no record: no
+    document, unreadable, or without a warning in it; it is NULL where one was obtained.
     """
-    record = first_record(F.col("payload"))
-    return (
-        landed.select("id", "http", record.alias("_r"))
-        .withColumn("_w", F.from_json("_r", WARNING_SCHEMA))
-        .select("id", "http", F.col("_r").isNotNull().alias("obtido"), "_w.*")
-    )
+    found = _parsed(landed, "payload").withColumn("_r", first_record(F.col("_v")))
+    why = F.when(F.col("_r").isNull(), F.coalesce(_why_unread("payload", "_v"), F.lit("sem registro")))
+    return found.select("id", "http", F.col("_r").isNotNull().alias("obtido"), *_fields("_r"), why.alias("motivo"))
+
 
+def _feed(landed: DataFrame, payload: str) -> DataFrame:
+    """The documents with their ``hoje`` list and the reason why there is none."""
+    read = _parsed(landed, payload).withColumn("_hoje", F.try_variant_get("_v", "$.hoje", "array<variant>"))
+    why = F.when(F.col("_hoje").isNull(), F.coalesce(_why_unread(payload, "_v"), F.lit("sem lista")))
+    return read.withColumn("motivo", why)
 
-def feed_records(landed: DataFrame, payload: str = "payload") -> DataFrame:
+
+def feed_records(landed: DataFrame, payload: str = "payload", *, strict: bool = True) -> DataFrame:
     """Records of the ``hoje`` list of a feed document, one row each.
 
-    A document that is not ``{"hoje": [...]}`` fails the query.
+    A document that is not ``{"hoje": [...]}`` fails the query, or, if not ``strict``, gives no rows here and one in
+    `feed_rejects`.
     """
-    records = F.from_json(
-        F.get_json_object(payload, "$.hoje"), f"array<struct<id: bigint, {_typed(WARNING_SCHEMA)}>>"
-    )
-    checked = F.when(records.isNotNull(), records).otherwise(
-        F.raise_error(F.lit('unexpected feed: wanted {"hoje": [...]}'))
-    )
-    return landed.select(F.inline(checked)).withColumns(
+    feed = _feed(landed, payload)
+    if strict:
+        wrong = F.raise_error(F.concat(F.lit('unexpected feed: wanted {"hoje": [...]}, '), F.col("motivo")))
+        feed = feed.withColumn("_hoje", F.when(F.col("motivo").isNull(), F.col("_hoje")).otherwise(wrong))
+    records = feed.select(F.explode_outer("_hoje").alias("_r")).where(F.col("_r").isNotNull())
+    return records.select(F.try_variant_get("_r", "$.id", "bigint").alias("id"), *_fields("_r")).withColumns(
         {
             "encerrado": F.lower("encerrado").isin("true", "1"),
             "id_severidade": F.col("id_severidade").try_cast("int"),
@@ -92,8 +110,9 @@ def feed_records(landed: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
-def _typed(ddl: str) -> str:
-    return ddl.replace(" string", ": string")
+def feed_rejects(landed: DataFrame, payload: str = "payload") -> DataFrame:
+    """Feed documents that cannot be used, all their columns kept, with the reason in ``motivo``."""
+    return _feed(landed, payload).where(F.col("motivo").isNotNull()).drop("_v", "_hoje")
 
 
 def read_landed_json(spark, path: str, **extra) -> DataFrame:

@@ -78,6 +78,29 @@ def test_feed_must_have_its_shape(spark):
         payloads.feed_records(spark.createDataFrame([('{"outro": 1}',)], "payload string")).collect()
 
 
+def test_unusable_documents_keep_their_reason(spark):
+    docs = [(1, '{"hoje": [{"id": "7", "encerrado": true, "id_severidade": 2}, {"id": 8, "riscos": null}]}'), (2, '{"hoje": [{"id": 1}'), (3, None), (4, "   "),
+            (5, '{"hoje": {"id": 1}}'), (6, "[1]"), (7, '{"hoje": null}'), (8, '{"hoje": [], "hoje": [{"id": 3}]}'), (9, '{"hoje": [3, {"id": 9}]}')]
+    landed = spark.createDataFrame(docs, "n int, payload string")
+    reasons = {r.n: r.motivo for r in payloads.feed_rejects(landed).collect()}
+    assert reasons == {2: "ilegivel", 3: "sem documento", 4: "sem documento", 5: "sem lista", 6: "sem lista", 7: "sem lista", 8: "ilegivel"}
+    rows = payloads.feed_records(landed, strict=False)
+    assert sorted((r.id or 0, r.encerrado, r.id_severidade, r.riscos) for r in rows.collect()) == [
+        (0, None, None, None), (7, True, 2, None), (8, None, None, None), (9, None, None, None)]
+    assert payloads.feed_rejects(landed.limit(0)).count() == 0 and payloads.feed_records(landed.limit(0)).count() == 0
+
+
+def test_attempts_keep_their_reason_and_parse_once(spark):
+    docs = [(1, 200, '{"descricao": 5, "poligono": {"type": "Point"}}'), (2, 200, "[]"), (3, 200, "<html>"), (4, 404, None), (5, 200, "[3]"), (6, 200, '{"hoje": null, "riscos": "r"}')]
+    out = payloads.normalise_warning_payload(spark.createDataFrame(docs, "id int, http int, payload string"))
+    rows = {r.id: r for r in out.collect()}
+    assert {i: r.motivo for i, r in rows.items()} == {1: None, 2: "sem registro", 3: "ilegivel", 4: "sem documento", 5: "sem registro", 6: None}
+    assert rows[1].descricao == "5" and rows[1].poligono == '{"type":"Point"}' and rows[6].riscos == "r"
+    landed = spark.createDataFrame(docs, "id int, http int, payload string")
+    for df in (out.where("obtido"), payloads.feed_records(landed).where("id > 3"), payloads.feed_rejects(landed)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
 def test_feed_candidates_reject_incomplete_local_warning(spark):
     square = '{"type":"Polygon","coordinates":[[[-52,-31],[-50,-31],[-50,-29],[-52,-29],[-52,-31]]]}'
     base = dict(id=1, descricao="Tempestade", severidade="Perigo", id_severidade=7, aviso_cor="#f00", data_inicio="2026-01-01", hora_inicio="10:00",
