@@ -115,21 +115,21 @@ def exact_quantiles(
     return ranked.groupBy(*group).agg(*picks).select(*group, *result)
 
 
-def rank_among(df: DataFrame, value: str, marks: DataFrame, mark: str, name: str) -> DataFrame:
-    """For each distinct value of ``df``: how many distinct marks are <= the value."""
-    values = df.select(F.col(value).alias("_v"), F.lit(0).alias("_m"), F.lit(1).alias("_is"))
-    ticks = marks.select(F.col(mark).alias("_v"), F.lit(1).alias("_m"), F.lit(0).alias("_is"))
-    axis = (
-        values.unionByName(ticks)
-        .where(F.col("_v").isNotNull())
-        .groupBy("_v")
-        .agg(F.max("_m").alias("_m"), F.max("_is").alias("_is"))
-    )
-    return (
-        running_totals(axis, [], "_v", ["_m"])
-        .where(F.col("_is") == 1)
-        .select(F.col("_v").alias(value), F.col("cum__m").alias(name))
-    )
+DIGIT_BITS = 6  # a summed-area table is 64 by 64
+
+
+def rank_axes(points: DataFrame, queries: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """For each distinct value of each axis: how many distinct query values are <= the value.
+
+    One row per (``_axis``, ``_v``) of the points and queries, numbered ``_r``; both axes in one pass.
+    """
+
+    def stacked(df: DataFrame, mark: int) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(i).alias("_axis"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(axes)])
+        return df.select(F.inline(each)).where(F.col("_v").isNotNull()).withColumn("_m", F.lit(mark))
+
+    values = stacked(points, 0).unionByName(stacked(queries, 1)).groupBy("_axis", "_v").agg(F.max("_m").alias("_m"))
+    return running_totals(values, ["_axis"], "_v", ["_m"]).select("_axis", "_v", F.col("cum__m").cast("long").alias("_r"))
 
 
 def count_dominating(
@@ -137,49 +137,67 @@ def count_dominating(
 ) -> DataFrame:
     """Add ``n_ge``: total weight of points with ``px >= x`` and ``py >= y``, per query.
 
-    ``points`` is aggregated (one row per x, y); ``queries`` holds distinct (x, y). The x
-    and y axes become ranks among the query values, so that points shrink to cells of the
-    grid of queries first. The half line above an x rank splits into binary blocks, as many
-    levels as the number of ranks has bits; a cell lies in one block per level, and inside
-    a block the totals run along y. Everything is an equality of keys, no pair is ever
-    formed that is not counted.
+    ``points`` is aggregated (one row per x, y); ``queries`` holds distinct (x, y) without
+    NULL. Both axes become ranks among the query values, so that points shrink to cells of
+    the grid of queries. Ranks are read as digits of base 64: a rank above another agrees
+    with it in the leading digits and has a greater one at the next, so a count is a sum over
+    pairs of digit places (one pair while either axis has fewer than 64 values, four up to
+    4,095), each an entry of a summed-area table of 64 by 64: totals down the columns, then
+    along the rows. No table is larger than that, so no group grows with the data, and a
+    column holds only the heights that are asked for.
     """
-    marks, y_marks = queries.select(x).distinct(), queries.select(y).distinct()
-    levels = max(1, marks.count().bit_length())
-    ranks = materialise(rank_among(points.select(x).unionByName(marks), x, marks, x, "_r"), "ranks")
-    y_ranks = materialise(rank_among(points.select(y).unionByName(y_marks), y, y_marks, y, "_ry"), "ranks")
-    ranked_points = points.join(ranks, x).join(y_ranks, y)
-    ranked_queries = materialise(queries.join(ranks, x).join(y_ranks, y), "queries")
-    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level")
-    top = F.lit(1).cast("long")
-
-    def shifted(col: Column) -> Column:
-        return F.floor(col / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
-
-    blocks = (
-        ranked_points.groupBy("_r", "_ry")
-        .agg(F.sum(weight).alias("_w"))
-        .where((F.col("_r") > 0) & (F.col("_ry") > 0))
-        .select("_r", "_ry", "_w", level)
-        .select("_level", shifted(F.col("_r")).alias("_block"), F.col("_ry").alias("_y"), "_w")
-        .where(F.col("_block") > 0)
-    )
-    # [rank, inf) = the block of rank - 1's right sibling on every level where rank - 1 is a
-    # left child, up to the root.
-    below = F.col("_r") - 1
-    asked = (
-        ranked_queries.select(x, y, "_r", "_ry", level)
-        .where(shifted(below) % 2 == 0)
-        .select(x, y, "_level", (shifted(below) + top).alias("_block"), F.col("_ry").alias("_y"))
+    ranks = materialise(rank_axes(points, queries, [x, y]), "ranks")
+    top = {r["_axis"]: r["_r"] for r in ranks.groupBy("_axis").agg(F.max("_r").alias("_r")).collect()}  # two rows
+    places = [max(1, -(-top.get(axis, 0).bit_length() // DIGIT_BITS)) for axis in (0, 1)]
+    node = ["_lx", "_nx", "_ly", "_ny"]
+
+    def ranked(df: DataFrame) -> DataFrame:
+        for axis, (c, rank) in enumerate(((x, "_rx"), (y, "_ry"))):
+            table = ranks.where((F.col("_axis") == axis) & (F.col("_r") > 0)).select(F.col("_v").alias(f"_v{axis}"), F.col("_r").alias(rank))
+            df = df.join(table, F.col(c).cast("double") == F.col(f"_v{axis}")).drop(f"_v{axis}")
+        return df
+
+    def digits(rank: str, axis: int, above: bool) -> Column:
+        """(place, leading digits, digit) for each place; for a query, the least digit that counts there."""
+        return F.array(*[
+            F.struct(
+                F.lit(place).alias("_l"),
+                F.shiftright(rank, DIGIT_BITS * (place + 1)).alias("_n"),
+                (F.shiftright(rank, DIGIT_BITS * place).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1)) + int(above and place > 0)).alias("_d"),
+            )
+            for place in range(places[axis])
+        ])
+
+    def placed(df: DataFrame, keep: Sequence[str], above: bool) -> DataFrame:
+        return (
+            df.select(*keep, "_ry", F.inline(digits("_rx", 0, above)).alias("_lx", "_nx", "_dx"))
+            .select(*keep, "_lx", "_nx", "_dx", F.inline(digits("_ry", 1, above)).alias("_ly", "_ny", "_dy"))
+        )
+
+    small = ranked(points).groupBy("_rx", "_ry").agg(F.sum(weight).alias("_w"))
+    cells = placed(small, ["_w"], False).groupBy(*node, "_dx", "_dy").agg(F.sum("_w").alias("_w"))
+    cells = materialise(cells, "cells")
+    asked = materialise(placed(ranked(queries), [x, y], True), "asked")
+
+    zero, no, yes = F.lit(0).alias("_w"), F.lit(False).alias("_asked"), F.lit(True).alias("_asked")
+    heights = asked.select(*node, "_dy").distinct()
+    columns = cells.select(*node, "_dx").distinct()
+    down = Window.partitionBy(*node, "_dx").orderBy(F.desc("_dy")).rangeBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(*node, "_dy").orderBy(F.desc("_dx")).rangeBetween(Window.unboundedPreceding, 0)
+    column_totals = (
+        cells.select(*node, "_dx", "_dy", "_w", no)
+        .unionByName(columns.join(heights, node).select(*node, "_dx", "_dy", zero, yes))
+        .withColumn("_w", F.sum("_w").over(down))
+        .where("_asked")
     )
-    places = asked.select("_level", "_block", "_y", F.lit(0).cast("long").alias("_w"))
-    axis = blocks.unionByName(places).groupBy("_level", "_block", "_y").agg(F.sum("_w").alias("_w"))
-    totals = running_totals(materialise(axis, "axis"), ["_level", "_block"], "_y", ["_w"], descending=True)
-    counted = (
-        asked.join(totals, ["_level", "_block", "_y"])
-        .groupBy(x, y)
-        .agg(F.sum("cum__w").alias("n_ge"))
+    areas = (
+        column_totals.select(*node, "_dx", "_dy", "_w", no)
+        .unionByName(asked.select(*node, "_dx", "_dy").distinct().select("*", zero, yes))
+        .withColumn("_w", F.sum("_w").over(along))
+        .where("_asked")
+        .drop("_asked")
     )
+    counted = asked.join(areas, [*node, "_dx", "_dy"]).groupBy(x, y).agg(F.sum("_w").alias("n_ge"))
     return queries.join(counted, [x, y], "left").withColumn(
         "n_ge", F.coalesce("n_ge", F.lit(0)).cast("long")
     )

@@ -11,11 +11,14 @@ from pluvia import config
 from pluvia.functions.clock import anchored_date
 from pluvia.functions.rates import ratio, wilson
 from pluvia.functions.text import code_count, gust_criterion, rain_criterion
+from pluvia.operators.joins import attach
 from pluvia.operators.metrics import operating_curve
 from pluvia.operators.prefix import count_dominating
 from pluvia.operators.storage import materialise
 from pluvia.operators.spatial import points_in_polygons
 
+ABSENT = -1e300  # in place of a NULL measure or criterion, below all others
+
 
 def with_criteria(warnings: DataFrame, text: str = "riscos") -> DataFrame:
     return warnings.withColumns(
@@ -85,15 +88,16 @@ def base_rates(observed: DataFrame, criteria: DataFrame) -> DataFrame:
     """
     mm, ms = "criterio_mm", "criterio_ms"
     combos = materialise(
-        criteria.select(F.col(mm).cast("double"), F.col(ms).cast("double")).distinct()
+        criteria.select(F.col(mm).cast("double"), F.col(ms).cast("double")).distinct(), "criteria"
+    )
+    points = materialise(
+        observed.groupBy(
+            F.coalesce(F.col("chuva_24h_obs").cast("double"), F.lit(ABSENT)).alias("qx"),
+            F.coalesce(F.col("rajada_max_obs").cast("double"), F.lit(ABSENT)).alias("qy"),
+        ).agg(F.count("*").alias("_n")),
+        "points",
     )
-    low = F.lit(-1e300)
-    points = observed.groupBy(
-        F.coalesce(F.col("chuva_24h_obs").cast("double"), low).alias("qx"),
-        F.coalesce(F.col("rajada_max_obs").cast("double"), low).alias("qy"),
-    ).agg(F.count("*").alias("_n"))
-    rain, gust = F.col(mm), F.col(ms)
-    floor = low
+    rain, gust, floor = F.col(mm), F.col(ms), F.lit(ABSENT)
     asked = combos.withColumn(
         "_parts",
         F.array(
@@ -102,9 +106,8 @@ def base_rates(observed: DataFrame, criteria: DataFrame) -> DataFrame:
             F.struct(rain.alias("qx"), gust.alias("qy"), F.lit(-1).alias("sinal")),
         ),
     ).select(mm, ms, F.inline("_parts"))
-    queries = materialise(asked.select("qx", "qy").dropna().distinct())
-    counted = count_dominating(points, queries, "qx", "qy", "_n")
-    total = observed.agg(F.count("*")).scalar()
+    counted = count_dominating(points, asked.select("qx", "qy").dropna().distinct(), "qx", "qy", "_n")
+    total = points.agg(F.sum("_n")).scalar()
     return (
         asked.join(counted, ["qx", "qy"], "left")
         .groupBy(mm, ms)
@@ -115,15 +118,21 @@ def base_rates(observed: DataFrame, criteria: DataFrame) -> DataFrame:
 
 def attach_base_rate(pairs: DataFrame, rates: DataFrame, rain_only: bool = False,
                      name: str = "esperado") -> DataFrame:
-    """Base rate of the criteria of each row; NULL-safe in both parts."""
-    ms = F.lit(None).cast("double") if rain_only else F.col("criterio_ms").cast("double")
-    keyed = pairs.withColumns({"_mm": F.col("criterio_mm").cast("double"), "_ms": ms})
+    """Base rate of the criteria of each row; a missing part matches a missing part.
+
+    A criterion that most warnings announce is a hot key, so the rows are spread over copies
+    of the table's rows.
+    """
+
+    def coded(c: Column) -> Column:
+        return F.coalesce(c.cast("double"), F.lit(ABSENT))
+
+    gust = F.lit(None) if rain_only else F.col("criterio_ms")
+    keyed = pairs.withColumns({"_mm": coded(F.col("criterio_mm")), "_ms": coded(gust)})
     table = rates.select(
-        F.col("criterio_mm").alias("_tmm"), F.col("criterio_ms").alias("_tms"),
-        F.col("taxa_base").alias(name),
+        coded(F.col("criterio_mm")).alias("_mm"), coded(F.col("criterio_ms")).alias("_ms"), F.col("taxa_base").alias(name)
     )
-    on = F.col("_mm").eqNullSafe(F.col("_tmm")) & F.col("_ms").eqNullSafe(F.col("_tms"))
-    return keyed.join(table, on, "left").drop("_mm", "_ms", "_tmm", "_tms")
+    return attach(keyed, table, ["_mm", "_ms"], spread_by="id").drop("_mm", "_ms")
 
 
 def confirmation_table(pairs: DataFrame, group: str, flag: str = "confirmado", *,

@@ -46,3 +46,18 @@ def test_dominance_counts_equal_brute_force(spark, rng):
     assert len(out) == len(qs)
     for r in out.itertuples():
         assert r.n_ge == ((pts.x >= r.x) & (pts.y >= r.y)).sum()
+
+
+def test_dominance_counts_over_several_digit_places(spark, rng):
+    """More than 64 values on both axes, ties on the marks, queries above and below all points, no points at all."""
+    pts = pd.DataFrame({"x": rng.integers(0, 900, 3000) / 2.0, "y": rng.integers(0, 300, 3000) / 2.0, "w": rng.integers(1, 9, 3000)})
+    pts = pts.groupby(["x", "y"], as_index=False).w.sum()
+    qs = pd.DataFrame({"x": rng.integers(-20, 1000, 700) / 2.0, "y": rng.integers(-20, 330, 700) / 2.0}).drop_duplicates()
+    queries = spark.createDataFrame(qs)
+    out = prefix.count_dominating(spark.createDataFrame(pts), queries, "x", "y", "w").toPandas()
+    assert len(out) == len(qs) and qs.x.nunique() > 64 and qs.y.nunique() > 64
+    want = [pts.w[(pts.x >= r.x) & (pts.y >= r.y)].sum() for r in out.itertuples()]
+    assert out.n_ge.tolist() == want
+    none = spark.createDataFrame([], "x double, y double, w long")
+    assert prefix.count_dominating(none, queries, "x", "y", "w").where("n_ge <> 0").count() == 0
+    assert prefix.count_dominating(spark.createDataFrame(pts), queries.limit(0), "x", "y", "w").count() == 0
