@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pluvia.config import StudyConfig
 from pluvia.operators import metrics, splits
+from pluvia.operators.storage import materialise
 
 CFG = StudyConfig()
 #: Trees of a boosted model unless the caller says otherwise.
@@ -190,21 +194,36 @@ def recalibration(valid: DataFrame, test: DataFrame, label: str, score: str, *,
 
 # ----------------------------------------------------------------------------- search
 def search(rows: DataFrame, limits: DataFrame, candidates: Sequence[dict], build, score, *, maximise: bool,
-           hour: str = "h") -> DataFrame:
+           prepare: Sequence | None = None, concurrent: int = 4, hour: str = "h") -> DataFrame:
     """Mean score of each candidate over expanding folds, best first; ``ordem`` is the place.
 
-    ``limits`` are hour limits (see ``expanding_folds``), so a fold is a filter of the rows and no row is
-    repeated. ``build(params)`` gives an estimator, ``score(predictions)`` a one-row DataFrame with ``valor``.
-    The loop runs over candidates and folds, each a distributed fit; only scores come back.
+    ``limits`` are hour limits (see ``expanding_folds``), so a fold is a filter of the rows. ``build(params)``
+    gives an estimator, ``score(predictions)`` a one-row DataFrame with ``valor``. The stages of ``prepare``
+    depend on the rows of a fold alone: they are fitted once a fold, and its vectors written for all candidates.
+    ``concurrent`` fits run at a time, as jobs of one session (set ``spark.scheduler.mode`` to FAIR to share the
+    executors evenly); each fit is distributed and only its score comes back. Scores do not depend on the order in
+    which fits end; a failed fit fails the search.
     """
-    folds = limits.orderBy("fold").collect()  # one row per fold, a number the caller chose
-    results = []
     h = F.col(hour)
-    for number, params in enumerate(candidates):
-        for k in folds:
-            model = build(params).fit(rows.where(h <= k.train_to))
-            value = score(model.transform(rows.where(h.between(k.test_from, k.test_to)))).first()["valor"]
-            results.append((number, json.dumps(params, sort_keys=True), int(k.fold), float(value)))
+
+    def fold_tables(k) -> tuple[DataFrame, DataFrame]:
+        train, test = rows.where(h <= k.train_to), rows.where(h.between(k.test_from, k.test_to))
+        if not prepare:
+            return train, test
+        shared = Pipeline(stages=list(prepare)).fit(train)
+        return materialise(shared.transform(train), "fold"), materialise(shared.transform(test), "fold")
+
+    def one(job) -> tuple:
+        (number, params), (fold, (train, test)) = job
+        value = score(build(params).fit(train).transform(test)).first()["valor"]
+        return number, json.dumps(params, sort_keys=True), int(fold), float(value)
+
+    folds = [(k.fold, fold_tables(k)) for k in limits.orderBy("fold").collect()]  # a number the caller chose
+    jobs = list(itertools.product(enumerate(candidates), folds))
+    session = rows.sparkSession
+    with ThreadPoolExecutor(max(1, concurrent)) as pool:
+        # A thread of its own JVM thread each, with the caller's local properties.
+        results = [f.result() for f in [pool.submit(inheritable_thread_target(session)(one), job) for job in jobs]]
     table = rows.sparkSession.createDataFrame(
         results, "candidato int, parametros string, fold int, valor double"
     )

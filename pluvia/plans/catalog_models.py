@@ -45,10 +45,6 @@ def union(tables):
     return out
 
 
-#: Trees of the model queries; the operators default to `ml.TREES`.
-QUERY_TREES = 20
-
-
 @query("M4_rain_regressors", ["scored"], """
 select modelo, count(*) as n, true as melhor_que_a_media from scored, (values ('tweedie'), ('gbt')) m(modelo) where janela = 'teste' group by 1""")
 def regressors(spark, d):
@@ -59,17 +55,17 @@ def regressors(spark, d):
     mean = train.agg(F.avg("chuva_futura_24h").alias("m")).scalar()
     by_mean = metrics.error_scores(test.withColumn("previsto", mean), "chuva_futura_24h", "previsto").select("mae").scalar()
     tables = []
-    for kind, params in (("tweedie", {}), ("gbt", {"maxIter": QUERY_TREES})):
-        model = Pipeline(stages=[*ml.vector_stages(NAMES), ml.rain_regressor(kind, **params)]).fit(train)
+    for kind in ("tweedie", "gbt"):
+        model = Pipeline(stages=[*ml.vector_stages(NAMES), ml.rain_regressor(kind)]).fit(train)
         scores = metrics.error_scores(model.transform(test), "chuva_futura_24h", "previsto")
         tables.append(scores.select(F.lit(kind).alias("modelo"), "n", (F.col("mae") < by_mean).alias("melhor_que_a_media")))
     return union(tables)
 
 
-def classifier_pipeline(**params):
+def classifier_pipeline():
     from pyspark.ml import Pipeline
 
-    return Pipeline(stages=[*ml.vector_stages(NAMES), ml.event_classifier(**params)])
+    return Pipeline(stages=[*ml.vector_stages(NAMES), ml.event_classifier()])
 
 
 def better_than_chance(ap):
@@ -83,17 +79,19 @@ CHANCE_SQL = "count(*) as n, cast(sum(y) as bigint) as eventos, true as acima_do
 @query("M5_event_classifier", ["scored"], f"select {CHANCE_SQL} where janela = 'teste'")
 def classifier(spark, d):
     train, _, test = parts(spark, d)
-    model = classifier_pipeline(maxIter=QUERY_TREES).fit(ml.with_class_weight(train, "evento_extremo"))
+    model = classifier_pipeline().fit(ml.with_class_weight(train, "evento_extremo"))
     scored = ml.scored_by(model, test, ["station", "h", "evento_extremo"])
     return better_than_chance(metrics.average_precision(scored, "evento_extremo", "score"))
 
 
+#: Trees of each of the 30 fits of the search query; the README has the times.
+SEARCH_TREES = 20
 SPACE = {"maxDepth": [2, 3, 4], "stepSize": [0.05, 0.1, 0.2], "subsamplingRate": [0.7, 1.0]}
 
 
 @query("M6_parameter_search", (), f"select {ml.CFG.search_trials} as candidatos, true as medias_validas, true as melhor_primeiro")
 def search(spark, d):
-    """The whole search: all trials on all folds, with few trees each."""
+    """The whole search: all trials on all folds, with `SEARCH_TREES` trees each."""
     train, _, _ = parts(spark, d)
     weighted = materialise(ml.with_class_weight(train, "evento_extremo"))
     limits = splits.expanding_folds(train, ml.CFG.folds_tune)
@@ -103,7 +101,8 @@ def search(spark, d):
         return metrics.average_precision(scored, "evento_extremo", "_p", name="valor")
 
     picks = ml.random_candidates(SPACE, ml.CFG.search_trials)
-    found = ml.search(weighted, limits, picks, lambda p: classifier_pipeline(maxIter=3, **p), ap, maximise=True)
+    found = ml.search(weighted, limits, picks, lambda p: ml.event_classifier(maxIter=SEARCH_TREES, **p), ap,
+                      prepare=ml.vector_stages(NAMES), concurrent=8, maximise=True)
     return found.agg(
         F.count("*").cast("int").alias("candidatos"),
         F.bool_and(F.col("media").between(0, 1) & F.col("desvio").between(0, 1)).alias("medias_validas"),
@@ -180,7 +179,7 @@ def combiners(spark, d):
 @query("M9_interaction_tree", ["scored", "weather"], f"with {COMBINED_SQL} select {CHANCE_SQL.replace('from scored', 'from comb')} where janela = 'teste'")
 def tree(spark, d):
     rows = materialise(combiner_rows(spark, d))
-    model = ml.interaction_tree(["ifs_log", *LOCAL], trees=QUERY_TREES).fit(rows.where("janela = 'validacao'"))
+    model = ml.interaction_tree(["ifs_log", *LOCAL]).fit(rows.where("janela = 'validacao'"))
     return better_than_chance(metrics.average_precision(ml.scored_by(model, rows.where("janela = 'teste'"), ["rotulo"]), "rotulo", "score"))
 
 
@@ -202,7 +201,7 @@ def train_and_score(spark, d):
     """Every test row is scored, with an amount of at least 0, a risk and the alert that follows from it."""
     rows = materialise(training_rows(spark, d))
     folder = scratch_folder(spark, "models")
-    ml.train(rows, [*NAMES, "soil_moisture"], folder, trees=QUERY_TREES)
+    ml.train(rows, [*NAMES, "soil_moisture"], folder)
     risk = F.col("risco_evento_extremo")
     # The risk is rounded after the comparison, so rows next to the threshold may fall on either side.
     alert = (F.col("alerta") == (risk > F.col("threshold"))) | (F.abs(risk - F.col("threshold")) <= 1e-4)
@@ -214,7 +213,7 @@ def train_and_score(spark, d):
 select unnest([{", ".join(f"'{n}', '{n}_ausente'" for n in NAMES)}]) as feature, true as valida, true as soma_um""")
 def importance(spark, d):
     train, _, _ = parts(spark, d)
-    model = classifier_pipeline(maxIter=QUERY_TREES).fit(ml.with_class_weight(train, "evento_extremo"))
+    model = classifier_pipeline().fit(ml.with_class_weight(train, "evento_extremo"))
     table = ml.feature_importance(model, NAMES, spark)
     total = table.agg(F.sum("importancia").alias("s")).scalar()
     return table.select("feature", F.col("importancia").between(0, 1).alias("valida"), (F.abs(total - 1) < 1e-6).alias("soma_um"))

@@ -205,3 +205,32 @@ def test_losses_are_counted_beside_the_result(spark, tmp_path):
     stream, name = cleaning.counted_losses(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), drops, nulls)
     query = feeds.run_to_parquet(stream, str(tmp_path / "out"), str(tmp_path / "c"))
     assert query.recentProgress[0].observedMetrics[name].asDict() == losses.get
+
+
+def test_search_is_the_same_one_by_one_and_at_once(spark, rng):
+    """Folds prepared once and eight fits at a time give the scores of one fit after the other; a failed fit fails all."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import LinearRegression
+
+    n = 400
+    pdf = pd.DataFrame({"h": np.arange(n), "a": rng.normal(size=n), "b": rng.normal(size=n)})
+    pdf["alvo"] = 2 * pdf.a - pdf.b + rng.normal(size=n)
+    rows = ml.as_features(spark.createDataFrame(pdf), ["a", "b"], ["h", "alvo"])
+    limits = spark.createDataFrame([(0, 199, 200, 299), (1, 299, 300, 399)], "fold int, train_to long, test_from long, test_to long")
+    candidates = [{"regParam": x} for x in (0.0, 0.5, 50.0)]
+
+    def linear(params):
+        return LinearRegression(labelCol="alvo", predictionCol="previsto", **params)
+
+    def error(predictions):
+        return predictions.agg(F.avg(F.abs(F.col("alvo") - F.col("previsto"))).alias("valor"))
+
+    stages = ml.vector_stages(["a", "b"])
+    single = ml.search(rows, limits, candidates, lambda p: Pipeline(stages=[*stages, linear(p)]), error, maximise=False, concurrent=1)
+    together = ml.search(rows, limits, candidates, linear, error, maximise=False, prepare=stages, concurrent=8)
+    one, many = single.toPandas(), together.toPandas()
+    assert one.candidato.tolist() == many.candidato.tolist() and many.parametros.iloc[-1] == '{"regParam": 50.0}'
+    np.testing.assert_allclose(one.media, many.media, rtol=1e-9)
+    np.testing.assert_allclose(one.desvio, many.desvio, rtol=1e-6, atol=1e-9)
+    with pytest.raises(Exception):
+        ml.search(rows, limits, [{"regParam": -1.0}], linear, error, maximise=False, prepare=stages)
