@@ -140,8 +140,11 @@ def tiers(nodes: DataFrame) -> list[DataFrame]:
     return found
 
 
-def _children(kids: Column, level: int, above: Column) -> Column:
-    """All leaves of a block with their paths: siblings before and after the node, from the lowest level up."""
+def _children(kids: Column, level: int, above: Column, place: Column) -> Column:
+    """All leaves of a block with their paths: siblings before and after the node, from the lowest level up.
+
+    `at` is a leaf's place in its block, all digits of it: `place` holds those above this level.
+    """
 
     def of(hashes: Column) -> Column:
         def child(kid: Column, i: Column) -> Column:
@@ -149,10 +152,10 @@ def _children(kids: Column, level: int, above: Column) -> Column:
             after = F.array_join(F.slice(hashes, i + 2, FAN), "")
             step = F.array(F.struct(before.alias("before"), after.alias("after")))
             path = F.when(_several(level), F.concat(step, above)).otherwise(above)
+            at = place + kid["at"] * FAN**level
             if level:
-                return bound(path, lambda p: _children(kid["kids"], level - 1, p))
-            number = F.col("block") * BLOCK
-            return F.struct(kid["item"].alias("item"), kid["hash"].alias("hash"), kid["at"].alias("at"), path.alias("path"))
+                return bound(path, lambda p: _children(kid["kids"], level - 1, p, at))
+            return F.struct(kid["item"].alias("item"), kid["hash"].alias("hash"), at.alias("at"), path.alias("path"))
 
         each = F.transform(kids, child)
         return F.flatten(each) if level else each
@@ -167,9 +170,8 @@ def proofs(levels: list[DataFrame], tops: DataFrame) -> DataFrame:
         kept, handed = ["total", "kids"], ["path", "subroot", "root"]
         both = blocks.select("key", "block", *kept).unionByName(given, allowMissingColumns=True)
         met = both.groupBy("key", "block").agg(*[F.first(c, ignorenulls=True).alias(c) for c in kept + handed])
-        kids = met.select(
-            "key", "block", "subroot", "root", F.explode(_children(F.col("kids"), DIGITS - 1, F.col("path"))).alias("kid")
-        )
+        each = _children(F.col("kids"), DIGITS - 1, F.col("path"), F.lit(0).cast("long"))
+        kids = met.select("key", "block", "subroot", "root", F.explode(each).alias("kid"))
         if depth + 1 == len(levels):
             return kids.select("key", "kid.item", "kid.hash", "kid.path", "subroot", "root")
         number = F.col("block") * BLOCK + F.col("kid.at")

@@ -72,6 +72,14 @@ def test_three_tiers(spark, monkeypatch):
     assert manifest(spark, rows) == by_definition(rows)
 
 
+def test_more_than_eight_blocks(spark, monkeypatch):
+    """The place of a block in the tier above has several digits: 700 leaves are 11 blocks of 64."""
+    monkeypatch.setattr(M, "DIGITS", 2)
+    monkeypatch.setattr(M, "BLOCK", M.FAN**2)
+    rows = [(i, None, "en" if i % 50 else "fr", i, f"Ab {i}") for i in range(715)]
+    assert manifest(spark, rows) == by_definition(rows)
+
+
 def test_odd_rows(spark):
     same = [(7, "s", "en", 1, "Same")] * 20 + [(None, "s", "en", 1, "No id")] * 9 + [(7, "s", "en", 1, f"V{i}") for i in range(15)]
     rows = same + [
