@@ -234,3 +234,20 @@ def test_search_is_the_same_one_by_one_and_at_once(spark, rng):
     np.testing.assert_allclose(one.desvio, many.desvio, rtol=1e-6, atol=1e-9)
     with pytest.raises(Exception):
         ml.search(rows, limits, [{"regParam": -1.0}], linear, error, maximise=False, prepare=stages)
+
+
+def test_report_stream_keeps_a_warning_once_a_day(spark, tmp_path):
+    """Warnings meet reports at every hour of their validity, with one row of state for each day and place."""
+    square = '{"type":"Polygon","coordinates":[[[0,0],[9,0],[9,9],[0,9],[0,0]]]}'
+    hours = [(1, 0, 50), (2, 23, 24), (3, 30, 70)]
+    at = "timestamp_seconds(946684800 + {} * 3600)".format
+    spark.createDataFrame([(i, 7, a, b, square) for i, a, b in hours], "id long, id_severidade int, a int, b int, poligono string").selectExpr(
+        "id", "id_severidade", f"{at('a')} as inicio", f"{at('b')} as fim", "poligono").write.parquet(f"{tmp_path}/w")
+    spark.range(0, 160).selectExpr("id as report_id", "id % 2 as station", f"{at('(id div 2)')} as ts").write.parquet(f"{tmp_path}/r")
+    places = spark.createDataFrame([(0, 1.0, 1.0), (1, 2.0, 2.0)], "station long, lat double, lon double")
+    frames = [spark.readStream.schema(spark.read.parquet(f"{tmp_path}/{x}").schema).parquet(f"{tmp_path}/{x}") for x in "rw"]
+    query = feeds.run_to_parquet(feeds.reports_with_warnings(*frames, places), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    got = sorted((r.report_id, r.id) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == sorted((k, i) for k in range(160) for i, a, b in hours if a <= k // 2 <= b)
+    kept = max(x["numRowsTotal"] for p in query.recentProgress for x in p["stateOperators"])
+    assert kept <= 160 + 2 * (3 + 2 + 2)
