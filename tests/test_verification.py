@@ -97,6 +97,31 @@ def test_grouped_interval_is_wider_than_plain(spark, rng):
     assert {r.n for r in weights} == {40}
 
 
+def test_bootstrap_repetitions_share_rows(spark, rng):
+    """A unit is one row for each block of repetitions, and the differences are those of repeated rows."""
+    import hashlib
+
+    def precision(rows, score):
+        """Average precision from the rows as they are, one threshold a distinct score."""
+        cuts = sorted(set(rows[score]), reverse=True)
+        above = [rows[rows[score] >= c] for c in cuts]
+        steps = np.diff([0, *[x.y.sum() for x in above]])
+        return sum(n * x.y.mean() for n, x in zip(steps, above)) / rows.y.sum()
+
+    pdf = pd.DataFrame({"dia": np.repeat(np.arange(9), 7), "y": (rng.random(63) < 0.3).astype(int)})
+    pdf["a"], pdf["b"] = rng.integers(0, 6, 63), pdf.y + rng.normal(size=63)
+    df, draws = spark.createDataFrame(pdf), 45
+    blocks = bootstrap.weight_blocks(df, "dia", draws, 42)
+    assert blocks.count() <= 9 * -(-draws // bootstrap.REPS)
+    got = {r.rep: r.diferenca for r in bootstrap.paired_difference(df, "y", "a", "b", "dia", draws=draws).collect()}
+    for rep in range(draws):
+        days = [int(hashlib.md5(f"42-{rep}-{i}".encode()).hexdigest()[:8], 16) % 9 for i in range(9)]
+        rows = pd.concat([pdf[pdf.dia == x] for x in days])
+        if rows.y.sum():
+            assert got.pop(rep) == pytest.approx(precision(rows, "b") - precision(rows, "a"))
+    assert not got
+
+
 def test_gauge_day_boundary_and_minimum_hours(spark):
     base = 24 * 20000
     rows = [(1, base + 13, 10.0), (1, base + 24 + 12, 5.0), (1, base + 24 + 13, 7.0), (1, base + 48 + 14, None)]
