@@ -189,3 +189,12 @@ def test_missing_coordinates_are_refused(spark):
     points = spark.createDataFrame([("p", 1.0, 1.0)], "station string, lat double, lon double")
     found = spatial.points_in_polygons(spark.createDataFrame(shapes, "id int, poligono string"), points).collect()
     assert [r.id for r in found] == [3]
+
+
+def test_small_polygons_go_into_few_cells(spark):
+    """A square carries its edges into four cells at most, wherever it lies."""
+    squares = spark.range(60).selectExpr("id", "id * 0.37 - 9 as x", "id * 0.53 - 11 as y", "0.8 + id % 5 * 0.2 as w").selectExpr(
+        "id", """concat('{"type":"Polygon","coordinates":[[[', x, ',', y, '],[', x + w, ',', y, '],[', x + w, ',', y + w, '],[', x, ',', y + w, '],[',
+        x, ',', y, ']]]}') as poligono""")
+    cells = spatial.whole_cells(spatial.polygon_edges(squares, "poligono")).groupBy("id").count()
+    assert cells.count() == 60 and cells.agg({"count": "max"}).first()[0] <= 4
