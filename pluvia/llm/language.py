@@ -28,6 +28,9 @@ from pluvia.llm import texts as T
 UNKNOWN = "und"
 FEATURES = 1 << 15
 
+#: A letter takes some fifty bytes while its n-grams are hashed, so slices of texts are short.
+SLICE_BYTES = 1 << 19
+
 
 @functools.lru_cache(1)
 def _letters() -> np.ndarray:
@@ -141,7 +144,7 @@ def learn(
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(FEATURES + 1, np.int64), 0
         for batch in batches:
-            for _, some in T.slices(batch):
+            for _, some in T.slices(batch, most=SLICE_BYTES):
                 for row in features(some):
                     if row is not None:
                         seen[row[0]] += 1
@@ -170,7 +173,7 @@ def learn(
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, some in T.slices(batch):
+            for first, some in T.slices(batch, most=SLICE_BYTES):
                 found = list(features(some))
                 arrays = [
                     batch.column(0).slice(first, len(some)),
@@ -203,7 +206,7 @@ def identify(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, some in T.slices(batch):
+            for first, some in T.slices(batch, most=SLICE_BYTES):
                 found = _predictions(shared.value, some)
                 arrays = [
                     batch.column(0).slice(first, len(some)),
@@ -232,7 +235,7 @@ def keep_identified(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(lang_col)
-            for first, some in T.slices(batch, text_col):
+            for first, some in T.slices(batch, text_col, SLICE_BYTES):
                 found = _predictions(shared.value, some)
                 rows = batch.slice(first, len(some))
                 rows = rows.set_column(at, batch.schema.field(at), pa.array([x[0] for x in found], batch.schema.field(at).type))
