@@ -42,9 +42,11 @@ def inherit(table: DataFrame, stations: DataFrame, columns: list[str], extra: li
             k: int = 5, key: str = "station") -> DataFrame:
     """Add stations that have no row: the mean of the ``k`` nearest stations that have one.
 
-    ``extra`` are further key columns of the table, such as the month.
+    ``extra`` are further key columns of the table, such as the month. The table is written out
+    once, since it is read several times.
     """
     extra = extra or []
+    table = materialise(table.select(key, *extra, *columns), "known")
     known = table.select(key).distinct()
     missing = stations.join(known, key, "left_anti").select(key, "lat", "lon")
     donors = stations.join(known, key, "left_semi").select(key, "lat", "lon")
@@ -63,14 +65,12 @@ def with_climatology(df: DataFrame, stations: DataFrame, cutoff: int,
     """Attach both climatologies, inherited where needed.
 
     ``observations`` is where they come from, ``df`` itself when not given. The two tables
-    hold a row per station and month at most and are written out once, since inheritance
-    reads them several times.
+    hold a row per station and month at most; inheritance writes them out once.
     """
     source = df if observations is None else observations
     yearly = ["clima_chuva_media", "clima_chuva_p99", "clima_umidade_media", "clima_pressao_media"]
-    known = materialise(station_climatology(source, cutoff, key=key, hour=hour))
-    base = inherit(known, stations, yearly, key=key)
-    monthly = materialise(monthly_climatology(source, cutoff, key=key, hour=hour, month=month))
+    base = inherit(station_climatology(source, cutoff, key=key, hour=hour), stations, yearly, key=key)
+    monthly = monthly_climatology(source, cutoff, key=key, hour=hour, month=month)
     by_month = inherit(monthly, stations, ["clima_chuva_mes"], [month], key=key)
     joined = attach(df, base, [key], spread_by=hour)
     return attach(joined, by_month, [key, month], spread_by=hour)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pluvia.config import EARTH_RADIUS_KM
 from pluvia.functions.geo import haversine_km
 from pluvia.operators.joins import attach
+from pluvia.operators.storage import materialise
 
 FINEST_LEVEL = 21
+PLACES_PER_TASK = 1_024  # each meets some hundred candidates, which its task sorts
 
 
 def _with_cube(df: DataFrame, level: Column) -> DataFrame:
@@ -33,7 +35,8 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5,
     searches the 27 cubes around it on the finest level at which its own cube one level
     below already holds ``k + 1`` candidates, so nothing nearer can be outside. Crowded
     areas therefore search small cubes, and places sharing one coordinate are searched
-    once with at most ``k + 1`` candidates each.
+    once with at most ``k + 1`` candidates each. The places are written out and dealt to tasks
+    by number, since their few bytes say nothing of the pairs that they form.
     """
     if radius_km is None:
         coarsest = -1
@@ -52,7 +55,8 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5,
     placed = _with_cube(kept.select("viz", "lat", "lon", levels), F.col("_level"))
     crowded = placed.groupBy(*CUBE).agg(F.count("*").alias("_n")).where(F.col("_n") > k)
 
-    places = queries.select("lat", "lon").dropna().distinct()
+    places = materialise(queries.select("lat", "lon").dropna().distinct(), "places")
+    tasks = places.count() // PLACES_PER_TASK + 1
     depth = (
         _with_cube(places.select("lat", "lon", levels), F.col("_level"))
         .join(crowded.select(*CUBE), CUBE, "left_semi")
@@ -66,7 +70,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5,
     steps = F.sequence(F.lit(-1), F.lit(1))
     around = _with_cube(searched, F.col("_level")).select(
         F.col("lat").alias("_qlat"), F.col("lon").alias("_qlon"), *CUBE
-    )
+    ).repartition(tasks, "_qlat", "_qlon")
     for axis in CUBE[1:]:
         around = around.withColumn("_step", F.explode(steps)).withColumn(
             axis, F.col(axis) + F.col("_step")

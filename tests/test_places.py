@@ -40,6 +40,22 @@ def test_nearest_equals_brute_force(spark, radius):
         assert [found[i] for i in sorted(found)] == expected
 
 
+def test_searches_are_dealt_by_places(spark, monkeypatch):
+    """The pairs of a few places would fit into one task by their bytes; the more places, the more tasks."""
+    monkeypatch.setattr(neighbours, "PLACES_PER_TASK", 8)
+    df = spark.range(60).selectExpr("id as station", "-30e0 - id / 10 as lat", "-51e0 - id % 7 as lon")
+    plan = neighbours.nearest(df, df)._jdf.queryExecution().executedPlan().toString()
+    assert ", 8), REPARTITION_BY_NUM" in plan and neighbours.nearest(df, df).count() == 300
+
+
+def test_inheritance_reads_its_table_once(spark, tmp_path):
+    stations = spark.createDataFrame([(i, -30.0 - i / 10, -51.0) for i in range(8)], "station long, lat double, lon double")
+    spark.range(7).selectExpr("id as station", "id * 1e0 as c").write.parquet(str(tmp_path / "given"))
+    out = climatology.inherit(spark.read.parquet(str(tmp_path / "given")), stations, ["c"])
+    assert str(tmp_path / "given") not in " ".join(out.inputFiles())
+    assert out.count() == 8
+
+
 def test_inheritance_keeps_known_rows_and_months(spark):
     stations = spark.createDataFrame([(i, -30.0 - i / 10, -51.0) for i in range(8)], "station long, lat double, lon double")
     table = spark.createDataFrame([(i, m, float(i * m)) for i in range(7) for m in (1, 2) if not (i == 3 and m == 2)], "station long, mes int, c double")
