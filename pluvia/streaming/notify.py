@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,49 +105,62 @@ def with_stretch(opened: DataFrame, width: int) -> DataFrame:
 
 
 class Notifier(StatefulProcessor):
-    """Events of one place wait, keyed by their second, until the watermark has passed them; a timer judges each.
+    """Events of one place wait until the watermark has passed them; a timer judges all that it has passed, in order.
 
-    State: the waiting events and the last one sent, which is dropped when it cannot hold anything back any more.
+    State: the waiting events, one entry of lists for each batch of rows that came, and the last one sent, which is
+    dropped when it cannot hold anything back any more. State is read and written once for a batch and a place, not
+    once for an event, since every call goes through a socket. A timer stands at the earliest waiting event.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ts_s long", "id long, nivel int")
+        self.waiting = handle.getListState("waiting", "ts_s array<long>, id array<long>, nivel array<int>")
         self.last = handle.getValueState("last", "ts_s long, nivel int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            first = pdf.sort_values(["id_severidade", "id"], ascending=[False, True]).drop_duplicates("ts_s")
-            for ts, ident, level in zip(first["ts_s"], first["id"], first["id_severidade"]):
-                moment, new = (int(ts),), (int(ident), int(level))
-                if not self.waiting.containsKey(moment):
-                    self.handle.registerTimer(moment[0] * 1000)
-                elif min(new, self.waiting.getValue(moment), key=lambda x: (-x[1], x[0])) != new:
-                    continue
-                self.waiting.updateValue(moment, new)
+            self._wait(_first_of_moments(pdf["ts_s"], pdf["id"], pdf["id_severidade"]), self.waiting.appendValue)
         yield from ()
 
+    def _wait(self, events: np.ndarray, store) -> None:
+        """Store events, if there are any, and be woken when the watermark reaches the first."""
+        if len(events):
+            store(tuple(events[:, i].tolist() for i in range(3)))
+            self.handle.registerTimer(int(events[0, 0]) * 1000)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ts = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        last = self.last.get() if self.last.exists() else None
-        if not self.waiting.containsKey((ts,)):
-            if last is not None and ts - last[0] >= HOLD_SECONDS:
-                self.last.clear()
-            return
-        ident, level = self.waiting.getValue((ts,))
-        self.waiting.removeKey((ts,))
-        (sent,), new = decide([ts], [level], last)
-        if sent:
-            self.last.update(new)
-            self.handle.registerTimer((ts + HOLD_SECONDS) * 1000)
-            yield pd.DataFrame(
-                {"station": [key[0]], "ts_s": [ts], "id": [ident], "id_severidade": [level], "canal": [_channel(level)]}
-            )
+        now = timerValues.getCurrentWatermarkInMs() // 1000
+        before = last = self.last.get()
+        came = [np.array(entry, np.int64) for entry in self.waiting.get()]
+        if came:
+            events = _first_of_moments(*np.concatenate(came, axis=1))
+            due = int(np.searchsorted(events[:, 0], now, "right"))
+            sent, last = decide(events[:due, 0].tolist(), events[:due, 2].tolist(), last)
+            self.waiting.clear()
+            self._wait(events[due:], self.waiting.appendValue)
+            out = events[:due][np.array(sent, bool)]
+            if len(out):
+                yield pd.DataFrame(
+                    {"station": key[0], "ts_s": out[:, 0], "id": out[:, 1], "id_severidade": out[:, 2],
+                     "canal": [_channel(level) for level in out[:, 2]]}
+                )
+        if last is not None and now - last[0] >= HOLD_SECONDS:
+            self.last.clear()
+        elif last != before:
+            self.last.update(last)
+            self.handle.registerTimer((last[0] + HOLD_SECONDS) * 1000)
 
     def close(self) -> None:
         pass
 
 
+def _first_of_moments(ts, ids, levels) -> np.ndarray:
+    """Rows (second, id, level) in time order; of several of one second the one of highest level, then least id."""
+    rows = np.stack([np.asarray(c, np.int64) for c in (ts, ids, levels)], axis=1)
+    rows = rows[np.lexsort((rows[:, 1], -rows[:, 2], rows[:, 0]))]
+    return rows[np.r_[True, rows[1:, 0] != rows[:-1, 0]]] if len(rows) else rows
+
+
 def notification_stream(events: DataFrame, *, delay: str = "6 hours") -> DataFrame:
     """The same policy on a stream, by event time.
 

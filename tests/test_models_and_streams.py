@@ -126,6 +126,66 @@ def test_a_late_event_is_judged_at_its_time(spark, notified, rng):
     assert [x for x in got if x[0] != 99] == oracle(events)
 
 
+class CountedState:
+    """Stands for the handle, its states and the timers of one place; counts the calls."""
+
+    def __init__(self, kind=""):
+        self.kind, self.states, self.calls, self.timers, self.values, self.list = kind, [], 0, set(), None, []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return self.answer(name, args)
+
+        return call
+
+    def answer(self, name, args):
+        if name in ("getListState", "getMapState", "getValueState"):
+            self.states.append(CountedState(name))
+            return self.states[-1]
+        if name == "registerTimer":
+            self.timers.add(args[0])
+        elif name == "appendValue":
+            self.list.append(args[0])
+        elif name in ("update", "updateValue"):
+            self.values = args[-1]
+        elif name == "clear":
+            self.values, self.list = None, []
+        elif name == "get":
+            return iter(list(self.list)) if self.kind == "getListState" else self.values
+        return None
+
+
+def test_state_calls_do_not_grow_with_the_events_of_a_place():
+    n = 500
+    pdf = pd.DataFrame({"ts_s": [i * 7 * H for i in range(n)], "id": range(n), "id_severidade": 8})
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return n * 7 * H * 1000
+
+    class Timer:
+        def getExpiryTimeInMs(self):
+            return min(handle.timers)
+
+    handle, notifier = CountedState(), notify.Notifier()
+    notifier.init(handle)
+    assert list(notifier.handleInputRows((1,), iter([pdf]), Now())) == []
+    (sent,) = notifier.handleExpiredTimer((1,), Now(), Timer())
+    assert sent["id"].tolist() == list(range(n))
+    assert handle.calls + sum(s.calls for s in handle.states) <= 20
+
+
+def test_events_beyond_the_watermark_wait_on(notified):
+    """A batch of which the watermark passes a part: the rest is judged later, against what was sent before."""
+    events = later([(1, 0, 1, 7), (1, H, 2, 7), (1, 5 * H, 3, 8), (1, 6 * H, 4, 8), (1, 30 * H, 5, 7)])
+    notified(events, "24 hours")
+    first, _ = notified([(9, 1007 * H + H // 2, 9, 8)], "24 hours")
+    got, _ = notified(END, "24 hours")
+    assert first == oracle(events[:4])[:len(first)] and len(first) == 2
+    assert [x for x in got if x[0] != 99 and x[0] != 9] == oracle(events)
+
+
 def test_too_late_events_are_counted(spark, notified):
     counter = feeds.LateRows()
     spark.streams.addListener(counter)
