@@ -214,3 +214,16 @@ def test_small_polygons_go_into_few_cells(spark):
         x, ',', y, ']]]}') as poligono""")
     cells = spatial.whole_cells(spatial.polygon_edges(squares, "poligono")).groupBy("id").count()
     assert cells.count() == 60 and cells.agg({"count": "max"}).first()[0] <= 4
+
+
+def test_the_written_shapes_hold_points_not_edges(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(spatial, "materialise", lambda df, name: written.append(df.columns) or df)
+    square = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,1],[0,0]]]}'
+    hollow = '{"type":"Polygon","coordinates":[[[0,0],[4,0],[4,4],[0,4]],[[1,1],[3,1],[3,3],[1,3]]]}'
+    polygons = spark.createDataFrame([(1, square), (2, hollow), (3, None), (4, "{")], "id int, poligono string")
+    points = spark.createDataFrame([(7, 0.5, 0.5), (8, 2.0, 2.0), (9, 3.5, 0.5)], "station int, lat double, lon double")
+    got = spatial.points_in_polygons(polygons, points).select("id", "station").collect()
+    assert sorted(map(tuple, got)) == [(1, 7), (2, 7), (2, 9)]
+    (columns,) = written
+    assert "_parts" in columns and "_edges" not in columns
