@@ -77,3 +77,16 @@ def test_odd_rows_pass_all_stages(spark, odd, sf):
 
 def test_run(spark, sf):
     assert P.run(spark, sf).count() > 0
+
+
+def test_stages_hand_python_short_batches(spark, sf):
+    """Also when a stage's result is written after the stage has returned."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, docs = spark.conf.get(name), spark.read.parquet(f"{sf}/documents.parquet")
+    try:
+        for stage in (P.language_id, P.secret_scan, P.pack):
+            spark.conf.set(name, 10_000)
+            rows = stage(spark, docs.limit(50), sf)
+            assert int(spark.conf.get(name)) <= 1_000 and rows.count() > 0
+    finally:
+        spark.conf.set(name, before)
