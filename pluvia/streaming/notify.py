@@ -119,13 +119,14 @@ class Notifier(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            self._wait(_first_of_moments(pdf["ts_s"], pdf["id"], pdf["id_severidade"]), self.waiting.appendValue)
+            whole = pdf[["ts_s", "id", "id_severidade"]].astype("int64")  # fails on a missing value
+            self._wait(_first_of_moments(*(whole[c] for c in whole)))
         yield from ()
 
-    def _wait(self, events: np.ndarray, store) -> None:
+    def _wait(self, events: np.ndarray) -> None:
         """Store events, if there are any, and be woken when the watermark reaches the first."""
         if len(events):
-            store(tuple(events[:, i].tolist() for i in range(3)))
+            self.waiting.appendValue(tuple(events[:, i].tolist() for i in range(3)))
             self.handle.registerTimer(int(events[0, 0]) * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -137,7 +138,7 @@ class Notifier(StatefulProcessor):
             due = int(np.searchsorted(events[:, 0], now, "right"))
             sent, last = decide(events[:due, 0].tolist(), events[:due, 2].tolist(), last)
             self.waiting.clear()
-            self._wait(events[due:], self.waiting.appendValue)
+            self._wait(events[due:])
             out = events[:due][np.array(sent, bool)]
             if len(out):
                 yield pd.DataFrame(
