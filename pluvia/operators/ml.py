@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import itertools
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel, Transformer
@@ -59,6 +60,18 @@ def drop_empty(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c in columns if row[c] > 0]
 
 
+def at_once(spark: SparkSession, calls: Sequence[Callable], concurrent: int | None = None) -> list:
+    """What independent calls return, in their order; a failed call fails all.
+
+    Their jobs are jobs of one session. A boosted model is a thousand short jobs one after the other; another
+    model's tasks run while the driver prepares the next of them.
+    """
+    # A thread of its own JVM thread each, with the caller's local properties.
+    inherit = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max(1, concurrent or len(calls))) as pool:
+        return [f.result() for f in [pool.submit(inherit(call)) for call in calls]]
+
+
 # ------------------------------------------------------------------------- estimators
 def rain_regressor(kind: str = "tweedie", target: str = "chuva_futura_24h", **params):
     """Regressor of the 24 h amount for a target with many zeros.

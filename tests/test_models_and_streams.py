@@ -296,6 +296,31 @@ def test_search_is_the_same_one_by_one_and_at_once(spark, rng):
         ml.search(rows, limits, [{"regParam": -1.0}], linear, error, maximise=False, prepare=stages)
 
 
+def test_rows_of_a_fit_are_dealt_to_all_cores_and_read_once(spark, tmp_path):
+    """The vectors of a fit are few bytes; tasks sized by bytes left all rows to one core. Weather follows from the same rows."""
+    from pyspark.sql import types as T
+
+    from pluvia.plans import catalog_models as C
+    from pluvia.plans import views as V
+
+    n, start = 60, 473600
+    rows = [(s * 1000 + i, (start + i) * 3600, s * 38, float(i % 9)) for s in (0, 1, 2) for i in range(n)]
+    rows += [(9000 + i, (start + i) * 3600, None, 1.0) for i in range(n)] + [(9100, None, 0, 1.0), (9101, start * 3600, 0, None)]
+    schema = T.StructType([T.StructField(c, t) for c, t in zip(("event_id", "s", "user_id", "value"), (T.LongType(), T.LongType(), T.LongType(), T.DoubleType()))])
+    events = spark.createDataFrame(rows, schema).select("event_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "user_id", "value")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = C.training_rows(spark, str(tmp_path))
+    assert len(got.inputFiles()) == len(V.obs(spark, str(tmp_path)).inputFiles())
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    wide = V.weather(spark, str(tmp_path)).select("station", "h", "umidade", "vento")
+    want = V.scored(spark, str(tmp_path)).join(wide, ["station", "h"]).select("station", "h", "umidade", "vento", "y")
+    pick = got.select("station", "h", "umidade", "vento", F.col("evento_extremo").alias("y"))
+    assert pick.count() == 3 * (n - 24) and pick.exceptAll(want).isEmpty() and want.exceptAll(pick).isEmpty()
+    shares = C.parts(spark, str(tmp_path))[0].rdd.glom().map(len).collect()
+    cores = spark.sparkContext.defaultParallelism
+    assert len(shares) == cores and max(shares) <= sum(shares) / cores + cores
+
+
 def test_report_stream_keeps_a_warning_once_a_day(spark, tmp_path):
     """Warnings meet reports at every hour of their validity, with one row of state for each day and place."""
     square = '{"type":"Polygon","coordinates":[[[0,0],[9,0],[9,9],[0,9],[0,0]]]}'
