@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pluvia.config import StudyConfig
 from pluvia.operators import metrics, splits
-from pluvia.operators.storage import materialise
+from pluvia.operators.storage import dealt, materialise
 
 CFG = StudyConfig()
 #: Trees of a boosted model unless the caller says otherwise.
@@ -212,32 +213,33 @@ def search(rows: DataFrame, limits: DataFrame, candidates: Sequence[dict], build
 
     ``limits`` are hour limits (see ``expanding_folds``), so a fold is a filter of the rows. ``build(params)``
     gives an estimator, ``score(predictions)`` a one-row DataFrame with ``valor``. The stages of ``prepare``
-    depend on the rows of a fold alone: they are fitted once a fold, and its vectors written for all candidates.
+    depend on the rows of a fold alone: they are fitted once a fold, and its vectors written for all candidates,
+    dealt over so many tasks that all fits of a time have two for each core.
     ``concurrent`` fits run at a time, as jobs of one session (set ``spark.scheduler.mode`` to FAIR to share the
     executors evenly); each fit is distributed and only its score comes back. Scores do not depend on the order in
     which fits end; a failed fit fails the search.
     """
     h = F.col(hour)
+    session = rows.sparkSession
+    tasks = max(2, math.ceil(2 * session.sparkContext.defaultParallelism / max(1, concurrent)))
 
     def fold_tables(k) -> tuple[DataFrame, DataFrame]:
         train, test = rows.where(h <= k.train_to), rows.where(h.between(k.test_from, k.test_to))
         if not prepare:
             return train, test
         shared = Pipeline(stages=list(prepare)).fit(train)
-        return materialise(shared.transform(train), "fold"), materialise(shared.transform(test), "fold")
+        return tuple(materialise(dealt(shared.transform(part), tasks), "fold") for part in (train, test))
 
     def one(job) -> tuple:
         (number, params), (fold, (train, test)) = job
         value = score(build(params).fit(train).transform(test)).first()["valor"]
         return number, json.dumps(params, sort_keys=True), int(fold), float(value)
 
-    folds = [(k.fold, fold_tables(k)) for k in limits.orderBy("fold").collect()]  # a number the caller chose
-    jobs = list(itertools.product(enumerate(candidates), folds))
-    session = rows.sparkSession
-    with ThreadPoolExecutor(max(1, concurrent)) as pool:
-        # A thread of its own JVM thread each, with the caller's local properties.
-        results = [f.result() for f in [pool.submit(inheritable_thread_target(session)(one), job) for job in jobs]]
-    table = rows.sparkSession.createDataFrame(
+    found = limits.orderBy("fold").collect()  # a number the caller chose
+    tables = at_once(session, [partial(fold_tables, k) for k in found], concurrent)
+    jobs = itertools.product(enumerate(candidates), [(k.fold, t) for k, t in zip(found, tables)])
+    results = at_once(session, [partial(one, job) for job in jobs], concurrent)
+    table = session.createDataFrame(
         results, "candidato int, parametros string, fold int, valor double"
     )
     means = table.groupBy("candidato", "parametros").agg(

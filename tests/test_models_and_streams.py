@@ -321,6 +321,26 @@ def test_rows_of_a_fit_are_dealt_to_all_cores_and_read_once(spark, tmp_path):
     assert len(shares) == cores and max(shares) <= sum(shares) / cores + cores
 
 
+def test_fits_of_a_search_share_the_cores(spark, rng):
+    """Folds are dealt over so many tasks that all fits of a time have two for each core, however the rows were stored."""
+    from pyspark.ml import Estimator
+    from pyspark.ml.feature import SQLTransformer
+
+    seen = []
+
+    class Count(Estimator):
+        def _fit(self, df):
+            seen.append(df.rdd.getNumPartitions())
+            return SQLTransformer(statement="select * from __THIS__")
+
+    rows = ml.as_features(spark.range(400).select(F.col("id").alias("h"), F.rand(1).alias("a")), ["a"], ["h"]).coalesce(1)
+    limits = spark.createDataFrame([(0, 199, 200, 299), (1, 299, 300, 399)], "fold int, train_to long, test_from long, test_to long")
+    out = ml.search(rows, limits, [{"p": 1}, {"p": 2}], lambda p: Count(), lambda df: df.agg(F.count("features").cast("double").alias("valor")),
+                    prepare=ml.vector_stages(["a"]), concurrent=4, maximise=True)
+    assert [r.media for r in out.collect()] == [100.0, 100.0]
+    assert seen == [max(2, -(-2 * spark.sparkContext.defaultParallelism // 4))] * 4
+
+
 def test_report_stream_keeps_a_warning_once_a_day(spark, tmp_path):
     """Warnings meet reports at every hour of their validity, with one row of state for each day and place."""
     square = '{"type":"Polygon","coordinates":[[[0,0],[9,0],[9,9],[0,9],[0,0]]]}'
