@@ -335,10 +335,10 @@ def train(rows: DataFrame, features: Sequence[str], path: str, *, target="chuva_
     part = {name: data.where(F.col("janela") == name) for name in ("treino", "validacao", "teste")}
     regressor = Pipeline(stages=[*vector_stages(names), rain_regressor("gbt", target, maxIter=trees)])
     classifier = Pipeline(stages=[*vector_stages(names), event_classifier(label, maxIter=trees)])
-    amount = regressor.fit(part["treino"])
-    risk = classifier.fit(with_class_weight(part["treino"], label))
+    weighted = with_class_weight(part["treino"], label)
+    amount, risk = at_once(spark, [partial(regressor.fit, part["treino"]), partial(classifier.fit, weighted)])
     keys = [key, hour, label]
-    valid = scored_by(risk, part["validacao"], keys)
+    valid = materialise(scored_by(risk, part["validacao"], keys), "scored")
     calibrator = fit_isotonic(valid, "score", label)
     days = metrics.station_day(apply_isotonic(calibrator, valid, "score"), label, ["calibrado"], key=key, hour=hour)
     threshold = metrics.best_threshold(days, label, "calibrado").first()["threshold"]

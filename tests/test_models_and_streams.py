@@ -341,6 +341,30 @@ def test_fits_of_a_search_share_the_cores(spark, rng):
     assert seen == [max(2, -(-2 * spark.sparkContext.defaultParallelism // 4))] * 4
 
 
+def test_both_models_are_fitted_at_the_same_time(spark, rng, tmp_path, monkeypatch):
+    """Each fit waits for the other; one after the other, the first would wait in vain."""
+    import threading
+
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import GBTRegressor
+
+    both = threading.Barrier(2, timeout=120)
+    for kind in (GBTClassifier, GBTRegressor):
+        def fit(self, df, old=kind._fit):
+            both.wait()
+            return old(self, df)
+
+        monkeypatch.setattr(kind, "_fit", fit)
+    n = 300
+    x = rng.normal(size=n)
+    pdf = pd.DataFrame({"station": 1, "h": np.arange(n), "a": x, "chuva_futura_24h": np.maximum(0, 10 * x), "evento_extremo": (x > 0.7).astype(int)})
+    pdf["janela"] = np.where(pdf.h < 150, "treino", np.where(pdf.h < 220, "validacao", "teste"))
+    ml.train(spark.createDataFrame(pdf), ["a"], str(tmp_path), trees=2)
+    assert ml.load_metadata(str(tmp_path), spark)["feature_columns"] == ["a"]
+    with pytest.raises(ZeroDivisionError):
+        ml.at_once(spark, [lambda: 1, lambda: 1 / 0])
+
+
 def test_report_stream_keeps_a_warning_once_a_day(spark, tmp_path):
     """Warnings meet reports at every hour of their validity, with one row of state for each day and place."""
     square = '{"type":"Polygon","coordinates":[[[0,0],[9,0],[9,9],[0,9],[0,0]]]}'
