@@ -82,10 +82,11 @@ def paired_difference(df: DataFrame, label: str, base: str, other: str, unit: st
         .agg(F.count("*").alias("_c"))
     )
     counts = materialise(counts, "counts")
-    # A unit may own many rows (a day), so they are spread over its blocks.
+    # A unit may own many rows (a day), so they are spread over its blocks. The planner takes the copies for as small
+    # as the counts and would broadcast them all, so the kind of join is named.
     blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-draws // REPS) - 1))).alias("bloco")
     names = [_weight(k) for k in range(REPS)]
-    rows = counts.select("*", blocks).join(weights, [unit, "bloco"])
+    rows = counts.select("*", blocks).join(weights.hint("merge"), [unit, "bloco"])
     rows = rows.select("bloco", "_side", "_score", "_y", *[(F.col("_c") * F.col(w)).alias(w) for w in names])
     scores = average_precisions(rows, "_y", "_score", ["bloco", "_side"], names)
     each = scores.select("_side", (F.col("bloco") * REPS + F.col("_k")).alias("rep"), "_ap", "eventos")

@@ -97,6 +97,21 @@ def test_grouped_interval_is_wider_than_plain(spark, rng):
     assert {r.n for r in weights} == {40}
 
 
+def test_bootstrap_copies_are_not_broadcast(spark, rng, monkeypatch):
+    """Rows are copied once a block of repetitions; the planner takes them for small, the driver must not hold them."""
+    n, plans = 60, []
+
+    def seen(rows, *more, old=bootstrap.average_precisions):
+        rows.collect()
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return old(rows, *more)
+
+    monkeypatch.setattr(bootstrap, "average_precisions", seen)
+    df = spark.createDataFrame(pd.DataFrame({"u": np.arange(n), "y": rng.integers(0, 2, n), "a": rng.random(n), "b": rng.random(n)}))
+    assert bootstrap.paired_difference(df, "y", "a", "b", "u", draws=45).count() == 45
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_bootstrap_repetitions_share_rows(spark, rng):
     """A unit is one row for each block of repetitions, and the differences are those of repeated rows."""
     import hashlib
