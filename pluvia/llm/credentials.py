@@ -1,7 +1,7 @@
 """Operator 3: secrets by patterns and by the grammar of their format.
 
-The patterns label credentials. From a bounded sample of labelled ones a prefix tree of character classes
-is built for each kind, and its states are merged while their outgoing frequencies are statistically
+The patterns label credentials, in every document. From a bounded number of the distinct ones a prefix tree of
+character classes is built for each kind, and its states are merged while their outgoing frequencies are statistically
 compatible (Hoeffding bound), which gives a small probabilistic automaton. Every other token of every text
 is scored by its log-likelihood under each automaton less that under a model of ordinary tokens; what
 scores beyond the prior log-odds (ordinary tokens to labelled credentials of the kind) and a margin is a
@@ -278,15 +278,13 @@ def _laid_out(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b" ".join(tokens) + b" ", np.uint8), end - sizes, end
 
 
-def learn(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000, most_values: int = 2_000
-) -> Scorer:
-    """Fit the automata on about `most_rows` documents, chosen by a hash of the id.
+def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_values: int = 2_000) -> Scorer:
+    """Fit the automata on the tokens of all documents.
 
-    At most `most_values` distinct credentials of each kind and four times as many ordinary tokens are
-    used, again those with the smallest hash.
+    At most `most_values` distinct credentials of each kind and four times as many ordinary tokens, those with
+    the smallest hash, go to the driver, which makes the automata.
     """
-    rows = T.sample_rows(T.pick(df, id_col, text_col), most_rows)
+    rows = T.pick(df, id_col, text_col).select("text")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = Scorer({}, [])

@@ -89,6 +89,16 @@ def test_scan_finds_bare_keys_of_its_own_sample(spark, rng):
     assert found == set(bare.items())
 
 
+def test_every_document_is_learned_from(spark):
+    """Forty keys among 60,000 documents are enough for an automaton, if none of the documents is left out."""
+    key = "concat('AKIA', upper(substr(translate(md5(cast(id as string)), '0123456789', 'GHIJKLMNOP'), 1, 16)))"
+    docs = spark.range(60000).selectExpr("id as doc_id", f"case when id % 1500 = 7 then {key} else 'a word' end as text")
+    scorer = C.learn(docs)
+    assert list(scorer.tables) == [1] and scorer.threshold[1] == 6.0
+    few = C.learn(docs, most_values=30)
+    assert list(few.tables) == [1]
+
+
 def test_ends_of_tokens():
     """All marks at both ends of a token are left out, however many."""
     from types import SimpleNamespace
