@@ -148,6 +148,10 @@ def positive_probability(column: str = "probabilidade") -> Column:
 
 
 def scored_by(model: Transformer, df: DataFrame, keep: Sequence[str], name: str = "score"):
+    for stage in getattr(model, "stages", [model]):
+        # A summary of the training holds the session, which cannot go to tasks once it has observed a metric.
+        if getattr(stage, "hasSummary", False):
+            stage._java_obj.setSummary(df.sparkSession._jvm.scala.Option.empty())
     return model.transform(df).select(*keep, positive_probability().alias(name))
 
 

@@ -407,3 +407,15 @@ def test_warnings_that_come_together_share_state(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(feeds, "SHARED", 3)
     run("disk", state=feeds.ROCKSDB_JOIN)
     assert spark.conf.get("spark.sql.streaming.join.stateFormatVersion", "2") == "2"
+
+
+def test_scores_after_an_observed_metric(spark, rng):
+    """A session that has observed a metric cannot be sent to tasks; a fitted model must not carry it there."""
+    from pyspark.sql import Observation
+
+    seen = Observation("rows")
+    spark.range(5).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] == 5
+    rows = spark.createDataFrame(pd.DataFrame({"h": np.arange(60), "x": rng.normal(size=60), "y": np.arange(60) % 2}))
+    model = ml.combiner(["x"], 60, label="y").fit(rows)
+    assert ml.scored_by(model, rows, ["h"]).repartition(2).agg(F.count("score")).first()[0] == 60
